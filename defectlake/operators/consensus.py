@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.taxonomy import canonicalize, display_name
+from ..session import checkpoint
 from .ordered import ordered_positions
 from .spatial import BOX, box_islands, box_pairs, ordered_fold
 
@@ -110,13 +111,10 @@ def spatial_clusters(runs: DataFrame, detections: DataFrame, min_iou: float = 0.
     order = [F.coalesce("score", F.lit(-1.0)).desc(), F.col("det_id").asc()]
     rows = rows.select(*keys, "det_id", "engine_id", "score", *BOX)
 
-    def step(state: _Clusters, part: pd.DataFrame) -> pd.DataFrame:
-        boxes = part[list(BOX)].to_numpy(float)
-        return part.assign(cluster=[state.place(b, min_iou) for b in boxes])
+    def step(state: _Clusters, arrays: list) -> list:
+        return [state.place(box, min_iou) for box in np.column_stack(arrays)]
 
-    schema = ("image_id long, canonical_label string, island_x long, island_y long, det_id string, engine_id string, "
-              "score double, x1 double, y1 double, x2 double, y2 double, cluster long")
-    return ordered_fold(rows, keys, order, _Clusters, step, schema)
+    return ordered_fold(rows, keys, order, _Clusters, step, BOX, "cluster", T.LongType())
 
 
 def cluster_summary(members: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,7 +132,9 @@ def cluster_summary(members: DataFrame, runs: DataFrame, keys: list[str]) -> Dat
 
 def spatial_consensus(runs: DataFrame, detections: DataFrame, min_iou: float = 0.25) -> DataFrame:
     keys = ["image_id", "canonical_label", "island_x", "island_y", "cluster"]
-    return cluster_summary(spatial_clusters(runs, detections, min_iou), runs, keys).drop("island_x", "island_y", "cluster")
+    # The summary reads the members twice (values and ranks); the Python fold must not run twice.
+    members = checkpoint(spatial_clusters(runs, detections, min_iou))
+    return cluster_summary(members, runs, keys).drop("island_x", "island_y", "cluster")
 
 
 def top_detections(detections: DataFrame, n: int) -> DataFrame:

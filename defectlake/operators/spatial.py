@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import box_iou
 
@@ -40,30 +42,34 @@ def box_islands(df: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: Callable[[], object],
-                 step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Fold the rows of every key in ``order`` through a Python state, batch by batch.
+                 step: Callable[[object, list], Sequence], inputs: Sequence[str], output: str, output_type: T.DataType) -> DataFrame:
+    """Fold the rows of every key in ``order`` through a Python state, batch by batch, adding column ``output``.
 
     Rows are hash-partitioned by key and sorted externally by Spark; the task streams Arrow batches and keeps only the
-    state of the current key, never the key's rows. ``step(state, rows)`` returns the output for a slice of one key.
+    state of the current key, never the key's rows. ``step(state, arrays)`` receives the ``inputs`` of consecutive rows
+    of one key and returns their output values.
     """
-    keys = list(keys)
+    keys, inputs = list(keys), list(inputs)
     placed = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*df.schema.fields, T.StructField(output, output_type, True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             if batch.empty:
                 continue
-            change = (batch[keys] != batch[keys].shift()).any(axis=1)
-            starts = [i for i, c in enumerate(change.to_numpy()) if c]
-            if not starts or starts[0] != 0:
-                starts.insert(0, 0)
-            for i, begin in enumerate(starts):
-                part = batch.iloc[begin:starts[i + 1] if i + 1 < len(starts) else len(batch)]
-                key = tuple(part.iloc[0][k] for k in keys)
+            columns = [batch[k].to_numpy() for k in keys]
+            change = np.ones(len(batch), dtype=bool)
+            change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            starts = np.flatnonzero(change).tolist()
+            arrays = [batch[c].to_numpy() for c in inputs]
+            values: list = []
+            for begin, end in zip(starts, [*starts[1:], len(batch)]):
+                key = tuple(c[begin] for c in columns)
                 if key != current:
                     current, state = key, start()
-                yield step(state, part)
+                values.extend(step(state, [a[begin:end] for a in arrays]))
+            yield batch.assign(**{output: values})
 
     return placed.mapInPandas(run, schema)
 

@@ -10,6 +10,7 @@ def make_session(name: str = "tests") -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.streaming.stateStore.providerClass",
