@@ -48,8 +48,9 @@ def content_integrity(origin_found: Column, source_hash: Column, reference_hash:
 
 def chain_audit(inspections: DataFrame) -> DataFrame:
     """Status of every inspection's link to its reference, expected predecessor and content integrity."""
-    rows = shifted(positions(inspections), positions(inspections), CAMPAIGN, -1, {"inspection_id": "expected_previous_id"})
-    refs = positions(inspections).select(*CAMPAIGN, F.col("inspection_id").alias("origin"), F.col("idx").alias("reference_idx"),
+    placed = checkpoint(positions(inspections))  # read three times below
+    rows = shifted(placed, placed, CAMPAIGN, -1, {"inspection_id": "expected_previous_id"})
+    refs = placed.select(*CAMPAIGN, F.col("inspection_id").alias("origin"), F.col("idx").alias("reference_idx"),
                                          F.col("image_hash_key").alias("source_hash"))
     rows = rows.withColumn("origin", F.when(F.col("temporal"), F.col("reference_origin_id")))
     rows = rows.join(refs, [*CAMPAIGN, "origin"], "left")
@@ -163,10 +164,11 @@ def retain_recent(inspections: DataFrame, n: int = 75, partition: list[str] | No
     """
     keys = partition or []
     order = Window.partitionBy(*keys).orderBy(F.col("created_at").desc(), F.col("inspection_id").desc())
-    keep = inspections.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).select("inspection_id", "reference_origin_id")
+    links = checkpoint(inspections.select(*keys, "inspection_id", "reference_origin_id", "created_at"))  # read once per round
+    keep = links.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).select("inspection_id", "reference_origin_id")
     kept = checkpoint(keep)
     frontier = kept
-    links = inspections.select("inspection_id", "reference_origin_id")
+    links = links.select("inspection_id", "reference_origin_id")
     for _ in range(max_rounds):
         wanted = frontier.select(F.col("reference_origin_id").alias("inspection_id")).where(F.col("inspection_id").isNotNull()).distinct()
         fresh = wanted.join(kept.select("inspection_id"), "inspection_id", "left_anti")

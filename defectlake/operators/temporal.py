@@ -80,7 +80,7 @@ def shift_scores(edge_cur: DataFrame, edge_prev: DataFrame, height: int, width:
     """
     radius = search_radius(height, width, step)
     h, w = -(-height // step), -(-width // step)
-    both = edge_cur.withColumnRenamed("edge", "cur").join(edge_prev.withColumnRenamed("edge", "prev"), ["image_id", "y", "x"], "left")
+    both = edge_cur.withColumnRenamed("edge", "cur").join(edge_prev.withColumnRenamed("edge", "prev"), ["image_id", "y", "x"], "full")
     packed = both.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "cur", "prev")).alias("pixels")).select(
         "image_id", F.transform("pixels", lambda p: (p["y"] * w + p["x"]).cast("int")).alias("at"),
         F.col("pixels.cur").alias("cur"), F.col("pixels.prev").alias("prev"))
@@ -92,7 +92,7 @@ def shift_scores(edge_cur: DataFrame, edge_prev: DataFrame, height: int, width:
             out = []
             for image_id, at, cur, prev in zip(batch["image_id"], batch["at"], batch["cur"], batch["prev"]):
                 a, b = np.full(h * w, np.nan), np.full(h * w, np.nan)
-                a[at], b[at] = cur, np.asarray(prev, dtype=float)
+                a[at], b[at] = np.asarray(cur, dtype=float), np.asarray(prev, dtype=float)
                 a, b = a.reshape(h, w), b.reshape(h, w)
                 region = a[y0:y1:stride, x0:x1:stride]
                 for dy in range(-radius, radius + 1):

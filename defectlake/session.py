@@ -39,3 +39,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     Larger sides come back unhinted, so the join stays a shuffle join that AQE may still re-plan.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a summary that is both counted and joined back, and broadcast it only if its row count allows."""
+    return broadcast_if_small(checkpoint(df), max_rows)
