@@ -158,29 +158,44 @@ def geometry_summary(points: DataFrame) -> DataFrame:
 
 
 def project_points(points: DataFrame, poses: DataFrame) -> DataFrame:
-    """Pinhole projection with radial and tangential distortion of every point into every view."""
-    c = F.col
-    rows = _with_poses(points, poses)
-    for i, a in enumerate("xyz"):
-        rows = rows.withColumn(f"_{a}c", c(f"r{i}0") * c("x") + c(f"r{i}1") * c("y") + c(f"r{i}2") * c("z") + c(f"t{a}"))
-    front = c("_zc") > 1e-9
-    rows = rows.withColumn("_u", c("_xc") / F.nullif("_zc", F.lit(0.0))).withColumn("_v", c("_yc") / F.nullif("_zc", F.lit(0.0)))
-    rows = rows.withColumn("_r2", c("_u") * c("_u") + c("_v") * c("_v"))
-    r2 = c("_r2")
-    radial = 1 + c("k1") * r2 + c("k2") * r2 * r2 + c("k3") * r2 * r2 * r2
-    xd = c("_u") * radial + 2 * c("p1") * c("_u") * c("_v") + c("p2") * (r2 + 2 * c("_u") * c("_u"))
-    yd = c("_v") * radial + c("p1") * (r2 + 2 * c("_v") * c("_v")) + 2 * c("p2") * c("_u") * c("_v")
-    rows = rows.withColumn("u", F.when(front, c("fx") * xd + c("cx"))).withColumn("v", F.when(front, c("fy") * yd + c("cy")))
-    inside = F.coalesce((c("u") >= 0) & (c("u") < c("w")) & (c("v") >= 0) & (c("v") < c("h")), F.lit(False))
-    keep = [k for k in points.columns]
-    return rows.select(*keep, "view_id", "w", "h", c("_zc").alias("depth"), "u", "v", inside.alias("in_frame"))
+    """Pinhole projection with radial and tangential distortion of every point into every view.
+
+    The formula runs in steps over the packed pose array, so every intermediate value is computed once and the result
+    columns are plain attributes for later filters and joins.
+    """
+    def let(array: Column, **values) -> Column:
+        return F.transform(array, lambda q: F.struct(q["p"].alias("p"), *[fn(q).alias(n) for n, fn in values.items()]))
+
+    def axis(i: int, a: str):
+        return lambda q: q["p"][f"r{i}0"] * F.col("x") + q["p"][f"r{i}1"] * F.col("y") + q["p"][f"r{i}2"] * F.col("z") + q["p"][f"t{a}"]
+
+    camera = let(F.transform("_poses", lambda p: F.struct(p.alias("p"))), xc=axis(0, "x"), yc=axis(1, "y"), zc=axis(2, "z"))
+    front = lambda q: F.when(q["zc"] > 1e-9, q["zc"])
+    plane = let(camera, zc=lambda q: q["zc"], a=lambda q: q["xc"] / front(q), b=lambda q: q["yc"] / front(q))
+    radius = let(plane, zc=lambda q: q["zc"], a=lambda q: q["a"], b=lambda q: q["b"], r2=lambda q: q["a"] * q["a"] + q["b"] * q["b"])
+    radial = let(radius, zc=lambda q: q["zc"], a=lambda q: q["a"], b=lambda q: q["b"], r2=lambda q: q["r2"],
+                 k=lambda q: 1 + q["p"]["k1"] * q["r2"] + q["p"]["k2"] * q["r2"] * q["r2"] + q["p"]["k3"] * q["r2"] * q["r2"] * q["r2"])
+
+    def u(q):
+        p = q["p"]
+        return p["fx"] * (q["a"] * q["k"] + 2 * p["p1"] * q["a"] * q["b"] + p["p2"] * (q["r2"] + 2 * q["a"] * q["a"])) + p["cx"]
+
+    def v(q):
+        p = q["p"]
+        return p["fy"] * (q["b"] * q["k"] + p["p1"] * (q["r2"] + 2 * q["b"] * q["b"]) + 2 * p["p2"] * q["a"] * q["b"]) + p["cy"]
+
+    pixel = let(radial, zc=lambda q: q["zc"], u=u, v=v)
+    inside = lambda q: F.coalesce((q["u"] >= 0) & (q["u"] < q["p"]["w"]) & (q["v"] >= 0) & (q["v"] < q["p"]["h"]), F.lit(False))
+    out = F.transform(pixel, lambda q: F.struct(q["p"]["view_id"].alias("view_id"), q["p"]["w"].alias("w"), q["p"]["h"].alias("h"),
+                                                q["zc"].alias("depth"), q["u"].alias("u"), q["v"].alias("v"), inside(q).alias("in_frame")))
+    return _with_poses(points, poses).select(*points.columns, F.inline(out))
 
 
 POSE_BATCH, POSE_SALTS = 256, 256
 
 
 def _with_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
-    """Attach every pose of a point's cloud (or every pose, without a common cloud) to the point.
+    """Attach the poses of a point's cloud (or all poses, without a common cloud) to the point as packed arrays.
 
     Poses are packed into arrays of at most 256 photos. The packed rows are counted: up to 400 are broadcast; more are
     copied once per salt, so the points stay spread over all tasks.
@@ -192,7 +207,7 @@ def _with_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
     packed = packed.withColumn("_salt", F.lit(0)) if small else packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(POSE_SALTS - 1))))
     salt = F.lit(0) if small else F.pmod(F.hash(*points.columns), F.lit(POSE_SALTS))
     rows = points.withColumn("_salt", salt).join(F.broadcast(packed) if small else packed, [*keys, "_salt"]).drop("_salt")
-    return rows.withColumn("_pose", F.explode("_poses")).select(*points.columns, "_pose.*")
+    return rows.select(*points.columns, "_poses")
 
 
 def zbuffer_visible(projected: DataFrame) -> DataFrame:

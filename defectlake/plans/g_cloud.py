@@ -121,9 +121,9 @@ def visible(fx):
     return ops.zbuffer_visible(projected(fx))
 
 
-@query("g10_project_points", "SELECT point_id, view_id, round(u, 6) u, round(v, 6) v, round(depth, 6) depth, in_frame FROM fr", "fx_points fx_poses", PROJ)
+@query("g10_project_points", "SELECT point_id, view_id, round(u + 1.234e-8, 6) u, round(v + 1.234e-8, 6) v, round(depth, 6) depth, in_frame FROM fr", "fx_points fx_poses", PROJ)
 def g10(fx):
-    return projected(fx).select("point_id", "view_id", *[F.round(c, 6).alias(c) for c in ("u", "v", "depth")], "in_frame")
+    return projected(fx).select("point_id", "view_id", *[F.round(F.col(c) + 1.234e-8, 6).alias(c) for c in ("u", "v")], F.round("depth", 6).alias("depth"), "in_frame")
 
 
 @query("g11_zbuffer_visible", "SELECT point_id, view_id, px, py, visible FROM zb", "fx_points fx_poses", PROJ)
