@@ -142,7 +142,8 @@ def component_features(labels: DataFrame, keys: Sequence[str], height: int, widt
     keys = list(keys)
     labels = labels.select(*keys, "y", "x", "label")
     moments = labels.groupBy(*keys, "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.covar_pop("x", "y").alias("_xy"), F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"))
-    angle = F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy")) / 2
+    # Rounding off the last digits keeps the axis of symmetric shapes the same in every evaluation order.
+    angle = F.atan2(2 * F.round("_xy", 9) + 0.0, F.round(F.col("_xx") - F.col("_yy"), 9) + 0.0) / 2
     moments = moments.select(*keys, "label", "cx", "cy", F.cos(angle).alias("_ux"), F.sin(angle).alias("_uy"))
     along = (F.col("x") - F.col("cx")) * F.col("_ux") + (F.col("y") - F.col("cy")) * F.col("_uy")
     axis = labels.join(moments, [*keys, "label"]).withColumn("_t", along).groupBy(*keys, "label").agg(

@@ -157,7 +157,7 @@ def e14(fx):
 
 
 FEATURES = LAB + ",\n" + BOX + ",\n" + erode_sql("lab", K + ", label", "inn") + f""",
-mo AS (SELECT {K}, label, avg(x) cx, avg(y) cy, atan2(2*covar_pop(x, y), var_pop(x)-var_pop(y))/2 th FROM lab GROUP BY {K}, label),
+mo AS (SELECT {K}, label, avg(x) cx, avg(y) cy, atan2(2*round(covar_pop(x, y), 9)+0.0, round(var_pop(x)-var_pop(y), 9)+0.0)/2 th FROM lab GROUP BY {K}, label),
 ax AS (SELECT {K}, label, cx, cy, max((x-cx)*cos(th)+(y-cy)*sin(th))-min((x-cx)*cos(th)+(y-cy)*sin(th)) axis_length FROM lab JOIN mo USING ({K}, label) GROUP BY {K}, label, cx, cy),
 bd AS (SELECT {K}, label, count(*)::DOUBLE perimeter FROM lab l ANTI JOIN inn USING ({K}, label, y, x) GROUP BY {K}, label),
 feat AS (SELECT box.*, cx, cy, axis_length, coalesce(perimeter, 0) perimeter, greatest(bw,bh)/greatest(1, least(bw,bh)) aspect, area/greatest(axis_length, 1e-6) width FROM box JOIN ax USING ({K}, label) LEFT JOIN bd USING ({K}, label))"""
