@@ -1,0 +1,199 @@
+"""Annotation datasets: rasterising, label maps, COCO rows, tiles and splits."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import bounding_box, half_up
+from ..functions.rating import CLASS_LABELS
+from ..functions.taxonomy import literal_map
+from . import raster
+from .evaluation import seg_metrics
+from .ordered import ordered_positions
+
+# Annotation classes with level and label index, paint order, COCO categories of detector records.
+CLASSES = {"structure": ("cena", 1), "irrelevant": ("cena", 2), "spalling_dark": ("regiao", 3), "exposed_rebar": ("regiao", 4), "corrosion_rust": ("regiao", 5),
+           "efflorescence_white": ("regiao", 6), "cracks": ("detalhe", 7)}
+PAINT_ORDER = ["structure", "irrelevant", "spalling_dark", "efflorescence_white", "corrosion_rust", "exposed_rebar", "cracks"]
+COCO_CATEGORY = {"cracks": 1, "spalling_dark": 2, "exposed_rebar": 3, "corrosion_rust": 4, "efflorescence_white": 5, "growth": 6, "reduction": 7}
+
+
+def usable_annotations(annotations: DataFrame) -> DataFrame:
+    return annotations.where(~F.coalesce("status", F.lit("manual")).isin("suggested", "rejected"))
+
+
+def shapes_of(vertices: DataFrame, keys: Sequence[str], x: str = "px", y: str = "py", order: str = "seq") -> DataFrame:
+    """Vertex rows to one row per shape with ordered ``points``."""
+    packed = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
+    return packed.select(*keys, F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+
+
+def rasterize_polygons(shapes: DataFrame, keys: Sequence[str], height: int, width: int) -> DataFrame:
+    """Even-odd fill at pixel centres: edges become scanline crossings, crossings pair up to spans, spans to pixels."""
+    keys = list(keys)
+    ring = F.zip_with("points", F.concat(F.slice("points", -1, 1), F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(0)))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    edges = shapes.where(F.size("points") >= 3).select(*keys, F.explode(ring).alias("e")).select(*keys, *[F.col(f"e.{s}.{a}").alias(f"{a}{i}") for s, i in (("p", "i"), ("q", "j")) for a in "xy"])
+    low = F.greatest(F.lit(0), F.ceil(F.least("yi", "yj") - 0.5)).cast("long")
+    high = F.least(F.lit(height - 1), F.ceil(F.greatest("yi", "yj") - 0.5) - 1).cast("long")
+    lines = edges.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo").withColumn("y", F.explode(F.sequence("_lo", "_hi")))
+    at = F.col("xi") + (F.col("y") + 0.5 - F.col("yi")) * (F.col("xj") - F.col("xi")) / (F.col("yj") - F.col("yi"))
+    rows = lines.select(*keys, "y", at.alias("c")).groupBy(*keys, "y").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda k: F.struct(F.get("c", 2 * k).alias("a"), F.get("c", 2 * k + 1).alias("b")))
+    spans = rows.where(F.size("c") >= 2).select(*keys, "y", F.inline(pairs))
+    spans = spans.select(*keys, "y", F.greatest(F.lit(0), F.ceil(F.col("a") - 0.5)).cast("long").alias("a"), F.least(F.lit(width - 1), F.floor(F.col("b") - 0.5)).cast("long").alias("b")).where("b >= a")
+    return spans.select(*keys, "y", F.explode(F.sequence("a", "b")).alias("x")).distinct()
+
+
+def rasterize_strokes(shapes: DataFrame, keys: Sequence[str], height: int, width: int, stroke: Column) -> DataFrame:
+    """Discs of half the stroke width stamped along each polyline."""
+    keys = list(keys)
+    r = F.greatest(F.lit(0.5), stroke / 2)
+    rows = shapes.where(F.size("points") >= 1).withColumn("_r", r).withColumn("_step", F.greatest(F.lit(0.35), r / 2))
+    ends = F.when(F.size("points") == 1, F.col("points")).otherwise(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(1))))
+    seg = F.zip_with(F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(1))), ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = rows.select(*keys, "_r", "_step", F.explode(seg).alias("s")).select(*keys, "_r", "_step", *[F.col(f"s.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / F.col("_step")))
+    rows = rows.withColumn("_n", n.cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    t = F.col("_k") / F.col("_n")
+    rows = rows.select(*keys, "_r", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("cx"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("cy"))
+    for axis, size in (("y", height), ("x", width)):
+        low = F.greatest(F.lit(0), F.floor(F.col(f"c{axis}") - F.col("_r"))).cast("long")
+        high = F.least(F.lit(size - 1), F.ceil(F.col(f"c{axis}") + F.col("_r"))).cast("long")
+        rows = rows.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo").withColumn(axis, F.explode(F.sequence("_lo", "_hi")))
+    dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
+    return rows.where(dx * dx + dy * dy <= F.col("_r") * F.col("_r")).select(*keys, "y", "x").distinct()
+
+
+def rasterize(shapes: DataFrame, keys: Sequence[str], height: int, width: int, is_polygon: Column, stroke: Column) -> DataFrame:
+    return rasterize_polygons(shapes.where(is_polygon), keys, height, width).unionByName(rasterize_strokes(shapes.where(~is_polygon), keys, height, width, stroke))
+
+
+def label_map(pixels: DataFrame) -> DataFrame:
+    """Class index of the topmost class per pixel."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in PAINT_ORDER]), F.col("cls"))
+    index = F.element_at(literal_map({k: v[1] for k, v in CLASSES.items()}), F.col("cls"))
+    return pixels.groupBy("image_id", "y", "x").agg(F.max_by(index, rank).cast("long").alias("label"))
+
+
+def coco_rows(shapes: DataFrame, height: int, width: int, is_polygon: Column, stroke: Column) -> DataFrame:
+    """Annotation rows: category, raster area, padded box, flat polygon or run lengths."""
+    keys = ["image_id", "ann_id"]
+    pixels = rasterize(shapes, keys, height, width, is_polygon, stroke)
+    area = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"))
+    rle = raster.rle(pixels.join(shapes.where(~is_polygon).select(*keys), keys, "left_semi"), keys, height, width)
+    pad = F.when(is_polygon, 0.0).otherwise(F.greatest(F.lit(1.0), stroke) / 2)
+    flat = F.when(is_polygon, F.flatten(F.transform("points", lambda p: F.array(F.round(p["x"], 2), F.round(p["y"], 2)))))
+    rows = shapes.join(area, keys).join(rle, keys, "left")
+    category = F.element_at(literal_map({k: v[1] for k, v in CLASSES.items()}), F.col("cls"))
+    return rows.select("ann_id", "image_id", category.cast("long").alias("category_id"), F.lit(0).alias("iscrowd"), "area", bounding_box(F.col("points"), pad).alias("bbox"), flat.alias("segmentation"), "counts")
+
+
+def tile_windows(images: DataFrame, scales: Sequence[int] = (1, 2, 4), side: int = 512) -> DataFrame:
+    """Grid windows of every image (``image_id, w, h``) per scale with their output size."""
+    rows = images.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
+    rows = rows.withColumn("tw", F.ceil(F.col("w") / F.col("scale")).cast("long")).withColumn("th", F.ceil(F.col("h") / F.col("scale")).cast("long"))
+    for k in "ij":
+        rows = rows.withColumn(k, F.explode(F.sequence(F.lit(0), F.col("scale") - 1)))
+    rows = rows.withColumn("x0", F.col("i") * F.col("tw")).withColumn("y0", F.col("j") * F.col("th"))
+    rows = rows.withColumn("ww", F.least("tw", F.col("w") - F.col("x0"))).withColumn("hh", F.least("th", F.col("h") - F.col("y0"))).where("ww > 0 AND hh > 0")
+    k = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest("ww", "hh"))
+    return rows.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("scale", "i", "j", "x0", "y0", "ww", "hh")],
+                       F.greatest(F.lit(1), half_up(F.col("ww") * k)).cast("long").alias("out_w"), F.greatest(F.lit(1), half_up(F.col("hh") * k)).cast("long").alias("out_h"))
+
+
+def crop_tiles(labels: DataFrame, images: DataFrame, scales: Sequence[int] = (1, 2, 4), side: int = 512) -> DataFrame:
+    """Nearest-neighbour tile pixels of a sparse label map; the window of a pixel follows from its position, per scale."""
+    windows = tile_windows(images, scales, side)
+    rows = labels.join(images, "image_id").withColumn("scale", F.explode(F.array(*[F.lit(s).cast("long") for s in scales])))
+    for k, a, n in (("i", "x", "w"), ("j", "y", "h")):
+        rows = rows.withColumn(k, F.floor(F.col(a) / F.ceil(F.col(n) / F.col("scale"))).cast("long"))
+    rows = rows.drop("w", "h").join(windows, ["image_id", "scale", "i", "j"])
+    for a, o, n, m in (("y", "y0", "hh", "out_h"), ("x", "x0", "ww", "out_w")):
+        off = F.col(a) - F.col(o)
+        low = F.greatest(F.lit(0), F.ceil(off * F.col(m) / F.col(n) - 0.5)).cast("long")
+        high = F.least(F.col(m) - 1, F.ceil((off + 1) * F.col(m) / F.col(n) - 0.5) - 1).cast("long")
+        rows = rows.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo").withColumn(f"out_{a}", F.explode(F.sequence("_lo", "_hi")))
+    return rows.select("image_id", "scale", "i", "j", "out_y", "out_x", "label")
+
+
+def tile_index(windows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Windows to export: all whole images and every smaller window with a label in it."""
+    seen = tiles.groupBy("image_id", "scale", "i", "j").agg(F.count(F.lit(1)).alias("labelled_px"))
+    out = windows.join(seen, ["image_id", "scale", "i", "j"], "left").withColumn("labelled_px", F.coalesce("labelled_px", F.lit(0)).cast("long"))
+    return out.where((F.col("scale") == 1) | (F.col("labelled_px") > 0))
+
+
+def suggestions(records: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Detector records as suggested annotations in preview coordinates."""
+    crack = (F.col("damage_class") == "cracks") | ~F.col("closed")
+    rows = records.where(F.col("damage_class").isin(list(CLASSES)) & (F.size("points") > 0))
+    pts = F.transform("points", lambda p: F.struct(F.round(p["x"] * scale, 2).alias("x"), F.round(p["y"] * scale, 2).alias("y")))
+    level = F.element_at(literal_map({k: v[0] for k, v in CLASSES.items()}), F.col("damage_class"))
+    return rows.select(F.concat(F.lit("cdm-"), "record_id").alias("ann_id"), F.col("damage_class").alias("cls"), level.alias("level"), F.when(crack, "crack").otherwise("polygon").alias("shape"), pts.alias("points"),
+                       F.when(crack, F.greatest(F.lit(1.0), F.round(F.coalesce(F.nullif("width_px", F.lit(0.0)), F.lit(2.0)) * scale, 2))).alias("width"), F.lit("suggested").alias("status"), F.lit("cdm").alias("source"))
+
+
+def evaluate_against_gt(gt_pixels: DataFrame, predicted_pixels: DataFrame) -> DataFrame:
+    """Metrics per image and class for the non-scene classes that are annotated."""
+    damage = [c for c, (level, _) in CLASSES.items() if level != "cena"]
+    gt = gt_pixels.where(F.col("cls").isin(damage))
+    known = gt.select("image_id", "cls").distinct()
+    return seg_metrics(gt, predicted_pixels.join(known, ["image_id", "cls"], "left_semi"), ["image_id", "cls"])
+
+
+def pair_files(listing: DataFrame) -> DataFrame:
+    """Image and mask paths of one scenario paired by file stem (``<scenario>/img/<stem>.<ext>`` and ``/gt/``)."""
+    part = lambda i: F.regexp_extract("path", r"^([^/]+)/(img|gt)/([^/]+)\.(?i:png|jpg|jpeg)$", i)
+    rows = listing.select(part(1).alias("scenario"), part(2).alias("kind"), part(3).alias("stem"), "path").where("stem <> ''")
+    masks = rows.where("kind = 'gt'").groupBy("scenario", "stem").agg(F.max("path").alias("mask"))
+    return rows.where("kind = 'img'").select("scenario", "stem", F.col("path").alias("image")).join(masks, ["scenario", "stem"])
+
+
+def spread_sample(pairs: DataFrame, per: int, chunk: Column | None = None) -> DataFrame:
+    """``per`` evenly spaced pairs of each scenario in path order (all of them when there are fewer)."""
+    rows = ordered_positions(pairs, ["scenario"], ["image"], F.substring("image", 1, 12) if chunk is None else chunk)
+    n = rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("_n"))
+    picks = n.select("scenario", "_n", F.explode(F.sequence(F.lit(0), F.lit(max(per, 1) - 1))).alias("_i"))
+    at = F.when(F.lit(per) > 1, F.floor(F.col("_i") * (F.col("_n") - 1) / F.lit(float(max(per - 1, 1))))).otherwise(0)
+    picks = picks.where(F.col("_n") > per).select("scenario", (at + 1).cast("long").alias("pos")).distinct()
+    small = rows.join(n.where(F.col("_n") <= per).select("scenario"), "scenario", "left_semi")
+    return rows.join(picks, ["scenario", "pos"], "left_semi").unionByName(small).drop("pos")
+
+
+def hash_split(key: Column) -> Column:
+    """Stable 70 / 15 / 15 split from the SHA-256 of the key."""
+    bucket = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % 100
+    return F.when(bucket < 70, "train").when(bucket < 85, "val").otherwise("test")
+
+
+VARIANTS = ["original", "recorte_se", "recorte_sd", "recorte_ie", "recorte_id", "fase_7_5", "rot_90", "rot_180", "rot_270", "espelho_h", "espelho_v",
+            "brilho_p15", "brilho_m15", "contraste_115", "contraste_085", "gama_08", "gama_125"]
+
+
+def augment_index(pixels: DataFrame, height: int, width: int, value: str = "g") -> DataFrame:
+    """Deterministic variants of every image as pixel rows (crops, shifts, turns, flips and tone changes).
+
+    Each pixel lists its own image in all variants, so the table is read once and nothing is joined.
+    """
+    v, x, y = F.col(value).cast("double"), F.col("x"), F.col("y")
+    cw, ch = round(width * 0.7), round(height * 0.7)
+
+    def crop(x0: int, y0: int, w: int, h: int):
+        return (x >= x0) & (x < x0 + w) & (y >= y0) & (y < y0 + h), y - y0, x - x0, v
+
+    yes = F.lit(True)
+    moves = {"original": (yes, y, x, v), "recorte_se": crop(0, 0, cw, ch), "recorte_sd": crop(width - cw, 0, cw, ch), "recorte_ie": crop(0, height - ch, cw, ch), "recorte_id": crop(width - cw, height - ch, cw, ch),
+             "fase_7_5": crop(7, 5, width - 7, height - 5), "rot_90": (yes, x, height - 1 - y, v), "rot_180": (yes, height - 1 - y, width - 1 - x, v), "rot_270": (yes, width - 1 - x, y, v),
+             "espelho_h": (yes, y, width - 1 - x, v), "espelho_v": (yes, height - 1 - y, x, v), "brilho_p15": (yes, y, x, v + 15), "brilho_m15": (yes, y, x, v - 15),
+             "contraste_115": (yes, y, x, (v - 128) * 1.15 + 128), "contraste_085": (yes, y, x, (v - 128) * 0.85 + 128), "gama_08": (yes, y, x, 255 * F.pow(v / 255, F.lit(0.8))), "gama_125": (yes, y, x, 255 * F.pow(v / 255, F.lit(1.25)))}
+    made = F.array(*[F.struct(F.lit(n).alias("variant"), ok.alias("ok"), ny.cast("long").alias("ny"), nx.cast("long").alias("nx"), F.least(F.lit(255), F.greatest(F.lit(0), half_up(nv))).cast("long").alias("nv"))
+                     for n, (ok, ny, nx, nv) in moves.items()])
+    rows = pixels.select("image_id", F.inline(F.filter(made, lambda m: m["ok"])))
+    return rows.select("image_id", "variant", F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("nv").alias(value))
+
+
+def class_label(cls: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(CLASS_LABELS), cls), cls)

@@ -114,7 +114,7 @@ def i10(fx):
 SEG = "sm AS (SELECT image_id, count(*) FILTER (gt AND p) tp, count(*) FILTER (p AND NOT gt) fp, count(*) FILTER (gt AND NOT p) fn, count(*) FILTER (gt) gt_px, count(*) n FROM pr GROUP BY 1)"
 
 
-@query("i11_seg_metrics", "SELECT image_id, tp, fp, fn, round(tp/nullif(tp+fp+fn,0), 9) iou, round(2*tp/nullif(2*tp+fp+fn,0), 9) dice, round(tp/nullif(tp+fp,0), 9) AS "precision", round(tp/nullif(tp+fn,0), 9) recall FROM sm WHERE tp+fp+fn>0", "fx_probs", PRED + ",\n" + SEG)
+@query("i11_seg_metrics", "SELECT image_id, tp, fp, fn, round(tp/nullif(tp+fp+fn,0), 9) iou, round(2*tp/nullif(2*tp+fp+fn,0), 9) dice, round(tp/nullif(tp+fp,0), 9) AS \"precision\", round(tp/nullif(tp+fn,0), 9) recall FROM sm WHERE tp+fp+fn>0", "fx_probs", PRED + ",\n" + SEG)
 def i11(fx):
     return ops.seg_metrics(gt(fx), pred(fx), ["image_id"]).select("image_id", "tp", "fp", "fn", *ON("iou", "dice", "precision", "recall"))
 

@@ -1,0 +1,162 @@
+"""Registered queries: annotation datasets (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import annotations as ops
+from .base import query
+
+H, W = 120, 140
+KEYS = ["image_id", "ann_id", "cls"]
+def poly():
+    return F.col("cls") != "cracks"
+
+
+def stroke():
+    return F.lit(3.0)
+
+
+USE = "us AS (SELECT * FROM fx_annotations WHERE status NOT IN ('suggested','rejected'))"
+EDGE = USE + f""",
+ed AS (SELECT a.image_id, a.ann_id, a.cls, a.px xi, a.py yi, b.px xj, b.py yj FROM us a JOIN us b ON a.ann_id=b.ann_id AND b.seq=(a.seq+3)%4 WHERE a.cls<>'cracks'),
+cr AS (SELECT image_id, ann_id, cls, y, xi+(y+0.5-yi)*(xj-xi)/(yj-yi) c FROM ed CROSS JOIN (SELECT unnest(range(0,{H})) y) s WHERE (yi<=y+0.5 AND yj>y+0.5) OR (yj<=y+0.5 AND yi>y+0.5)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ann_id, y ORDER BY c) k, lead(c) OVER (PARTITION BY ann_id, y ORDER BY c) c2 FROM cr),
+pg AS (SELECT DISTINCT image_id, ann_id, cls, y, x FROM rk JOIN (SELECT unnest(range(0,{W})) x) s ON x>=ceil(c-0.5) AND x<=floor(c2-0.5) WHERE k%2=1)"""
+STRK = USE + f""",
+sg AS (SELECT a.image_id, a.ann_id, a.cls, a.px ax, a.py ay, b.px bx, b.py by_, greatest(1, ceil(sqrt((b.px-a.px)*(b.px-a.px)+(b.py-a.py)*(b.py-a.py))/0.75)) n FROM us a JOIN us b ON a.ann_id=b.ann_id AND b.seq=a.seq+1 WHERE a.cls='cracks'),
+dc AS (SELECT image_id, ann_id, cls, ax+(bx-ax)*(k/n) cx, ay+(by_-ay)*(k/n) cy FROM (SELECT *, unnest(range(0, n::BIGINT+1)) k FROM sg) q),
+sk AS (SELECT DISTINCT image_id, ann_id, cls, y, x FROM dc JOIN (SELECT unnest(range(0,{H})) y) a ON y BETWEEN cy-3 AND cy+3 JOIN (SELECT unnest(range(0,{W})) x) b ON x BETWEEN cx-3 AND cx+3 WHERE (x+0.5-cx)*(x+0.5-cx)+(y+0.5-cy)*(y+0.5-cy)<=2.25)"""
+BOTH = EDGE + ",\n" + STRK.replace(USE + ",\n", "") + ",\npx AS (SELECT * FROM pg UNION ALL SELECT * FROM sk)"
+PAINT = "CASE cls WHEN 'structure' THEN 1 WHEN 'irrelevant' THEN 2 WHEN 'spalling_dark' THEN 3 WHEN 'efflorescence_white' THEN 4 WHEN 'corrosion_rust' THEN 5 WHEN 'exposed_rebar' THEN 6 ELSE 7 END"
+INDEX = "CASE cls WHEN 'structure' THEN 1 WHEN 'irrelevant' THEN 2 WHEN 'spalling_dark' THEN 3 WHEN 'exposed_rebar' THEN 4 WHEN 'corrosion_rust' THEN 5 WHEN 'efflorescence_white' THEN 6 ELSE 7 END"
+LABELS = BOTH + f",\nlm AS (SELECT image_id, y, x, arg_max({INDEX}, {PAINT})::BIGINT AS \"label\" FROM px GROUP BY 1,2,3)"
+TILES = f"""im AS (SELECT DISTINCT image_id, {W}+image_id%3 w, {H} h FROM fx_annotations),
+tw AS (SELECT image_id, scale, i, j, i*tw x0, j*th y0, least(tw, w-i*tw) ww, least(th, h-j*th) hh FROM (SELECT *, ceil(w/scale)::BIGINT tw, ceil(h/scale)::BIGINT th FROM im CROSS JOIN (SELECT unnest([1,2,4])::BIGINT scale) s) a CROSS JOIN (SELECT unnest(range(0,4)) i) b CROSS JOIN (SELECT unnest(range(0,4)) j) c WHERE i<scale AND j<scale),
+wn AS (SELECT *, greatest(1, floor(ww*least(1.0::DOUBLE, 64.0/greatest(ww,hh))+0.5))::BIGINT out_w, greatest(1, floor(hh*least(1.0::DOUBLE, 64.0/greatest(ww,hh))+0.5))::BIGINT out_h FROM tw WHERE ww>0 AND hh>0)"""
+CROP = LABELS + ",\n" + TILES + """,
+ct AS (SELECT q.image_id, scale, i, j, out_y, out_x, l.label FROM (SELECT *, y0+least(hh-1, floor((out_y+0.5)*hh/out_h)::BIGINT) sy, x0+least(ww-1, floor((out_x+0.5)*ww/out_w)::BIGINT) sx FROM (SELECT *, unnest(range(0, out_w)) out_x FROM (SELECT *, unnest(range(0, out_h)) out_y FROM wn) a) b) q JOIN lm l ON l.image_id=q.image_id AND l.y=q.sy AND l.x=q.sx)"""
+
+
+def shapes(fx):
+    return ops.shapes_of(ops.usable_annotations(fx.annotations), KEYS)
+
+
+def pixels(fx):
+    return ops.rasterize(shapes(fx), KEYS, H, W, poly(), stroke())
+
+
+def images(fx):
+    return fx.annotations.select("image_id").distinct().select("image_id", (W + F.col("image_id") % 3).alias("w"), F.lit(H).cast("long").alias("h"))
+
+
+@query("j1_usable_annotations", "SELECT cls, status, count(DISTINCT ann_id) annotations, count(*) vertices FROM us GROUP BY 1,2", "fx_annotations", USE)
+def j1(fx):
+    return ops.usable_annotations(fx.annotations).groupBy("cls", "status").agg(F.countDistinct("ann_id").alias("annotations"), F.count(F.lit(1)).alias("vertices"))
+
+
+@query("j2_rasterize_polygons", "SELECT image_id, ann_id, cls, y, x FROM pg", "fx_annotations", EDGE)
+def j2(fx):
+    return ops.rasterize_polygons(shapes(fx).where(poly()), KEYS, H, W)
+
+
+@query("j3_rasterize_strokes", "SELECT image_id, ann_id, cls, y, x FROM sk", "fx_annotations", STRK)
+def j3(fx):
+    return ops.rasterize_strokes(shapes(fx).where(~poly()), KEYS, H, W, stroke())
+
+
+@query("j4_label_map", "SELECT * FROM lm", "fx_annotations", LABELS)
+def j4(fx):
+    return ops.label_map(pixels(fx))
+
+
+@query("j5_shape_measures", """
+SELECT ann_id, round(abs(sum(a.px*b.py-b.px*a.py))/2, 6) area, min(a.px)-1 bbox_x, min(a.py)-1 bbox_y, max(a.px)-min(a.px)+2 bbox_w, max(a.py)-min(a.py)+2 bbox_h,
+ round(2*greatest(1, 2.5::DOUBLE)*sqrt(pow(max(a.px) FILTER (a.seq=3)-max(a.px) FILTER (a.seq=0), 2)+pow(max(a.py) FILTER (a.seq=3)-max(a.py) FILTER (a.seq=0), 2)), 5) quad_area FROM fx_annotations a JOIN (SELECT ann_id, seq, px, py FROM fx_annotations) b USING (ann_id) WHERE b.seq=(a.seq+1)%4 GROUP BY 1""", "fx_annotations")
+def j5(fx):
+    p = F.col("points")
+    rows = ops.shapes_of(fx.annotations, ["ann_id"]).withColumn("b", G.bounding_box(p, F.lit(1.0))).withColumn("quad", G.line_to_quad(p, F.lit(5.0)))
+    return rows.select("ann_id", F.round(G.polygon_area(p), 6).alias("area"), *[F.col(f"b.{k}").alias(f"bbox_{k}") for k in "xywh"], F.round(G.polygon_area(F.col("quad")), 5).alias("quad_area"))
+
+
+@query("j6_coco_rows", f"SELECT ann_id, image_id, {INDEX}::BIGINT category_id, count(*) area FROM px GROUP BY 1,2,3", "fx_annotations", BOTH)
+def j6(fx):
+    return ops.coco_rows(shapes(fx), H, W, poly(), stroke()).select("ann_id", "image_id", "category_id", "area")
+
+
+@query("j7_tile_windows", "SELECT * FROM wn", "fx_annotations", TILES)
+def j7(fx):
+    return ops.tile_windows(images(fx), side=64)
+
+
+@query("j8_crop_tiles", "SELECT * FROM ct", "fx_annotations", CROP)
+def j8(fx):
+    return ops.crop_tiles(ops.label_map(pixels(fx)), images(fx), side=64)
+
+
+@query("j8_tile_index", "SELECT w.image_id, w.scale, w.i, w.j, coalesce(n, 0) labelled_px FROM wn w LEFT JOIN (SELECT image_id, scale, i, j, count(*) n FROM ct GROUP BY 1,2,3,4) c USING (image_id, scale, i, j) WHERE w.scale=1 OR n>0", "fx_annotations", CROP)
+def j8b(fx):
+    tiles = ops.crop_tiles(ops.label_map(pixels(fx)), images(fx), side=64)
+    return ops.tile_index(ops.tile_windows(images(fx), side=64), tiles).select("image_id", "scale", "i", "j", "labelled_px")
+
+
+def record_shapes(fx):
+    r = fx.records.where("time_label = 't1_current'")
+    x, y, w, h = (F.col(f"bbox_{k}").cast("double") for k in "xywh")
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    closed = F.col("damage_class") != "cracks"
+    return r.select("record_id", "image_id", "damage_class", closed.alias("closed"), "width_px", F.when(closed, F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))).otherwise(F.array(p(x, y), p(x + w, y + h))).alias("points"))
+
+
+@query("j9_suggestions", """
+SELECT concat('cdm-', record_id) ann_id, damage_class cls, CASE WHEN damage_class='cracks' THEN 'detalhe' ELSE 'regiao' END AS "level", CASE WHEN damage_class='cracks' THEN 'crack' ELSE 'polygon' END shape, round(bbox_x*0.25::DOUBLE, 2) first_x,
+ CASE WHEN damage_class='cracks' THEN greatest(1, round(coalesce(nullif(width_px,0), 2)*0.25 + 1e-9, 2)) END width FROM fx_records WHERE time_label='t1_current'""", "fx_records")
+def j9(fx):
+    out = ops.suggestions(record_shapes(fx), 0.25)
+    return out.select("ann_id", "cls", "level", "shape", F.get("points", F.lit(0))["x"].alias("first_x"), "width")
+
+
+@query("j10_evaluate_against_gt")
+def j10(fx):
+    keys = ["image_id", "record_id", "cls"]
+    rec = record_shapes(fx).select((F.col("image_id") % 50).alias("image_id"), "record_id", F.col("damage_class").alias("cls"), F.transform("points", lambda p: F.struct((p["x"] / 12).alias("x"), (p["y"] / 10).alias("y"))).alias("points"))
+    return ops.evaluate_against_gt(pixels(fx), ops.rasterize(rec, keys, H, W, poly(), stroke()))
+
+
+FILES = "SELECT concat('scen', CAST(o_custkey % 3 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '/img/' ELSE '/gt/' END, 'frame_', CAST(CAST(floor(o_orderkey/2) AS BIGINT) % 4000 AS STRING), CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.JPG' END) path FROM {o}"
+PAIRS = "fl AS (SELECT DISTINCT path FROM (" + FILES.format(o="orders") + """) a),
+ps AS (SELECT split_part(path, '/', 1) scenario, split_part(path, '/', 2) kind, replace(split_part(path, '/', 3), '.JPG', '') stem, path FROM fl WHERE path LIKE '%.JPG'),
+pp AS (SELECT i.scenario, i.stem, i.path image, m.path mask FROM ps i JOIN ps m ON i.scenario=m.scenario AND i.stem=m.stem AND i.kind='img' AND m.kind='gt')"""
+
+
+def files(fx):
+    return ops.pair_files(fx.spark.sql(FILES, o=fx.orders).distinct())
+
+
+@query("j11_pair_files", "SELECT * FROM pp", "", PAIRS)
+def j11(fx):
+    return files(fx)
+
+
+@query("j12_spread_sample", """SELECT p.scenario, stem, image, mask FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY image)-1 k, count(*) OVER (PARTITION BY scenario) n FROM pp) p
+WHERE n<=17 OR k IN (SELECT floor(i*(n-1)/16)::BIGINT FROM (SELECT unnest(range(0,17)) i) q)""", "", PAIRS)
+def j12(fx):
+    return ops.spread_sample(files(fx), 17, F.substring("image", 1, 18)).select("scenario", "stem", "image", "mask")
+
+
+@query("j13_hash_split", "SELECT c_custkey, CASE WHEN b<70 THEN 'train' WHEN b<85 THEN 'val' ELSE 'test' END split FROM (SELECT c_custkey, CAST(concat('0x', substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 b FROM customer) q")
+def j13(fx):
+    return fx.customer.select("c_custkey", ops.hash_split(F.col("c_custkey")).alias("split"))
+
+
+CROPS = {"recorte_se": (0, 0, 22, 22), "recorte_sd": (10, 0, 22, 22), "recorte_ie": (0, 10, 22, 22), "recorte_id": (10, 10, 22, 22), "fase_7_5": (7, 5, 25, 27)}
+MOVES = {"original": ("y", "x", "g"), "rot_90": ("x", "31-y", "g"), "rot_180": ("31-y", "31-x", "g"), "rot_270": ("31-x", "y", "g"), "espelho_h": ("y", "31-x", "g"), "espelho_v": ("31-y", "x", "g"), "brilho_p15": ("y", "x", "g+15"), "brilho_m15": ("y", "x", "g-15"),
+         "contraste_115": ("y", "x", "(g-128)*1.15::DOUBLE+128"), "contraste_085": ("y", "x", "(g-128)*0.85::DOUBLE+128"), "gama_08": ("y", "x", "255*pow(g/255, 0.8::DOUBLE)"), "gama_125": ("y", "x", "255*pow(g/255, 1.25::DOUBLE)")}
+AUG = " UNION ALL ".join([f"SELECT image_id, '{n}' variant, y-{y0} y, x-{x0} x, g FROM fx_pixels WHERE x>={x0} AND x<{x0 + w} AND y>={y0} AND y<{y0 + h}" for n, (x0, y0, w, h) in CROPS.items()]
+                         + [f"SELECT image_id, '{n}', {y}, {x}, least(255, greatest(0, floor({g}+0.5)))::BIGINT FROM fx_pixels" for n, (y, x, g) in MOVES.items()])
+
+
+@query("j14_augment_index", AUG, "fx_pixels")
+def j14(fx):
+    return ops.augment_index(fx.pixels, 32, 32)
