@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import clamp, half_up, record_contains
 from ..functions.taxonomy import literal_map
 from ..session import checkpoint, measured
-from .spatial import cell_range, near_pairs, ordered_fold
+from .spatial import cell_range, near_pairs, nearest_within, ordered_fold
 
 # ASPRS class names and environment limits.
 ASPRS = {0: "created_never_classified", 1: "unclassified", 2: "ground", 3: "low_vegetation", 4: "medium_vegetation", 5: "high_vegetation",
@@ -243,7 +243,7 @@ def sample_colors(visible: DataFrame, pixels: DataFrame, photo_w: int, photo_h:
     return rows.withColumn("colored", F.col("_r").isNotNull()).drop("_x", "_y", "_r", "_g", "_b", "min_z", "max_z")
 
 
-def label_points(visible: DataFrame, records: DataFrame, scale_x: float, scale_y: float, cell: float = 64.0) -> DataFrame:
+def label_points(visible: DataFrame, records: DataFrame, scale_x: float, scale_y: float, cell: float = 32.0) -> DataFrame:
     """First class in priority order whose record covers the point; equal record shapes are looked at once."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("damage_class")) - 1
     # Several hundred points per class and pixel may coincide: only distinct shapes take part in the join.
@@ -353,30 +353,16 @@ def fusion_summary(fused: DataFrame, total_points: int) -> DataFrame:
                      F.avg("coverage").alias("mean_views"), F.avg("weight").alias("mean_weight"))
 
 
-def nearest_point(queries: DataFrame, points: DataFrame, keys: Sequence[str], radius: float, query_id: str, point_id: str, max_rounds: int = 40) -> DataFrame:
+def nearest_point(queries: DataFrame, points: DataFrame, keys: Sequence[str], radius: float, query_id: str, point_id: str) -> DataFrame:
     """Exact nearest neighbour by a grid whose cell grows for the queries that found nothing yet.
 
     Points at equal coordinates take part once (smallest id). Every round resolves all queries with a neighbour within
-    the radius; only the rest goes on, with twice the radius.
+    the radius; only the rest goes on, with twice the radius. ``radius`` should be about the point spacing: queries far
+    outside a cloud need several rounds and meet more candidates.
     """
-    keys = list(keys)
-    unique = points.groupBy(*keys, "x", "y", "z").agg(F.min(point_id).alias("point_id"))
-    served = queries.select(*keys, F.col(query_id).alias("query_id"), "x", "y", "z").join(unique.select(*keys).distinct(), keys, "left_semi") if keys else queries.select(F.col(query_id).alias("query_id"), "x", "y", "z")
-    unique, rest, parts = checkpoint(unique), checkpoint(served), []
-    for _ in range(max_rounds):
-        pairs = near_pairs(rest, unique, keys, ["x", "y", "z"], radius)
-        best = pairs.groupBy(*[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_query_id").alias("query_id")).agg(
-            F.min(F.struct("distance", F.col("r_point_id").alias("point_id"))).alias("b"))
-        found = checkpoint(best.select(*keys, "query_id", F.col("b.point_id").alias("point_id"), F.col("b.distance").alias("distance")))
-        parts.append(found)
-        rest = checkpoint(rest.join(found, [*keys, "query_id"], "left_anti"))
-        if rest.isEmpty():
-            break
-        radius *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = nearest_within(queries, points, keys, ["x", "y", "z"], point_id, None, radius, 2.0)
+    rows = queries.select(*keys, F.col(query_id).alias("query_id"), "x", "y", "z").join(found, [*keys, "x", "y", "z"])
+    return rows.select(*keys, "query_id", "point_id", "distance")
 
 
 def rigid_transform(points: DataFrame, matrix: Sequence[Sequence[float]], translation: Sequence[float]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import box_iou
+from ..session import checkpoint
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -124,3 +125,33 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Seq
         total = total + s
     return (joined.withColumn("distance", F.sqrt(total)).where(F.col("distance") <= radius)
             .drop(*[f"_k{i}" for i in range(len(keys))], *cells))
+
+
+def nearest_within(queries: DataFrame, points: DataFrame, keys: Sequence[str], axes: Sequence[str], point_id: str, radius: float | None, start: float,
+                   factor: float = 3.0, max_rounds: int = 60) -> DataFrame:
+    """Nearest point (smallest id on ties) of every distinct query position, at most ``radius`` away (None = any distance).
+
+    The search radius grows from ``start``; a round settles all positions with a point in reach and passes on the rest,
+    so dense places are settled with few candidates. Returns keys, axes, ``point_id`` and ``distance``.
+    """
+    keys, axes = list(keys), list(axes)
+    place = [*keys, *axes]
+    points = checkpoint(points.groupBy(*place).agg(F.min(point_id).alias("point_id")))
+    rest = queries.select(*place).distinct()
+    rest = checkpoint(rest.join(points.select(*keys).distinct(), keys, "left_semi") if keys else rest)
+    reach, parts = start if radius is None else min(start, radius), []
+    for _ in range(max_rounds):
+        pairs = near_pairs(rest, points, keys, axes, reach)
+        best = pairs.groupBy(*[F.col(f"l_{c}").alias(c) for c in place]).agg(F.min(F.struct("distance", F.col("r_point_id").alias("point_id"))).alias("b"))
+        found = checkpoint(best.select(*place, F.col("b.point_id").alias("point_id"), F.col("b.distance").alias("distance")))
+        parts.append(found)
+        if radius is not None and reach >= radius:
+            break
+        rest = checkpoint(rest.join(found, place, "left_anti"))
+        if rest.isEmpty():
+            break
+        reach = reach * factor if radius is None else min(reach * factor, radius)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import clamp
 from ..session import checkpoint
-from .spatial import axis_islands, cell_range, near_pairs, ordered_fold
+from .spatial import axis_islands, cell_range, near_pairs, nearest_within, ordered_fold
 
 # Lifting and matching limits.
 MAX_VERTEX_PX, CLOSED_VERTICES, OPEN_VERTICES = 36.0, 64, 32
@@ -36,11 +36,9 @@ def lift_records(records: DataFrame, visible: DataFrame, scale_x: float, scale_y
     """
     verts = sampled_vertices(records)
     spots = visible.where("visible").groupBy("view_id", (F.col("u") * scale_x).alias("x"), (F.col("v") * scale_y).alias("y")).agg(F.min("point_id").alias("point_id"))
-    pairs = near_pairs(verts.select("view_id", "x", "y").distinct(), spots, ["view_id"], ["x", "y"], radius).where(F.col("distance") < radius)
-    hit = pairs.groupBy(F.col("l_view_id").alias("view_id"), F.col("l_x").alias("x"), F.col("l_y").alias("y")).agg(
-        F.min(F.struct("distance", F.col("r_point_id").alias("point_id"))).alias("b"))
-    matched = verts.join(hit, ["view_id", "x", "y"]).groupBy("view_id", "record_id", "damage_class", "closed", F.col("b.point_id").alias("point_id")).agg(
-        F.min(F.struct("seq", F.col("b.distance").alias("d"))).alias("m"))
+    hit = nearest_within(verts, spots, ["view_id"], ["x", "y"], "point_id", radius, radius / 9).where(F.col("distance") < radius)
+    matched = verts.join(hit, ["view_id", "x", "y"]).groupBy("view_id", "record_id", "damage_class", "closed", "point_id").agg(
+        F.min(F.struct("seq", F.col("distance").alias("d"))).alias("m"))
     out = matched.groupBy("view_id", "record_id", "damage_class", "closed").agg(
         F.count(F.lit(1)).alias("matches"), F.sqrt(F.avg(F.col("m.d") * F.col("m.d"))).alias("reprojection_rmse"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("m.seq").alias("seq"), F.col("point_id")))), lambda s: s["point_id"]).alias("point_ids"))
