@@ -63,21 +63,29 @@ def _sub(u: Sequence[Column], v: Sequence[Column]) -> list[Column]:
 
 
 def point_triangle_distance(p: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> Column:
-    """Distance from a point to a triangle: to its plane above the face, otherwise to the nearest edge."""
-    def edge(q, r):
-        d, w = _sub(r, q), _sub(p, q)
+    """Distance from a point to a triangle: to its plane above the face, otherwise to the nearest edge.
+
+    Edge vectors and offset are taken once, as fields of a one-element array, which keeps the generated code small.
+    """
+    vectors = {"u": _sub(b, a), "v": _sub(c, a), "w": _sub(p, a)}
+    packed = F.array(F.struct(*[vec[i].alias(f"{name}{i}") for name, vec in vectors.items() for i in range(3)]))
+
+    def edge(d: Sequence[Column], w: Sequence[Column]) -> Column:
         t = clamp(F.coalesce(_dot(w, d) / F.nullif(_dot(d, d), F.lit(0.0)), F.lit(0.0)), 0, 1)
         e = [w[i] - t * d[i] for i in range(3)]
         return F.sqrt(_dot(e, e))
 
-    u, v, w = _sub(b, a), _sub(c, a), _sub(p, a)
-    uu, uv, vv, wu, wv = _dot(u, u), _dot(u, v), _dot(v, v), _dot(w, u), _dot(w, v)
-    den = F.nullif(uu * vv - uv * uv, F.lit(0.0))
-    s, t = (wu * vv - wv * uv) / den, (wv * uu - wu * uv) / den
-    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    plane = F.abs(_dot(w, n)) / F.sqrt(F.nullif(_dot(n, n), F.lit(0.0)))
-    inside = F.coalesce((s >= 0) & (t >= 0) & (s + t <= 1), F.lit(False))
-    return F.when(inside, plane).otherwise(F.least(edge(a, b), edge(b, c), edge(c, a)))
+    def distance(q: Column) -> Column:
+        u, v, w = ([q[f"{name}{i}"] for i in range(3)] for name in "uvw")
+        uu, uv, vv, wu, wv = _dot(u, u), _dot(u, v), _dot(v, v), _dot(w, u), _dot(w, v)
+        den = F.nullif(uu * vv - uv * uv, F.lit(0.0))
+        s, t = (wu * vv - wv * uv) / den, (wv * uu - wu * uv) / den
+        n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        plane = F.abs(_dot(w, n)) / F.sqrt(F.nullif(_dot(n, n), F.lit(0.0)))
+        inside = F.coalesce((s >= 0) & (t >= 0) & (s + t <= 1), F.lit(False))
+        return F.when(inside, plane).otherwise(F.least(edge(u, w), edge(v, w), edge(_sub(v, u), _sub(w, u))))
+
+    return F.element_at(F.transform(packed, distance), 1)
 
 
 TRI = [("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")]
