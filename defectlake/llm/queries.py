@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, mixing, packing, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,36 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents")).drop("shuffled")
 
 
+@query("op4_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document; rows as :func:`mixing.mix_plan` defines them."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    plan = mixing.mix_plan(docs, keep_text=False)
+    taken = F.aggregate("mix.pieces", F.lit(0).cast("long"), lambda total, piece: total + piece["words"])
+    return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+
+
+@query("op5_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, lower(sha1(payload)) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(i, i + 5), lambda b:
+        (((strpos('0123456789abcdef', substr(hex, 1 + b // 4, 1)) - 1) >> (3 - b % 4)) & 1) << (4 - (b - i))))::BIGINT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records and read back; records as :func:`warc.read_archives` defines them."""
+    records = warc.archive_round_trip(_table(spark, folder, "pages"))
+    return records.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in packed sequences, with the CRC-32 of their ids."""
+    pieces = packing.pack_documents(_table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step")
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all documents as read back from the shards that :func:`sharding.shuffled_shards` wrote."""
