@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, warc
+from . import exact_dedup, mixing, packing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return records.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents; scores as :func:`toxicity.scored` defines them, learnt outside the held-out fold."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % toxicity.FOLDS == 0
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "toxicity.score", "toxicity.predicted", F.size("toxicity.passages").alias("passages"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in packed sequences, with the CRC-32 of their ids."""
