@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, toxicity, warc
+from . import exact_dedup, imatch, mixing, packing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents")).drop("shuffled")
 
 
+@query("op3_imatch")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; rows as :func:`imatch.edited_fingerprints` defines them."""
+    return imatch.edited_fingerprints(_table(spark, folder, "documents"))
+
+
 @query("op4_mixing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document; rows as :func:`mixing.mix_plan` defines them."""
