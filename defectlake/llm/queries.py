@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, mixing, packing, sharding, simhash, toxicity, warc
+from . import exact_dedup, imatch, license_scan, mixing, packing, secret_scan, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step")
 
 
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of all documents with the probability of a secret; the source of a document stands for its path."""
+    found = secret_scan.scan(_table(spark, folder, "documents"), path="source")
+    return found.select("doc_id", "word_no", "part_no", F.col("length").cast("int").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "coverage", "probability", "secret")
+
+
+@query("op9_license_scan", license_scan.scan_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licences among the lines, paragraphs and texts of all documents."""
+    return license_scan.scan(_table(spark, folder, "documents"))
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all documents as read back from the shards that :func:`sharding.shuffled_shards` wrote."""
