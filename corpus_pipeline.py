@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from defectlake.llm import exact_dedup, simhash
+from defectlake.llm import exact_dedup, mixing, packing, simhash, toxicity
 from defectlake.llm.common import staged
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts to be toxic go; it learns from the labels outside the held-out fold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, "toxicity__").filter(F.col("toxicity__.predicted") == 0).drop("toxicity__")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates one row stays."""
+    """Of each group of near duplicates one row stays."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact), ("simhash near dedup", near)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: a row for each piece, its text cut accordingly, by shards in shuffled order."""
+    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", clean), ("exact dedup", exact), ("simhash near dedup", near), ("mixing to target weights", mixed), ("packing", packed)]
 
-# Stages of this pipeline are not SQL-expressible (see tests/llm for the brute-force version).
+# Trained scores, 64-bit shingle hashes, seeded permutations and token ids are beyond SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 

@@ -211,4 +211,4 @@ def mix(docs: DataFrame, shards: int = 24, seed: int = 42, **options) -> DataFra
     if "n_chars" in rows.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(rows.schema["n_chars"].dataType))
     rows = rows.select(*[f"`{c}`" for c in rows.columns if c not in ("mix", "piece__")], *[f"piece__.{c}" for c in own], F.xxhash64(F.lit(seed), "doc_id", "piece__.place", "piece__.first_word").alias("key__"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "key__").drop("key__")
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key__").drop("key__")
