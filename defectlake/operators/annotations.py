@@ -19,6 +19,7 @@ CLASSES = {"structure": ("cena", 1), "irrelevant": ("cena", 2), "spalling_dark":
            "efflorescence_white": ("regiao", 6), "cracks": ("detalhe", 7)}
 PAINT_ORDER = ["structure", "irrelevant", "spalling_dark", "efflorescence_white", "corrosion_rust", "exposed_rebar", "cracks"]
 COCO_CATEGORY = {"cracks": 1, "spalling_dark": 2, "exposed_rebar": 3, "corrosion_rust": 4, "efflorescence_white": 5, "growth": 6, "reduction": 7}
+COCO_NAMES = {1: "crack", 2: "spalling", 3: "exposed_rebar", 4: "corrosion", 5: "efflorescence", 6: "temporal_growth", 7: "temporal_reduction"}
 
 
 def usable_annotations(annotations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, checkpoint
+from ..session import checkpoint
 from .ordered import ordered_positions, shifted
 
 CAMPAIGN = ["asset_id", "element_id"]
@@ -84,9 +84,12 @@ def _same(a: Column, b: Column) -> Column:
     return (text != "") & (F.trim(F.coalesce(a.cast("string"), F.lit(""))) == text)
 
 
-def reference_compatibility(inspections: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Whether an inspection and its reference share the given identity fields (``{column: output}``)."""
-    refs = inspections.select(F.col("inspection_id").alias("reference_origin_id"), *[F.col(c).alias(f"reference_{o}") for c, o in fields.items()])
+def reference_compatibility(inspections: DataFrame, fields: dict[str, str], history: DataFrame | None = None) -> DataFrame:
+    """Whether an inspection and its reference share the given identity fields (``{column: output}``).
+
+    References are looked up in ``history``, by default the inspections themselves.
+    """
+    refs = (inspections if history is None else history).select(F.col("inspection_id").alias("reference_origin_id"), *[F.col(c).alias(f"reference_{o}") for c, o in fields.items()])
     rows = inspections.where(F.col("reference_origin_id").isNotNull()).join(refs, "reference_origin_id")
     return rows.select("inspection_id", "reference_origin_id", *[_same(F.col(c), F.col(f"reference_{o}")).alias(o) for c, o in fields.items()])
 
@@ -156,29 +159,26 @@ def inspection_snapshot(snapshots: DataFrame, inspections: DataFrame) -> DataFra
                        F.when(passed, F.col("net_by_class")).alias("validated_net_by_class"))
 
 
-def retain_recent(inspections: DataFrame, n: int = 75, partition: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
+def retain_recent(inspections: DataFrame, n: int = 75, partition: list[str] | None = None) -> DataFrame:
     """The newest ``n`` inspections (per ``partition``) and everything they refer to, directly or not.
 
-    The closure follows the references frontier by frontier with semi-joins; each round's frontier is materialised so
-    the plan stays short.
+    The closure doubles its reach: a round adds what lies 2^k references behind the inspections kept so far, so a chain of
+    any length needs a logarithmic number of rounds. A round that adds nothing ends it, also where references form a ring.
     """
     keys = partition or []
     order = Window.partitionBy(*keys).orderBy(F.col("created_at").desc(), F.col("inspection_id").desc())
-    links = checkpoint(inspections.select(*keys, "inspection_id", "reference_origin_id", "created_at"))  # read once per round
-    keep = links.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).select("inspection_id", "reference_origin_id")
-    kept = checkpoint(keep)
-    frontier = kept
-    links = links.select("inspection_id", "reference_origin_id")
-    for _ in range(max_rounds):
-        wanted = frontier.select(F.col("reference_origin_id").alias("inspection_id")).where(F.col("inspection_id").isNotNull()).distinct()
-        fresh = wanted.join(kept.select("inspection_id"), "inspection_id", "left_anti")
-        frontier = checkpoint(links.join(fresh, "inspection_id", "left_semi"))
-        if frontier.isEmpty():
-            break
-        kept = checkpoint(kept.unionByName(frontier))
-    else:
-        raise RuntimeError("reference chain is longer than max_rounds")
-    return inspections.join(kept.select("inspection_id"), "inspection_id", "left_semi")
+    rows = checkpoint(inspections.select(*keys, "inspection_id", "reference_origin_id", "created_at"))
+    kept = checkpoint(rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).select("inspection_id"))
+    known = rows.select(F.col("inspection_id").alias("back"))
+    jump = checkpoint(rows.select("inspection_id", F.col("reference_origin_id").alias("back")).join(known, "back", "left_semi"))
+    while True:
+        reached = kept.join(jump, "inspection_id").select(F.col("back").alias("inspection_id")).distinct()
+        fresh = checkpoint(reached.join(kept, "inspection_id", "left_anti"))
+        if fresh.isEmpty():
+            return inspections.join(kept, "inspection_id", "left_semi")
+        kept = checkpoint(kept.unionByName(fresh))
+        further = jump.select(F.col("inspection_id").alias("back"), F.col("back").alias("further"))
+        jump = checkpoint(jump.join(further, "back").select("inspection_id", F.col("further").alias("back")))
 
 
 def materialize_deleted(inspections: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -206,7 +206,3 @@ def history_kpis(inspections: DataFrame) -> DataFrame:
 
 def content_hash(assets: DataFrame, content: str) -> DataFrame:
     return assets.withColumn("sha256", F.sha2(F.col(content), 256))
-
-
-def small_dimension(df: DataFrame) -> DataFrame:
-    return broadcast_if_small(df)

@@ -86,10 +86,13 @@ MOMENTS = ["n", "sx", "sy", "sz", "sxx", "syy", "szz", "sxy", "sxz", "syz"]
 
 
 def voxel_moments(points: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Count, sums and second-order sums per occupied voxel."""
+    """Count, sums and second-order sums per occupied voxel, of coordinates from the corner of the cloud.
+
+    Map coordinates are large against the size of a voxel; their squares would cancel.
+    """
     rows = points.join(sizes.select("cloud_id", "min_x", "min_y", "min_z", "voxel"), "cloud_id")
     cell = [F.floor((F.col(a) - F.col(f"min_{a}")) / F.col("voxel")).cast("long").alias(f"i{a}") for a in "xyz"]
-    p = {a: F.col(a) for a in "xyz"}
+    p = {a: F.col(a) - F.col(f"min_{a}") for a in "xyz"}
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(p[a]).alias(f"s{a}") for a in "xyz"],
             *[F.sum(p[a] * p[b]).alias(f"s{a}{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]]
     return rows.groupBy("cloud_id", *cell).agg(*sums)
@@ -450,8 +453,8 @@ def knn_ratio_match(a: DataFrame, b: DataFrame, keys: Sequence[str], ratio: floa
             for row in batch.itertuples(index=False):
                 va = np.stack(row.a_vectors).astype(np.float64)
                 vb = np.stack(row.b_vectors).astype(np.float64)
-                d = np.sqrt(np.maximum(0, ((va[:, None, :] - vb[None, :, :]) ** 2).sum(-1))) if len(va) * len(vb) <= 65536 else \
-                    np.sqrt(np.maximum(0, (va ** 2).sum(1)[:, None] + (vb ** 2).sum(1)[None] - 2 * va @ vb.T))
+                # Differences row by row: the same figures whatever the blocks are, and one row's matrix at a time.
+                d = np.stack([np.sqrt(((v - vb) ** 2).sum(-1)) for v in va])
                 best = np.argsort(d, axis=1, kind="stable")[:, :2]
                 ids_b = np.asarray(row.b_ids)
                 out = {k: getattr(row, k) for k in keys}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import broadcast_if_small, checkpoint
 
-STRIDE = 1 << 20  # label = y * STRIDE + x of the first pixel in scan order
+STRIDE = 1 << 31  # label = y * STRIDE + x of the first pixel in scan order; pixel coordinates are 32-bit numbers
 TILE = 256
 
 
@@ -82,12 +82,12 @@ def _border_links(labelled: DataFrame, keys: list[str], conn: int, tile: int) ->
     return checkpoint(hits.select(*keys, "a", "b").distinct())
 
 
-def merge_labels(links: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> DataFrame:
+def merge_labels(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest label reachable over ``links`` (a, b) for every linked label: min-neighbour rounds with pointer jumping."""
     keys = list(keys)
     both = checkpoint(links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = checkpoint(both.groupBy(*keys, F.col("a").alias("label")).agg(F.least(F.col("label"), F.min("b")).alias("root")))
-    for _ in range(max_rounds):
+    while True:  # every round lowers a root until all are settled
         near = both.join(state.select(*keys, F.col("label").alias("b"), F.col("root").alias("nr")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("label")).agg(F.min("nr").alias("nr"))
         hooked = state.join(near, [*keys, "label"]).select(*keys, "label", F.least("root", "nr").alias("root"), F.col("root").alias("old"))
         hooked = checkpoint(hooked)
@@ -96,7 +96,6 @@ def merge_labels(links: DataFrame, keys: Sequence[str], max_rounds: int = 200) -
         state = fresh.drop("old")
         if fresh.where("root <> old").isEmpty():
             return state
-    raise RuntimeError("labels did not settle within max_rounds")
 
 
 def erode(mask: DataFrame, keys: Sequence[str], height: int, width: int, r: int = 1) -> DataFrame:

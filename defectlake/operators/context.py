@@ -22,7 +22,8 @@ MIN_OBJECT_SHARE, MAX_PER_CLASS, MAX_OBJECTS = 0.004, 4, 24
 
 
 def scene_group(label: Column) -> Column:
-    name = F.trim(F.lower(label))
+    """Group of a scene class; of a list of names, the one before the first comma or semicolon counts."""
+    name = F.trim(F.regexp_extract(F.lower(label), "^[^,;]*", 0))
     return F.when(name.isin(STRUCTURE), "structure").when(name.isin(EXCLUDE), "irrelevant").otherwise("neutral")
 
 
@@ -41,6 +42,14 @@ def exclusion_mask(cells: DataFrame, mode: str = "conservative", min_confidence:
     return cells.where(excluded(mode, min_confidence)).select("image_id", "cell_y", "cell_x")
 
 
+def gating_mask(cells: DataFrame, mode: str = "conservative", min_confidence: float = MIN_CONFIDENCE, abstain: bool = True) -> DataFrame:
+    """The exclusion mask without the images on which gating abstains; for these nothing is removed or cut."""
+    mask = exclusion_mask(cells, mode, min_confidence)
+    if not abstain:
+        return mask
+    return mask.join(scene_summary(cells, mode, min_confidence).where("abstained").select("image_id"), "image_id", "left_anti")
+
+
 def scene_summary(cells: DataFrame, mode: str = "conservative", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Excluded and structural share, the eight largest classes and whether gating should abstain."""
     per = cells.groupBy("image_id", "class_id", "label", "scene_group").agg(F.count(F.lit(1)).alias("n"), F.count_if(excluded(mode, min_confidence)).alias("_x"))
@@ -60,7 +69,10 @@ def _at_cells(pixels: DataFrame, grid: tuple[int, int], size: tuple[int, int]) -
 
 
 def gate_components(labels: DataFrame, exclusion: DataFrame, keys: Sequence[str], grid: tuple[int, int], size: tuple[int, int], share: float = SHARE) -> DataFrame:
-    """Per component: pixels inside the exclusion and whether the component is removed (keys start with image_id)."""
+    """Per component: pixels inside the exclusion and whether the component is removed (keys start with image_id).
+
+    ``exclusion`` is a :func:`gating_mask`, which leaves out the images on which gating abstains.
+    """
     rows = _at_cells(labels, grid, size).join(exclusion.withColumn("_e", F.lit(1)), ["image_id", "cell_y", "cell_x"], "left")
     out = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("area"), F.count("_e").alias("inside"))
     return out.withColumn("removed", F.col("inside") >= share * F.col("area"))
@@ -71,18 +83,25 @@ def gate_summary(gated: DataFrame, keys: Sequence[str]) -> DataFrame:
                                     F.sum(F.when(F.col("removed"), F.col("area")).otherwise(0)).alias("removed_px"))
 
 
-def clip_by_context(mask: DataFrame, exclusion: DataFrame, keys: Sequence[str], grid: tuple[int, int], size: tuple[int, int]) -> DataFrame:
-    """Remove the interior of excluded cells (eroded by about 1.5 cells) from a mask, then open it 3x3 where it was cut."""
+def clip_by_context(mask: DataFrame, exclusion: DataFrame, keys: Sequence[str], grid: tuple[int, int], size: tuple[int, int], include_cracks: bool = False) -> DataFrame:
+    """Remove the interior of excluded cells (eroded by about 1.5 cells) from a mask, then open it 3x3 where it was cut.
+
+    Cracks (by ``damage_class``, where the mask has it) are cut only with ``include_cracks`` and never opened.
+    ``exclusion`` is a :func:`gating_mask`.
+    """
     height, width = size
     sh, sw = height / grid[0], width / grid[1]
     full = exclusion.select("image_id", F.explode(F.sequence(F.ceil(F.col("cell_y") * sh - 0.5).cast("long"), F.ceil((F.col("cell_y") + 1) * sh - 0.5).cast("long") - 1)).alias("y"), "cell_x")
     full = full.select("image_id", "y", F.explode(F.sequence(F.ceil(F.col("cell_x") * sw - 0.5).cast("long"), F.ceil((F.col("cell_x") + 1) * sw - 0.5).cast("long") - 1)).alias("x"))
     r = -int(-1.5 * max(sh, sw) // 1)
     core = C.erode(full, ["image_id"], height, width, r)
-    kept = mask.select(*keys, "y", "x").join(core, ["image_id", "y", "x"], "left_anti").select(*keys, "y", "x")
-    cut = mask.join(core, ["image_id", "y", "x"], "left_semi").select(*keys).distinct()
+    crack = F.coalesce(F.col("damage_class") == "cracks", F.lit(False)) if "damage_class" in keys else F.lit(False)
+    whole = mask.where(crack & F.lit(not include_cracks)).select(*keys, "y", "x")
+    area = mask.where(~crack | F.lit(include_cracks)).select(*keys, "y", "x")
+    kept = area.join(core, ["image_id", "y", "x"], "left_anti").select(*keys, "y", "x")
+    cut = area.where(~crack).join(core, ["image_id", "y", "x"], "left_semi").select(*keys).distinct()
     opened = C.opening(kept.join(cut, list(keys), "left_semi").select(*keys, "y", "x"), keys, height, width)
-    return kept.join(cut, list(keys), "left_anti").select(*keys, "y", "x").unionByName(opened.select(*keys, "y", "x"))
+    return whole.unionByName(kept.join(cut, list(keys), "left_anti").select(*keys, "y", "x")).unionByName(opened.select(*keys, "y", "x"))
 
 
 def scene_of(labels: DataFrame, cells: DataFrame, keys: Sequence[str], grid: tuple[int, int], size: tuple[int, int], mode: str = "conservative") -> DataFrame:

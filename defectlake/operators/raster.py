@@ -18,7 +18,7 @@ SPALL_MIN_CONTRAST, SPALL_CONTRAST_T, SPALL_CORE_PX, SPALL_GROW_PX, SPALL_SMOOTH
 EFF_MIN_CONTRAST, EFF_CONTRAST_T = 80.0, 2.2
 BORDER_FRACTION = 0.01
 RUST_SHARE = 0.6
-CRACK_GAP_PX, CRACK_BRIDGE_R, CRACK_MIN_FRAGMENT, CRACK_COMPACT_FACTOR = 4, 2, 3, 4
+CRACK_GAP_PX, CRACK_MIN_FRAGMENT, CRACK_COMPACT_FACTOR = 4, 3, 4
 CRACK_MIN_LENGTH_FRACTION, CRACK_MAX_WIDTH_K = 0.04, 0.45
 
 
@@ -278,10 +278,10 @@ def skeleton_stats(skeleton: DataFrame, keys: Sequence[str], group: Sequence[str
 
 
 def crack_measures(fragments: DataFrame, skeleton: DataFrame, keys: Sequence[str], height: int, width: int, kernel: int = 15, min_area: float = 30.0, min_aspect: float = 2.0) -> DataFrame:
-    """Group fragments up to 4 px apart and measure each group on its skeleton; the record filters are applied."""
+    """Group fragments whose surroundings of 4 px touch and measure each group on its skeleton; the record filters are applied."""
     keys = list(keys)
     pixel = [*keys, "y", "x"]
-    groups = C.label_components(C.dilate(fragments, keys, height, width, CRACK_BRIDGE_R), keys)
+    groups = C.label_components(C.dilate(fragments, keys, height, width, CRACK_GAP_PX), keys)
     crack = fragments.select(*pixel).distinct().join(groups, pixel)
     boxes = C.component_boxes(crack, keys)
     spine = skeleton_stats(skeleton.select(*pixel).distinct().join(groups, pixel), keys, ["label"])

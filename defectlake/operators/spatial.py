@@ -128,19 +128,24 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Seq
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, keys: Sequence[str], axes: Sequence[str], point_id: str, radius: float | None, start: float,
-                   factor: float = 3.0, max_rounds: int = 60) -> DataFrame:
+                   factor: float = 3.0) -> DataFrame:
     """Nearest point (smallest id on ties) of every distinct query position, at most ``radius`` away (None = any distance).
 
     The search radius grows from ``start``; a round settles all positions with a point in reach and passes on the rest,
-    so dense places are settled with few candidates. Returns keys, axes, ``point_id`` and ``distance``.
+    so dense places are settled with few candidates. Places with a missing or infinite coordinate have no nearest point.
+    Returns keys, axes, ``point_id`` and ``distance``.
     """
     keys, axes = list(keys), list(axes)
     place = [*keys, *axes]
-    points = checkpoint(points.groupBy(*place).agg(F.min(point_id).alias("point_id")))
-    rest = queries.select(*place).distinct()
+    finite = None
+    for a in axes:
+        ok = F.abs(F.col(a)) < F.lit(float("inf"))  # false for null and NaN, which compares as the largest
+        finite = ok if finite is None else finite & ok
+    points = checkpoint(points.where(finite).groupBy(*place).agg(F.min(point_id).alias("point_id")))
+    rest = queries.where(finite).select(*place).distinct()
     rest = checkpoint(rest.join(points.select(*keys).distinct(), keys, "left_semi") if keys else rest)
     reach, parts = start if radius is None else min(start, radius), []
-    for _ in range(max_rounds):
+    while True:
         pairs = near_pairs(rest, points, keys, axes, reach)
         best = pairs.groupBy(*[F.col(f"l_{c}").alias(c) for c in place]).agg(F.min(F.struct("distance", F.col("r_point_id").alias("point_id"))).alias("b"))
         found = checkpoint(best.select(*place, F.col("b.point_id").alias("point_id"), F.col("b.distance").alias("distance")))

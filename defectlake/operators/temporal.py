@@ -66,6 +66,11 @@ def edge_map(gray: DataFrame, step: int = 1, keys: tuple[str, ...] = ("image_id"
         *keys, "y", "x", F.coalesce(F.col("_dx") + F.col("_dy"), F.lit(0)).cast("double").alias("edge"))
 
 
+def registration_step(height: int, width: int) -> int:
+    """Subsampling that keeps edge maps within ``EDGE_MAX_SIDE`` pixels on both sides."""
+    return max(1, -(-max(height, width) // EDGE_MAX_SIDE))
+
+
 def search_radius(height: int, width: int, step: int) -> int:
     full = min(96, max(6, round(min(height, width) * 0.12)))
     small = min(-(-height // step), -(-width // step))
@@ -75,11 +80,17 @@ def search_radius(height: int, width: int, step: int) -> int:
 def shift_scores(edge_cur: DataFrame, edge_prev: DataFrame, height: int, width: int, step: int = 1) -> DataFrame:
     """Mean absolute edge difference of every integer shift on a fixed central region.
 
-    Edge maps are at most 160 pixels wide and high by construction, so one pair fits in a single packed row; every pair
-    is scored by an array operation instead of multiplying its pixels by all shifts in a join.
+    Edge maps are at most 160 pixels wide and high (``step`` from :func:`registration_step`), so one pair fits in a single
+    packed row; every pair is scored by an array operation instead of multiplying its pixels by all shifts in a join. A
+    pair too small for a search gives one row without a score.
     """
     radius = search_radius(height, width, step)
     h, w = -(-height // step), -(-width // step)
+    if max(h, w) > EDGE_MAX_SIDE:
+        raise ValueError(f"edge maps exceed {EDGE_MAX_SIDE} pixels; take registration_step({height}, {width}) = {registration_step(height, width)}")
+    if w - radius - 1 <= radius + 1 or h - radius - 1 <= radius + 1:
+        zero = F.lit(0).cast("long")
+        return edge_cur.select("image_id").union(edge_prev.select("image_id")).distinct().select("image_id", zero.alias("dx"), zero.alias("dy"), F.lit(None).cast("double").alias("score"))
     both = edge_cur.withColumnRenamed("edge", "cur").join(edge_prev.withColumnRenamed("edge", "prev"), ["image_id", "y", "x"], "full")
     packed = both.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "cur", "prev")).alias("pixels")).select(
         "image_id", F.transform("pixels", lambda p: (p["y"] * w + p["x"]).cast("int")).alias("at"),
@@ -123,12 +134,14 @@ def best_shift(scores: DataFrame, radius: int, step: int = 1) -> DataFrame:
     dx, dy, s, z = F.col("b.dx"), F.col("b.dy"), F.col("b.s"), F.col("score_zero")
     gain = (z - s) / F.greatest(z, F.lit(1e-6))
     boundary = (F.abs(dx) >= radius) | (F.abs(dy) >= radius)
-    accepted = ((dx != 0) | (dy != 0)) & (gain >= MIN_IMPROVEMENT) & ~boundary
+    small = z.isNull()
+    accepted = ((dx != 0) | (dy != 0)) & (gain >= MIN_IMPROVEMENT) & ~boundary & ~small
     return best.select(
         "image_id", (dx * step).alias("estimated_dx"), (dy * step).alias("estimated_dy"), accepted.alias("accepted"), boundary.alias("boundary_hit"),
         F.when(accepted, dx * step).otherwise(F.lit(0)).cast("long").alias("dx"), F.when(accepted, dy * step).otherwise(F.lit(0)).cast("long").alias("dy"),
-        z.alias("score_before"), F.when(accepted, s).otherwise(z).alias("score_after"), F.when(accepted, gain).otherwise(F.greatest(F.lit(0.0), gain)).alias("improvement"),
-        F.when(accepted, "translation_improved_edge_match").when(boundary, "search_boundary_hit").otherwise("no_reliable_translation_gain").alias("reason"))
+        F.coalesce(z, F.lit(0.0)).alias("score_before"), F.coalesce(F.when(accepted, s).otherwise(z), F.lit(0.0)).alias("score_after"),
+        F.coalesce(F.when(accepted, gain).otherwise(F.greatest(F.lit(0.0), gain)), F.lit(0.0)).alias("improvement"),
+        F.when(small, "image_too_small").when(accepted, "translation_improved_edge_match").when(boundary, "search_boundary_hit").otherwise("no_reliable_translation_gain").alias("reason"))
 
 
 def apply_shift(previous: DataFrame, current: DataFrame, shifts: DataFrame, value: str = "g") -> DataFrame:

@@ -159,44 +159,59 @@ def alignment_segments(alignment: DataFrame, keys: Sequence[str] = ()) -> DataFr
     return rows.withColumn("walked", F.coalesce(F.sum("length").over(upto), F.lit(0.0))).withColumn("total", total).withColumn("last", F.lead("seq").over(order).isNull())
 
 
-SEGMENT_BATCH = 256
-
-
-def _with_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """Attach the alignment as packed arrays of at most 256 segments; the number of arrays is checked before broadcasting."""
-    packed = checkpoint(segments.groupBy(F.floor(F.col("seq") / SEGMENT_BATCH).alias("_batch")).agg(F.collect_list(F.struct(*segments.columns)).alias("_segments")).drop("_batch"))
-    count = packed.count()
-    if count > 400:
-        raise ValueError("alignment has more than 100,000 segments; split it and station each part")
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(packed.withColumn("_k", F.lit(1))), "_k").drop("_k")
+REACH_FACTOR = 4.0
 
 
 def station_on_alignment(points: DataFrame, segments: DataFrame, point_id: str) -> DataFrame:
-    """Chainage, ratio and lateral offset of points on a polyline; the first segment wins ties."""
-    p = [F.col(a) for a in "xyz"]
-
-    def project(s):
-        a = [s[f"s{k}"] for k in "xyz"]
-        d = [s[f"e{k}"] - s[f"s{k}"] for k in "xyz"]
-        t = clamp(_dot(_sub(p, a), d) / (s["length"] * s["length"]), 0, 1)
-        return F.struct(s.alias("s"), t.alias("t"))
-
-    def measure(q):
-        s, t = q["s"], q["t"]
-        e = [p[i] - (s[f"s{k}"] + t * (s[f"e{k}"] - s[f"s{k}"])) for i, k in enumerate("xyz")]
-        return F.struct(F.sqrt(_dot(e, e)).alias("offset"), s["seq"].alias("seq"), (s["walked"] + s["length"] * t).alias("along"), s["total"].alias("total"))
-
-    rows = _with_segments(points, segments)
-    best = F.array_min(F.transform(F.transform(F.filter("_segments", lambda s: s["length"] > 0), project), measure))
-    rows = rows.select(point_id, best.alias("b")).groupBy(point_id).agg(F.min("b").alias("b"))
+    """Chainage, ratio and lateral offset of points on a polyline; the first segment wins ties.
+
+    Segments enter the plan cells around them that lie within a reach, points the cell they lie in. A round settles the
+    points whose nearest segment is within the reach; the others go on with a longer one, so neither the number of
+    segments nor the distance of a point is limited. Points with a missing or infinite coordinate have no station.
+    """
+    parts = checkpoint(segments.where("length > 0"))
+    longest = parts.agg(F.max("length")).first()[0]
+    finite = F.greatest(*[F.abs(F.col(a)) for a in "xyz"]) < F.lit(float("inf"))
+    rest = points.select(point_id, "x", "y", "z").where(finite & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    empty = rest.limit(0).select(point_id, F.lit(0.0).alias("station"), F.lit(0.0).alias("ratio"), F.lit(0.0).alias("offset"))
+    if longest is None:
+        return empty
+    rest, reach, found = checkpoint(rest), float(longest), []
+    a, d, p = [F.col(f"s{k}") for k in "xyz"], [F.col(f"e{k}") - F.col(f"s{k}") for k in "xyz"], [F.col(k) for k in "xyz"]
+    while not rest.isEmpty():
+        near = parts
+        for k in "xy":
+            low, high = F.least(f"s{k}", f"e{k}") - reach, F.greatest(f"s{k}", f"e{k}") + reach
+            near = near.withColumn(f"_c{k}", F.explode(F.sequence(F.floor(low / reach).cast("long"), F.floor(high / reach).cast("long"))))
+        pairs = rest.withColumn("_cx", F.floor(F.col("x") / reach).cast("long")).withColumn("_cy", F.floor(F.col("y") / reach).cast("long")).join(near, ["_cx", "_cy"])
+        pairs = pairs.withColumn("_t", clamp(_dot(_sub(p, a), d) / (F.col("length") * F.col("length")), 0, 1))
+        e = [p[i] - (a[i] + F.col("_t") * d[i]) for i in range(3)]
+        one = F.struct(F.sqrt(_dot(e, e)).alias("offset"), "seq", (F.col("walked") + F.col("length") * F.col("_t")).alias("along"), "total")
+        best = checkpoint(pairs.withColumn("_b", one).where(F.col("_b.offset") <= reach).groupBy(point_id).agg(F.min("_b").alias("b")))
+        found.append(best)
+        rest = checkpoint(rest.join(best.select(point_id), point_id, "left_anti"))
+        reach *= REACH_FACTOR
+    if not found:
+        return empty
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
     return rows.select(point_id, F.col("b.along").alias("station"), (F.col("b.along") / F.nullif("b.total", F.lit(0.0))).alias("ratio"), F.col("b.offset").alias("offset"))
 
 
 def point_at_station(stations: DataFrame, segments: DataFrame, station_id: str) -> DataFrame:
-    """Point and unit tangent at a ratio of the alignment length (``stations``: id, ratio)."""
-    rows = _with_segments(stations, segments).withColumn("_t", F.element_at("_segments", 1)["total"] * clamp(F.col("ratio"), 0, 1))
-    reach = F.array_min(F.transform(F.filter("_segments", lambda s: (s["walked"] + s["length"] >= F.col("_t")) | s["last"]), lambda s: F.struct(s["seq"].alias("seq"), s.alias("s"))))
-    rows = rows.withColumn("_b", reach).where(F.col("_b").isNotNull()).groupBy(station_id, "_t").agg(F.min("_b").alias("_b"))
+    """Point and unit tangent at a ratio of the alignment length (``stations``: id, ratio).
+
+    Stations and segments meet in stretches of the mean segment length; a segment is entered one stretch beyond both of
+    its ends, which covers rounding of the chainage.
+    """
+    parts = checkpoint(segments)
+    size = parts.agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total, stretch = size["total"] or 0.0, max((size["total"] or 0.0) / max(size["n"], 1), 1e-300)
+    placed = parts.withColumn("_k", F.explode(F.sequence(F.floor(F.col("walked") / stretch).cast("long") - 1, F.floor((F.col("walked") + F.col("length")) / stretch).cast("long") + 1)))
+    rows = stations.select(station_id, "ratio").withColumn("_t", F.lit(total) * clamp(F.col("ratio"), 0, 1)).withColumn("_k", F.floor(F.col("_t") / stretch).cast("long"))
+    rows = rows.join(placed, "_k").where((F.col("walked") + F.col("length") >= F.col("_t")) | F.col("last"))
+    rows = rows.groupBy(station_id, "_t").agg(F.min(F.struct("seq", F.struct(*segments.columns).alias("s"))).alias("_b"))
     s = F.col("_b.s")
     t = F.coalesce(clamp((F.col("_t") - s["walked"]) / F.nullif(s["length"], F.lit(0.0)), 0, 1), F.lit(0.0))
     return rows.select(station_id, F.col("_t").alias("distance"), *[(s[f"s{a}"] + t * (s[f"e{a}"] - s[f"s{a}"])).alias(a) for a in "xyz"],
@@ -221,6 +236,21 @@ def candidate_pairs(previous: DataFrame, current: DataFrame, keys: Sequence[str]
     return pairs.where(F.col("l_host_id").isNull() | F.col("r_host_id").isNull() | (F.col("l_host_id") == F.col("r_host_id")))
 
 
+METRIC_PARTS = ("metric_kind", "metric_unit", "metric_comparable")
+
+
+def _metric(side: str, rows: DataFrame) -> Column:
+    """Value and kind of a record's metric, null unless it is positive, comparable and has a kind and a unit.
+
+    Records without these columns have one kind of metric, which counts.
+    """
+    have = {c: F.col(side + c) if c in rows.columns else None for c in METRIC_PARTS}
+    text = lambda c: F.lit("one") if have[c] is None else F.nullif(F.trim(have[c].cast("string")), F.lit(""))
+    valid = F.lit(True) if have["metric_comparable"] is None else F.coalesce(have["metric_comparable"], F.lit(False))
+    value = F.col(side + "metric_value")
+    return F.when((value > 0) & valid & text("metric_unit").isNotNull() & text("metric_kind").isNotNull(), F.struct(value.alias("value"), text("metric_kind").alias("kind")))
+
+
 def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str], max_distance: float = MAX_CENTROID_DISTANCE, tolerance: float = STABLE_TOLERANCE) -> DataFrame:
     """Greedy one-to-one match of current records to the nearest unused previous record and the change of their metric.
 
@@ -230,7 +260,7 @@ def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str]
     keys = list(keys)
     pairs = candidate_pairs(previous, current, keys, max_distance).select(
         *[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_damage_class").alias("damage_class"), F.col("l_record_id").alias("record_id"), F.col("r_record_id").alias("previous_id"),
-        F.col("l_metric_value").alias("metric"), F.col("r_metric_value").alias("previous_metric"), "distance",
+        _metric("l_", current).alias("metric"), _metric("r_", previous).alias("previous_metric"), "distance",
         *[F.least(f"l_{a}", f"r_{a}").alias(f"_lo{a}") for a in "xy"], *[F.greatest(f"l_{a}", f"r_{a}").alias(f"_hi{a}") for a in "xy"])
     group = [*keys, "damage_class"]
     pairs = axis_islands(checkpoint(pairs), group, F.col("_lox"), F.col("_hix"), max_distance, "island_x")
@@ -251,8 +281,8 @@ def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str]
                           lambda: (set(), set()), step, ["record_id", "previous_id"], "matched", T.BooleanType())
     best = folded.where("matched").select(*keys, "record_id", "previous_id", "metric", "previous_metric", "distance")
     out = current.select(*keys, "record_id", "damage_class", "x").join(best, [*keys, "record_id"], "left")
-    ratio = (F.col("metric") - F.col("previous_metric")) / F.nullif("previous_metric", F.lit(0.0))
-    comparable = (F.col("metric") > 0) & (F.col("previous_metric") > 0)
+    ratio = (F.col("metric.value") - F.col("previous_metric.value")) / F.nullif(F.col("previous_metric.value"), F.lit(0.0))
+    comparable = F.col("metric.kind") == F.col("previous_metric.kind")
     status = (F.when(F.col("x").isNull(), "not_comparable").when(F.col("previous_id").isNull(), "unmatched").when(~F.coalesce(comparable, F.lit(False)), "matched_not_quantified")
               .when(F.abs(ratio) <= tolerance, "stable").when(ratio > 0, "grown").otherwise("reduced"))
     return out.select(*keys, "record_id", "damage_class", "previous_id", status.alias("change_status"), F.when(comparable, ratio).alias("change_ratio"), "distance")
@@ -261,10 +291,12 @@ def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str]
 def damage_timeline(records: DataFrame, max_distance: float = MAX_CENTROID_DISTANCE) -> DataFrame:
     """Match every campaign with the one before it, all pairs at once, and give matched records the track of their root.
 
-    Roots are found by pointer doubling, so a chain over n campaigns needs log2(n) joins.
+    Campaigns go by ``observed_at``, where records have it, those without a date last, then by campaign_id. Roots are found by pointer doubling, so a chain over n campaigns needs log2(n) joins.
     """
-    campaigns = checkpoint(records.select("campaign_id").distinct())
-    pairs = campaigns.select("campaign_id", F.lag("campaign_id").over(Window.orderBy("campaign_id")).alias("previous_campaign"))
+    seen = F.min(F.nullif(F.trim(F.col("observed_at").cast("string")), F.lit(""))) if "observed_at" in records.columns else F.lit(None).cast("string")
+    campaigns = checkpoint(records.groupBy("campaign_id").agg(seen.alias("observed_at")))  # one row for each campaign
+    order = Window.orderBy(F.col("observed_at").asc_nulls_last(), "campaign_id")
+    pairs = campaigns.select("campaign_id", F.lag("campaign_id").over(order).alias("previous_campaign"))
     rows = records.join(F.broadcast(pairs) if campaigns.count() <= 100_000 else pairs, "campaign_id")
     current = rows.where(F.col("previous_campaign").isNotNull()).withColumn("pair", F.col("campaign_id"))
     nxt = pairs.select(F.col("previous_campaign").alias("campaign_id"), F.col("campaign_id").alias("pair")).where(F.col("campaign_id").isNotNull())

@@ -81,6 +81,14 @@ def c6(fx):
     return out
 
 
+@query("c6_small_pairs", "SELECT DISTINCT image_id, 0::BIGINT dx, 0::BIGINT dy, false accepted, 0.0::DOUBLE score_before, 0.0::DOUBLE improvement, 'image_too_small' reason FROM fx_pixels", "fx_pixels")
+def c6b(fx):
+    """Corners of 4 x 4 pixels leave no search region."""
+    corner = lambda rows: ops.edge_map(rows.where("y < 4 and x < 4"))
+    out = ops.best_shift(ops.shift_scores(corner(fx.pixels), corner(previous(fx)), 4, 4), ops.search_radius(4, 4, 1))
+    return out.select("image_id", "dx", "dy", "accepted", "score_before", "improvement", "reason")
+
+
 ALIGNED = """aligned AS (SELECT c.image_id, c.y, c.x, coalesce(p.g, c.g) g FROM fx_pixels c JOIN shifts s USING (image_id) LEFT JOIN prev p ON p.image_id=c.image_id AND p.y=c.y-s.dy AND p.x=c.x-s.dx)"""
 
 

@@ -30,7 +30,7 @@ def labels_cte(source: str, keys: str, conn: int = 8, name: str = "lab") -> str:
     near = "abs(m.y-r.y)<=1 AND abs(m.x-r.x)<=1" if conn == 8 else "abs(m.y-r.y)+abs(m.x-r.x)=1"
     cols = ", ".join(f"m.{k.strip()}" for k in keys.split(","))
     return f"""{name}m AS (SELECT DISTINCT {keys}, y, x FROM {source}),
-{name}r AS /* RECURSIVE */ (SELECT {keys}, y, x, y*1048576+x lab FROM {name}m UNION SELECT {cols}, m.y, m.x, r.lab FROM {name}r r JOIN {name}m m ON {on} AND m.y BETWEEN r.y-1 AND r.y+1 AND {near} AND m.y*1048576+m.x > r.lab),
+{name}r AS /* RECURSIVE */ (SELECT {keys}, y, x, y*2147483648+x lab FROM {name}m UNION SELECT {cols}, m.y, m.x, r.lab FROM {name}r r JOIN {name}m m ON {on} AND m.y BETWEEN r.y-1 AND r.y+1 AND {near} AND m.y*2147483648+m.x > r.lab),
 {name} AS (SELECT {keys}, y, x, min(lab) AS "label" FROM {name}r GROUP BY {keys}, y, x)"""
 
 

@@ -16,7 +16,7 @@ VOXEL = BOUNDS + """,
 vs0 AS (SELECT *, sqrt((max_x-min_x)*(max_x-min_x)+(max_y-min_y)*(max_y-min_y)+(max_z-min_z)*(max_z-min_z)) diagonal, CAST(greatest(8, least(72, floor(cbrt(greatest(1, n/12.0::DOUBLE))*2.6+0.5))) AS BIGINT) bins FROM bounds),
 vs AS (SELECT *, greatest(diagonal/bins, 1e-9) voxel FROM vs0)"""
 CELLS = VOXEL + """,
-vm AS (SELECT p.cloud_id, CAST(floor((x-min_x)/voxel) AS BIGINT) ix, CAST(floor((y-min_y)/voxel) AS BIGINT) iy, CAST(floor((z-min_z)/voxel) AS BIGINT) iz, count(*) n, sum(x) sx, sum(y) sy, sum(z) sz, sum(x*x) sxx, sum(y*y) syy, sum(z*z) szz, sum(x*y) sxy, sum(x*z) sxz, sum(y*z) syz FROM fx_points_anon p JOIN vs USING (cloud_id) GROUP BY 1,2,3,4)"""
+vm AS (SELECT p.cloud_id, CAST(floor((x-min_x)/voxel) AS BIGINT) ix, CAST(floor((y-min_y)/voxel) AS BIGINT) iy, CAST(floor((z-min_z)/voxel) AS BIGINT) iz, count(*) n, sum(x-min_x) sx, sum(y-min_y) sy, sum(z-min_z) sz, sum((x-min_x)*(x-min_x)) sxx, sum((y-min_y)*(y-min_y)) syy, sum((z-min_z)*(z-min_z)) szz, sum((x-min_x)*(y-min_y)) sxy, sum((x-min_x)*(z-min_z)) sxz, sum((y-min_y)*(z-min_z)) syz FROM fx_points_anon p JOIN vs USING (cloud_id) GROUP BY 1,2,3,4)"""
 NEAR = CELLS + """,
 nm AS (SELECT a.cloud_id, a.ix, a.iy, a.iz, a.n own, sum(b.n)::BIGINT n, sum(b.sx) sx, sum(b.sy) sy, sum(b.sz) sz, sum(b.sxx) sxx, sum(b.syy) syy, sum(b.szz) szz, sum(b.sxy) sxy, sum(b.sxz) sxz, sum(b.syz) syz
  FROM vm a JOIN vm b ON a.cloud_id=b.cloud_id AND abs(a.ix-b.ix)<=1 AND abs(a.iy-b.iy)<=1 AND abs(a.iz-b.iz)<=1 GROUP BY 1,2,3,4,5)"""

@@ -58,9 +58,13 @@ def k6(fx):
     return ops.windowed_counts(fx.frames, "6 hours")
 
 
-@query("k7_context_refresh", "SELECT f.session_id, f.seq, f.label, f.seq-(f.seq-1)%6 context_seq, s.label context FROM fx_frames f LEFT JOIN fx_frames s ON s.session_id=f.session_id AND s.seq=f.seq-(f.seq-1)%6", "fx_frames")
+@query("k7_context_refresh", """
+SELECT f.session_id, f.seq, f.label, r.seq context_seq, r.label context FROM kept f JOIN kept r ON r.session_id=f.session_id AND r.pos=CASE WHEN f.pos=1 THEN 1 ELSE f.pos-(f.pos-2)%6 END""", "fx_frames",
+       "kept AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) pos FROM fx_frames WHERE seq % 5 <> 2)")
 def k7(fx):
-    out = ops.context_refresh(fx.frames, fx.frames.withColumn("scene", F.col("label")), 6)
+    """Every fifth frame was dropped by throttling."""
+    kept = fx.frames.where("seq % 5 <> 2")
+    out = ops.context_refresh(kept, kept.withColumn("scene", F.col("label")), 6)
     return out.select("session_id", "seq", "label", "context_seq", "context")
 
 

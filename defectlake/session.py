@@ -14,14 +14,16 @@ BROADCAST_ROWS = 200_000
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` (shared storage). Only where nothing is
-    configured, as in local tests, a temporary folder is set.
+    On a cluster the folder comes from ``spark.checkpoint.dir`` (shared storage). Only a local master may do without that
+    setting, as in tests; then a temporary folder is set.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = configured or tempfile.mkdtemp(prefix="defectlake-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

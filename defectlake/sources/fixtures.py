@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered_positions, shifted
+from ..session import checkpoint
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
                "labels conversations").split()
@@ -103,7 +104,8 @@ SQL["fx_poses"] = """
 SELECT CAST(view_id AS BIGINT) view_id, CAST(800 AS DOUBLE) fx, CAST(800 AS DOUBLE) fy, CAST(400 AS DOUBLE) cx, CAST(300 AS DOUBLE) cy, CAST(800 AS BIGINT) w, CAST(600 AS BIGINT) h, CAST(1 AS DOUBLE) r00, CAST(0 AS DOUBLE) r01, CAST(0 AS DOUBLE) r02, CAST(0 AS DOUBLE) r10, CAST(1 AS DOUBLE) r11, CAST(0 AS DOUBLE) r12, CAST(0 AS DOUBLE) r20, CAST(0 AS DOUBLE) r21, CAST(1 AS DOUBLE) r22, CAST(-50 + view_id*5 AS DOUBLE) tx, CAST(-25 AS DOUBLE) ty, CAST(60 + view_id*10 AS DOUBLE) tz, CAST(0.01 AS DOUBLE)*view_id k1, CAST(0 AS DOUBLE) k2, CAST(0 AS DOUBLE) p1, CAST(0 AS DOUBLE) p2, CAST(0 AS DOUBLE) k3, CAST(1.2 AS DOUBLE)+view_id rmse_px, CAST(18 - view_id AS BIGINT) inliers, CAST(20 AS BIGINT) correspondences FROM (SELECT 1 one) o [[view_id 0 3]]"""
 SQL["fx_spatial_records"] = """
 SELECT CAST(year(o_orderdate) AS BIGINT) campaign_id, o_orderkey record_id, CASE o_custkey % 5 WHEN 0 THEN 'cracks' WHEN 1 THEN 'spalling_dark' WHEN 2 THEN 'exposed_rebar' WHEN 3 THEN 'corrosion_rust' ELSE 'efflorescence_white' END damage_class, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 40 END host_id,
- CAST(o_custkey % 60 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE)/CAST(20 AS DOUBLE) x, CAST(floor(o_custkey/60) AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE)/CAST(20 AS DOUBLE) y, CAST(o_custkey % 3 AS DOUBLE) z, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE round(o_totalprice/1000,2) END metric_value FROM {orders}"""
+ CAST(o_custkey % 60 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE)/CAST(20 AS DOUBLE) x, CAST(floor(o_custkey/60) AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE)/CAST(20 AS DOUBLE) y, CAST(o_custkey % 3 AS DOUBLE) z, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE round(o_totalprice/1000,2) END metric_value,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'length' ELSE 'area' END metric_kind, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'mm2' END metric_unit, o_orderkey % 13 <> 0 metric_comparable, CASE WHEN year(o_orderdate) = 1994 THEN NULL ELSE concat(CAST(2100 - year(o_orderdate) AS STRING), '-06-01') END observed_at FROM {orders}"""
 SQL["fx_alignment"] = """
 SELECT CAST(seq AS BIGINT) seq, CAST(seq*12 AS DOUBLE) x, CAST((seq*seq) % 7 AS DOUBLE) y, CAST(1 AS DOUBLE) z FROM (SELECT 1 one) o [[seq 0 5]]"""
 SQL["fx_triangles"] = """
@@ -217,9 +219,10 @@ class Fixtures:
         """Previous and next inspection of an element by position joins: a long history is spread over its months."""
         rows = self.spark.sql(f"SELECT {_INSPECTIONS_COLUMNS} FROM {{orders}} JOIN {{customer}} ON o_custkey=c_custkey",
                               orders=self.orders, customer=self.customer)
-        rows = ordered_positions(rows, ["element_id"], ["created_at", "inspection_id"], F.trunc("created_at", "month"))
+        placed = checkpoint(ordered_positions(rows, ["element_id"], ["created_at", "inspection_id"], F.trunc("created_at", "month")))
+        rows = placed
         for name, step in (("prev1", -1), ("prev2", -2), ("next1", 1)):
-            rows = shifted(rows, rows, ["element_id"], step, {"inspection_id": name})
+            rows = shifted(rows, placed, ["element_id"], step, {"inspection_id": name})
         return self.spark.sql(_INSPECTIONS_OUTER + "{rows}", rows=rows)
 
     def _stream_frames(self) -> DataFrame:

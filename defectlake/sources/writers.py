@@ -5,14 +5,14 @@ Every sink has a function that shapes the rows as a DataFrame and a thin ``write
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import line_to_quad, polygon_area
 from ..functions.rating import CLASS_LABELS
 from ..functions.taxonomy import canonicalize, literal_map
 from ..operators import campaign as C
-from ..operators.annotations import COCO_CATEGORY
+from ..operators.annotations import COCO_CATEGORY, COCO_NAMES
 from ..operators.rating import to_mm
 
 # Column order of the campaign event file and of the pathology property set.
@@ -80,34 +80,39 @@ def write_campaign_events(inspections: DataFrame, snapshots: DataFrame, path: st
     campaign_events(inspections, snapshots).write.mode("overwrite").option("header", True).option("sep", ";").option("quoteAll", True).csv(path)
 
 
-# Inspections per JSON document; a longer campaign continues in further documents.
-PART_ROWS = 10_000
+def campaign_documents(inspections: DataFrame, part_rows: int | None = None) -> DataFrame:
+    """Nested campaign documents with chain status, one for each campaign.
 
-
-def campaign_documents(inspections: DataFrame) -> DataFrame:
-    """Nested campaign documents with chain status; very long campaigns are split into numbered parts."""
+    With ``part_rows``, a campaign of more inspections continues in further documents, numbered by ``part``.
+    """
     edges = C.chain_audit(inspections)
     head = C.chain_status(edges).join(C.campaign_groups(inspections), C.CAMPAIGN)
-    parts = edges.withColumn("part", F.floor(F.col("idx") / PART_ROWS).cast("long"))
+    parts = edges.withColumn("part", F.floor(F.col("idx") / part_rows).cast("long") if part_rows else F.lit(0).cast("long"))
     entry = F.struct("idx", "inspection_id", "created_at", "status", "expected_previous_id", "origin_reference_id", "content_integrity", "gate_status")
     body = parts.groupBy(*C.CAMPAIGN, "part").agg(F.array_sort(F.collect_list(entry)).alias("chain_edges"))
     integrity = F.struct("chain_status", "hard_issues", "warnings", *[f"n_{s}" for s in C.STATUSES])
     return body.join(head, C.CAMPAIGN).select(F.lit("shm_cdm_campaign_v1").alias("schema"), *C.CAMPAIGN, "part", F.col("inspections").alias("inspection_count"), "first_at", "latest_at", integrity.alias("chain_integrity"), "chain_edges")
 
 
-def write_campaign_json(inspections: DataFrame, path: str) -> None:
-    campaign_documents(inspections).write.mode("overwrite").json(path)
+def write_campaign_json(inspections: DataFrame, path: str, part_rows: int | None = None) -> None:
+    campaign_documents(inspections, part_rows).write.mode("overwrite").json(path)
 
 
 def coco_annotations(records: DataFrame) -> DataFrame:
-    """COCO annotation rows of detector records (``points``, ``is_closed``): thin quads for open lines."""
+    """COCO annotation rows of detector records (``points``, ``is_closed``): thin quads for open lines.
+
+    Ids number the records of an image from 1 in the order of time label, class and record id.
+    """
     pts = F.when(F.col("is_closed"), F.col("points")).otherwise(line_to_quad(F.col("points"), F.greatest("width_px", F.lit(2.0))))
     rows = records.withColumn("_pts", pts)
     flat = F.flatten(F.transform("_pts", lambda p: F.array(p["x"], p["y"])))
     category = F.coalesce(F.element_at(literal_map(COCO_CATEGORY), F.col("damage_class")), F.lit(1)).cast("long")
-    return rows.select(F.col("record_id").alias("id"), "image_id", category.alias("category_id"), F.array(flat).alias("segmentation"), F.when(F.col("area_px2") > 0, F.col("area_px2")).otherwise(polygon_area(F.col("_pts"))).alias("area"),
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy("time_label", "damage_class", "record_id"))
+    note = F.col("note") if "note" in records.columns else F.lit(None).cast("string")
+    aspect = F.col("aspect_ratio") if "aspect_ratio" in records.columns else F.greatest("bbox_w", "bbox_h") / F.greatest(F.lit(1), F.least("bbox_w", "bbox_h"))
+    return rows.select(number.cast("long").alias("id"), "image_id", category.alias("category_id"), F.array(flat).alias("segmentation"), F.when(F.col("area_px2") > 0, F.col("area_px2")).otherwise(polygon_area(F.col("_pts"))).alias("area"),
                        F.array(*[F.col(f"bbox_{k}").cast("double") for k in "xywh"]).alias("bbox"), F.lit(0).alias("iscrowd"),
-                       F.struct("record_id", "damage_class", "time_label", "perimeter_px", "length_px", "width_px").alias("attributes"))
+                       F.struct("record_id", "damage_class", "time_label", "perimeter_px", "length_px", "width_px", aspect.alias("aspect_ratio"), note.alias("note")).alias("attributes"))
 
 
 def write_coco(records: DataFrame, images: DataFrame, path: str) -> None:
@@ -115,7 +120,7 @@ def write_coco(records: DataFrame, images: DataFrame, path: str) -> None:
     coco_annotations(records).write.mode("overwrite").json(f"{path}/annotations")
     images.write.mode("overwrite").json(f"{path}/images")
     spark = records.sparkSession
-    spark.createDataFrame([(i, n, "concrete_damage") for n, i in COCO_CATEGORY.items()], "id long, name string, supercategory string").write.mode("overwrite").json(f"{path}/categories")
+    spark.createDataFrame([(i, n, "concrete_damage") for i, n in COCO_NAMES.items()], "id long, name string, supercategory string").write.mode("overwrite").json(f"{path}/categories")
 
 
 def bim_features(records: DataFrame, coordinate_system: str = "image_local") -> DataFrame:

@@ -10,13 +10,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import half_up
 from ..operators import components as C
-from ..operators.ordered import shifted
+from ..operators.ordered import ordered_positions, shifted
+from ..operators.spatial import ordered_fold
+from ..session import checkpoint
 
 ALPHA, RATE_ALPHA, MASK_ON = 0.45, 0.3, 0.5
 REFERENCE_SIDE = 1600
@@ -56,10 +58,19 @@ def windowed_counts(frames: DataFrame, length: str) -> DataFrame:
     return out.select(F.col("w.start").alias("window_start"), "label", "detections", "frames", "max_n")
 
 
+SEQ_CHUNK = 10_000
+
+
 def context_refresh(frames: DataFrame, scenes: DataFrame, every: int) -> DataFrame:
-    """Attach the scene computed at the last refresh (every n-th frame) by its position; no state is needed."""
-    at = F.col("seq") - (F.col("seq") - 1) % every
-    rows = frames.withColumn("context_seq", at)
+    """Attach the scene computed at the last refresh by position among the frames that arrived; no state is needed.
+
+    The first frame computes a scene without being counted, so scenes are computed at frames 1, 2, 2 + every, and so on.
+    Frames that throttling dropped count for nothing. A change of mode is the start of another session.
+    """
+    placed = checkpoint(ordered_positions(frames, ["session_id"], ["seq"], F.floor(F.col("seq") / SEQ_CHUNK)))
+    at = F.when(F.col("pos") == 1, F.lit(1)).otherwise(F.col("pos") - (F.col("pos") - 2) % every)
+    held = placed.select("session_id", F.col("pos").alias("_at"), F.col("seq").alias("context_seq"))
+    rows = placed.withColumn("_at", at.cast("long")).join(held, ["session_id", "_at"]).drop("_at", "pos")
     return rows.join(scenes.select("session_id", F.col("seq").alias("context_seq"), F.col("scene").alias("context")), ["session_id", "context_seq"], "left")
 
 
@@ -73,24 +84,38 @@ def scale_live_params(kernel: Column, min_area: Column, width: Column, height: C
 def ema(rows: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, chunk: Column, name: str = "ema") -> DataFrame:
     """Exponential average in order, seeded by the first value of each key.
 
-    One step is ``acc → (1−α)·acc + α·v``. The steps of a chunk compose to ``acc → a·acc + b``, so chunks are folded
-    independently, their starting values follow from a short list per key, and a long session never sits in one task.
+    One step is ``acc → (1−α)·acc + α·v``, and the steps of a chunk compose to ``acc → a·acc + b``. ``b`` is a weighted sum
+    over the chunk, so starting values follow from one row for each chunk; then chunks are folded independently, in sorted
+    batches that carry the average. Neither a session nor a chunk is ever held as a list.
     """
-    keys = list(keys)
-    decay = 1.0 - alpha
-    packed = rows.withColumn("_c", chunk).groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_v"))
-    # Map-side inputs of a chunk: offset b with start 0, and its value with the first element as seed.
-    fold = lambda start, vs: F.aggregate(vs, start, lambda acc, s: acc * decay + s["v"] * alpha)
-    packed = packed.withColumn("_b", fold(F.lit(0.0), F.col("_v"))).withColumn("_s", fold(F.get("_v", F.lit(0))["v"], F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0)))))
-    chunks = packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", F.size("_v").alias("n"), F.col("_b").alias("b"), F.col("_s").alias("s")))).alias("_h"))
-    ends = F.aggregate(F.slice("_h", 2, F.greatest(F.size("_h") - 1, F.lit(0))), F.array(F.get("_h", F.lit(0))["s"]),
-                       lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(F.lit(decay), h["n"]) + h["b"])))
-    starts = chunks.select(*keys, F.posexplode(F.transform("_h", lambda h: h["_c"])).alias("_i", "_c"), ends.alias("_e")).select(*keys, "_c", F.when(F.col("_i") > 0, F.get("_e", F.col("_i") - 1)).alias("_start"))
-    joined = packed.join(starts, [*keys, "_c"])
-    first = F.get("_v", F.lit(0))["v"]
-    seeded = F.when(F.col("_start").isNull(), first).otherwise(F.col("_start") * decay + first * alpha)
-    values = F.aggregate(F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), F.array(seeded), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) * decay + s["v"] * alpha)))
-    return joined.select(*keys, F.inline(F.zip_with("_v", values, lambda s, e: F.struct(s["o"].alias(order), e.alias(name)))))
+    keys, decay = list(keys), 1.0 - alpha
+    v = F.col(value).cast("double")
+    inside = Window.partitionBy(*keys, "_c").orderBy(order)
+    seen = rows.select(*keys, order, v.alias("_v"), chunk.alias("_c")).withColumn("_i", F.row_number().over(inside))
+    sizes = seen.groupBy(*keys, "_c").agg(F.max("_i").alias("n"))
+    # The first value of a key counts in full.
+    first = seen.join(sizes, [*keys, "_c"]).withColumn("_w", F.pow(F.lit(decay), F.col("n") - F.col("_i")))
+    parts = first.groupBy(*keys, "_c").agg(F.sum(F.col("_v") * F.col("_w")).alias("s"), F.max(F.when(F.col("_i") == 1, F.col("_v") * F.col("_w"))).alias("f"), F.max("n").alias("n"))
+
+    def chain(state: list, arrays: list) -> list:
+        out = []
+        for s, f, n in zip(*arrays):
+            out.append(state[0])
+            state[0] = alpha * s + (1 - alpha) * f if state[0] is None else state[0] * decay ** int(n) + alpha * s
+        return out
+
+    starts = ordered_fold(parts.withColumn("_o", F.col("_c")), keys, [F.col("_o")], lambda: [None], chain, ["s", "f", "n"], "_start", T.DoubleType()).select(*keys, "_c", "_start")
+
+    def run(state: list, arrays: list) -> list:
+        out = []
+        for x, start in zip(*arrays):
+            acc = state[0] if state[0] is not None else (None if start is None or np.isnan(start) else float(start))
+            state[0] = float(x) if acc is None else acc * decay + x * alpha
+            out.append(state[0])
+        return out
+
+    folded = ordered_fold(seen.drop("_i").join(starts, [*keys, "_c"]), [*keys, "_c"], [F.col(order)], lambda: [None], run, ["_v", "_start"], name, T.DoubleType())
+    return folded.select(*keys, order, name)
 
 
 def ema_masks(cells: DataFrame, chunk: Column, keys: Sequence[str] = ("session_id", "layer", "cell")) -> DataFrame:
@@ -136,15 +161,17 @@ def frame_components(mask: DataFrame, height: int, width: int, min_area: int = 1
     boxes = C.component_boxes(C.label_components(mask, ["frame_id"]), ["frame_id"])
     aspect = F.greatest("bw", "bh") / F.greatest(F.lit(1), F.least("bw", "bh"))
     rows = boxes.where((F.col("area") >= min_area) & (aspect >= min_aspect))
-    from pyspark.sql import Window
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy("label"))).where(F.col("rank") <= cap)
     return rows.select("frame_id", "label", "area", (F.col("x0") / F.lit(float(width))).alias("x1"), (F.col("y0") / F.lit(float(height))).alias("y1"),
                        ((F.col("x1") + 1) / F.lit(float(width))).alias("x2"), ((F.col("y1") + 1) / F.lit(float(height))).alias("y2"))
 
 
-def write_frame_components(masks: DataFrame, path: str, height: int, width: int, checkpoint: str, **limits):
-    """Run ``frame_components`` on each micro-batch of a mask stream and append the boxes."""
+def write_frame_components(masks: DataFrame, path: str, height: int, width: int, checkpoint: str, trigger: dict | None = None, **limits):
+    """Run ``frame_components`` on each micro-batch of a mask stream and write the boxes under its number.
+
+    A micro-batch that is replayed replaces its own rows. ``trigger`` holds the options of the stream's trigger.
+    """
     def batch(df: DataFrame, epoch: int) -> None:
-        frame_components(df, height, width, **limits).withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(path)
+        frame_components(df, height, width, **limits).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    return masks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return masks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
