@@ -55,5 +55,8 @@ def canonicalize(label: Column) -> Column:
 
 
 def display_name(canonical: Column) -> Column:
-    return F.coalesce(F.element_at(literal_map(DISPLAY), canonical),
-                      F.initcap(F.replace(canonical, F.lit("_"), F.lit(" "))))
+    """Fixed name, else title case: a letter that follows no letter is a capital, any other is small."""
+    text = F.lower(F.replace(canonical, F.lit("_"), F.lit(" ")))
+    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    title = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
+    return F.coalesce(F.element_at(literal_map(DISPLAY), canonical), title)

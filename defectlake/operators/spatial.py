@@ -28,7 +28,7 @@ def axis_islands(df: DataFrame, keys: Sequence[str], low: Column, high: Column,
     aggregation before anything is ordered. Rows of different islands never overlap and never lie within ``cell``.
     """
     keys = list(keys)
-    rows = df.withColumn("_first_cell", F.floor(low / cell).cast("long"))
+    rows = checkpoint(df.withColumn("_first_cell", F.floor(low / cell).cast("long")))  # read for the cells and for the rows
     cells = rows.withColumn("_cell", F.explode(cell_range(low, high, cell))).select(*keys, "_cell").distinct()
     order = Window.partitionBy(*keys).orderBy("_cell")
     marked = cells.withColumn("_new", (F.coalesce(F.lag("_cell").over(order), F.col("_cell") - 2) < F.col("_cell") - 1).cast("int"))

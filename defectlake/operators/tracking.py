@@ -263,7 +263,7 @@ def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str]
         _metric("l_", current).alias("metric"), _metric("r_", previous).alias("previous_metric"), "distance",
         *[F.least(f"l_{a}", f"r_{a}").alias(f"_lo{a}") for a in "xy"], *[F.greatest(f"l_{a}", f"r_{a}").alias(f"_hi{a}") for a in "xy"])
     group = [*keys, "damage_class"]
-    pairs = axis_islands(checkpoint(pairs), group, F.col("_lox"), F.col("_hix"), max_distance, "island_x")
+    pairs = axis_islands(pairs, group, F.col("_lox"), F.col("_hix"), max_distance, "island_x")
     pairs = axis_islands(pairs, [*group, "island_x"], F.col("_loy"), F.col("_hiy"), max_distance, "island_y")
 
     def step(state: tuple, arrays: list) -> list:
@@ -297,7 +297,8 @@ def damage_timeline(records: DataFrame, max_distance: float = MAX_CENTROID_DISTA
     campaigns = checkpoint(records.groupBy("campaign_id").agg(seen.alias("observed_at")))  # one row for each campaign
     order = Window.orderBy(F.col("observed_at").asc_nulls_last(), "campaign_id")
     pairs = campaigns.select("campaign_id", F.lag("campaign_id").over(order).alias("previous_campaign"))
-    rows = records.join(F.broadcast(pairs) if campaigns.count() <= 100_000 else pairs, "campaign_id")
+    dates = campaigns.select("campaign_id", "observed_at")
+    rows = records.drop("observed_at").join(dates, "campaign_id").join(F.broadcast(pairs) if campaigns.count() <= 100_000 else pairs, "campaign_id")
     current = rows.where(F.col("previous_campaign").isNotNull()).withColumn("pair", F.col("campaign_id"))
     nxt = pairs.select(F.col("previous_campaign").alias("campaign_id"), F.col("campaign_id").alias("pair")).where(F.col("campaign_id").isNotNull())
     previous = records.join(nxt, "campaign_id")
@@ -313,10 +314,10 @@ def damage_timeline(records: DataFrame, max_distance: float = MAX_CENTROID_DISTA
                                                                    F.concat(F.lit("cdm3-track-"), F.col("record_id").cast("string")).alias("track_id"))
     later = matched.join(links.drop("moved"), "record_id", "left").select(F.col("pair").alias("campaign_id"), "record_id", "damage_class", "previous_id", "change_status",
                                                                           F.when(F.col("root").isNotNull(), F.concat(F.lit("cdm3-track-"), F.col("root").cast("string"))).alias("track_id"))
-    return first.unionByName(later)
+    return first.unionByName(later).join(dates, "campaign_id")
 
 
 def damage_tracks(timeline: DataFrame) -> DataFrame:
-    """Ordered observations per track; a track holds at most one record per campaign."""
-    seen = F.array_sort(F.collect_list(F.struct("campaign_id", "record_id", "change_status")))
+    """Observations per track by date, those without one last; a track holds at most one record per campaign."""
+    seen = F.array_sort(F.collect_list(F.struct(F.col("observed_at").isNull().alias("undated"), "observed_at", "campaign_id", "record_id", "change_status")))
     return timeline.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(seen.alias("observations"), F.count(F.lit(1)).alias("observation_count"))

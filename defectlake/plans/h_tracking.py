@@ -105,17 +105,44 @@ def h8a(fx):
     return out.select(F.col("l_pair").alias("pair"), F.col("l_record_id").alias("record_id"), F.col("r_record_id").alias("previous_id"), F.round("distance", 9).alias("distance"))
 
 
-@query("h8_match_campaigns")
+def fold_cte(order: str) -> str:
+    """CTEs of the sequential match between neighbouring campaigns; ``order`` is a CTE (campaign_id, previous_campaign)."""
+    return order + """,
+sr AS (SELECT *, CASE WHEN metric_value > 0 AND metric_comparable AND trim(metric_unit) <> '' AND trim(metric_kind) <> '' THEN metric_value END mv FROM fx_spatial_records),
+cand AS (SELECT *, row_number() OVER (PARTITION BY pair, damage_class ORDER BY record_id, distance, previous_id) k FROM (
+ SELECT c.campaign_id pair, c.damage_class, c.record_id, p.record_id previous_id, c.mv, p.mv pmv, c.metric_kind kind, p.metric_kind pkind, sqrt((c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y)+(c.z-p.z)*(c.z-p.z)) distance
+ FROM sr c JOIN co ON co.campaign_id=c.campaign_id JOIN sr p ON p.campaign_id=co.previous_campaign AND p.damage_class=c.damage_class AND (c.host_id IS NULL OR p.host_id IS NULL OR c.host_id=p.host_id)) q WHERE distance<=0.5),
+fold AS /* RECURSIVE */ (SELECT pair, damage_class, k, record_id, previous_id, true ok, [record_id] done, [previous_id] used FROM cand WHERE k=1
+ UNION ALL SELECT c.pair, c.damage_class, c.k, c.record_id, c.previous_id, NOT list_contains(f.done, c.record_id) AND NOT list_contains(f.used, c.previous_id),
+ CASE WHEN NOT list_contains(f.done, c.record_id) AND NOT list_contains(f.used, c.previous_id) THEN list_append(f.done, c.record_id) ELSE f.done END,
+ CASE WHEN NOT list_contains(f.done, c.record_id) AND NOT list_contains(f.used, c.previous_id) THEN list_append(f.used, c.previous_id) ELSE f.used END
+ FROM fold f JOIN cand c ON c.pair=f.pair AND c.damage_class=f.damage_class AND c.k=f.k+1),
+hit AS (SELECT c.* FROM cand c JOIN fold f ON f.pair=c.pair AND f.damage_class=c.damage_class AND f.k=c.k WHERE f.ok),
+mt AS (SELECT c.campaign_id pair, c.record_id, c.damage_class, h.previous_id, h.distance, CASE WHEN h.kind=h.pkind THEN (h.mv-h.pmv)/h.pmv END ratio, c.x FROM fx_spatial_records c LEFT JOIN hit h ON h.pair=c.campaign_id AND h.record_id=c.record_id),
+st AS (SELECT *, CASE WHEN x IS NULL THEN 'not_comparable' WHEN previous_id IS NULL THEN 'unmatched' WHEN ratio IS NULL THEN 'matched_not_quantified' WHEN abs(ratio)<=0.05 THEN 'stable' WHEN ratio>0 THEN 'grown' ELSE 'reduced' END change_status FROM mt)"""
+
+
+BY_YEAR = "co AS (SELECT DISTINCT campaign_id, campaign_id-1 previous_campaign FROM fx_spatial_records)"
+BY_DATE = """co AS (SELECT campaign_id, lag(campaign_id) OVER (ORDER BY observed_at ASC NULLS LAST, campaign_id) previous_campaign FROM (SELECT campaign_id, min(observed_at) observed_at FROM fx_spatial_records GROUP BY 1) q)"""
+TRACKS = fold_cte(BY_DATE) + """,
+up AS /* RECURSIVE */ (SELECT record_id, previous_id root FROM st WHERE previous_id IS NOT NULL UNION ALL SELECT u.record_id, s.previous_id FROM up u JOIN st s ON s.record_id=u.root WHERE s.previous_id IS NOT NULL),
+roots AS (SELECT u.record_id, u.root FROM up u JOIN st s ON s.record_id=u.root WHERE s.previous_id IS NULL),
+tl AS (SELECT s.pair campaign_id, s.record_id, s.damage_class, s.previous_id, CASE WHEN co.previous_campaign IS NULL THEN 'baseline' ELSE s.change_status END change_status,
+ CASE WHEN co.previous_campaign IS NULL THEN concat('cdm3-track-', s.record_id) WHEN r.root IS NOT NULL THEN concat('cdm3-track-', r.root) END track_id FROM st s JOIN co ON co.campaign_id=s.pair LEFT JOIN roots r ON r.record_id=s.record_id)"""
+
+
+@query("h8_match_campaigns", "SELECT pair, record_id, damage_class, previous_id, change_status, round(ratio, 9) change_ratio, round(distance, 9) distance FROM st", "fx_spatial_records", fold_cte(BY_YEAR))
 def h8(fx):
-    return ops.match_campaigns(*pairs(fx), ["pair"])
+    out = ops.match_campaigns(*pairs(fx), ["pair"])
+    return out.withColumn("change_ratio", F.round("change_ratio", 9)).withColumn("distance", F.round("distance", 9))
 
 
-@query("h9_damage_timeline")
+@query("h9_damage_timeline", "SELECT * FROM tl", "fx_spatial_records", TRACKS)
 def h9(fx):
-    return ops.damage_timeline(fx.spatial_records)
+    return ops.damage_timeline(fx.spatial_records).drop("observed_at")
 
 
-@query("h10_damage_tracks")
+@query("h10_damage_tracks", "SELECT track_id, count(*) observation_count, string_agg(record_id::VARCHAR, ',' ORDER BY observed_at ASC NULLS LAST, campaign_id, record_id) records FROM tl JOIN (SELECT record_id, observed_at FROM fx_spatial_records) o USING (record_id) WHERE track_id IS NOT NULL GROUP BY 1", "fx_spatial_records", TRACKS)
 def h10(fx):
     out = ops.damage_tracks(ops.damage_timeline(fx.spatial_records))
     return out.select("track_id", "observation_count", F.array_join(F.transform("observations", lambda o: o["record_id"].cast("string")), ",").alias("records"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..streaming import live as ops
 from .base import query
+from .e_raster import labels_cte
 
 def day():
     return F.col("ts").cast("date")
@@ -13,7 +17,13 @@ def day():
 
 @query("k1_read_frames", "SELECT session_id, seq, ts, label, n, latency_ms FROM fx_frames", "fx_frames")
 def k1(fx):
-    return fx.frames
+    """All frames through a file stream into a table; a second copy of every file's rows is dropped on the way."""
+    root = f"{ensure_checkpoint_dir(fx.spark)}/frames-{uuid4().hex}"
+    frames = fx.frames.select(*ops.FRAME_SCHEMA.names)
+    frames.union(frames).write.parquet(f"{root}/in")
+    stream = ops.read_frames(fx.spark, f"{root}/in", delay="60 days")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("k2_throttle_frames", "SELECT session_id, seq, ts, label, n, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id, epoch_us(ts)//3600000000 ORDER BY seq DESC) rn FROM fx_frames) q WHERE rn=1", "fx_frames")
@@ -75,6 +85,8 @@ def k8(fx):
     return fx.frames.select("session_id", "seq", kernel.alias("kernel"), area.alias("min_area"))
 
 
-@query("k9_frame_components")
+@query("k9_frame_components", """
+SELECT frame_id, label, area, x0/32.0::DOUBLE x1, y0/32.0::DOUBLE y1, (x1+1)/32.0::DOUBLE x2, (y1+1)/32.0::DOUBLE y2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY label) rn FROM (
+ SELECT frame_id, label, count(*) area, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM lab GROUP BY 1,2) a WHERE area>=3) b WHERE rn<=25""", "fx_pixels", "fm AS (SELECT image_id frame_id, y, x FROM fx_pixels WHERE g>=165),\n" + labels_cte("fm", "frame_id"))
 def k9(fx):
     return ops.frame_components(fx.pixels.where("g >= 165").select(F.col("image_id").alias("frame_id"), "y", "x"), 32, 32, 3, 0.0, 25)

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources import readers, schemas, writers
 from .a_consensus import CANON, CLEAN
 from .base import query
-from .d_campaign import EDGES, EVENTS
+from .d_campaign import CHAIN, EDGES, EVENTS
 from .j_annotations import record_shapes
 
 
-@query("s1_read_inspection_tables", "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
+def scratch(fx, name: str) -> str:
+    return f"{ensure_checkpoint_dir(fx.spark)}/{name}-{uuid4().hex}"
+
+
+@query("s1_read_inspection_tables", "SELECT inspection_id, asset_id, element_id, created_at, temporal, reference_origin_id, reference_storage, has_reference_image, gde, gate_status, NULL::VARCHAR source_id FROM fx_inspections", "fx_inspections")
 def s1(fx):
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_shipdate", schemas.TS), T.StructField("l_extendedprice", T.DoubleType())])
-    return fx.spark.read.schema(schema).parquet(f"{fx.folder}/lineitem.parquet")
+    """Stored tables written and read back; the files lack a column that the declared schema has."""
+    folder = scratch(fx, "tables")
+    for name in schemas.TABLES:
+        rows = fx.inspections if name == "inspections" else fx.spark.createDataFrame([], schemas.TABLES[name])
+        rows.write.parquet(f"{folder}/{name}")
+    out = readers.read_inspection_tables(fx.spark, folder)["inspections"]
+    return out.select("inspection_id", "asset_id", "element_id", "created_at", "temporal", "reference_origin_id", "reference_storage", "has_reference_image", "gde", "gate_status", "source_id")
 
 
 @query("s2_catalog_dimension", "SELECT domain_mode, catalog_group, count(*) engines, count(*) FILTER (recommended) recommended FROM fx_catalog GROUP BY 1,2", "fx_catalog")
 def s2(fx):
-    text = fx.catalog.select(F.to_json(F.struct(*fx.catalog.columns)).alias("j"))
-    rows = text.select(F.from_json("j", schemas.CATALOG_ENGINE).alias("e")).select("e.*")
+    """Catalog documents of up to a few hundred engines each, written and read back."""
+    path = scratch(fx, "catalog")
+    documents = F.greatest(F.lit(1), F.lit(fx.catalog.count() // 200))
+    engine = F.struct(*[f.name for f in schemas.CATALOG_ENGINE.fields])
+    text = fx.catalog.groupBy(F.pmod(F.hash("id"), documents)).agg(F.to_json(F.struct(F.collect_list(engine).alias("engines"))).alias("value"))
+    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = readers.read_catalog(fx.spark, path)
     return rows.groupBy("domain_mode", "catalog_group").agg(F.count(F.lit(1)).alias("engines"), F.count_if("recommended").alias("recommended"))
 
 
@@ -66,7 +82,7 @@ def s8(fx):
     return out.select("record_type", "inspection_id", "pathology", "metric", F.round("value", 8).alias("value"), "unit", "chain_status", "quality_status")
 
 
-@query("s9_campaign_documents")
+@query("s9_campaign_documents", "SELECT asset_id, element_id, 0::BIGINT part, n inspection_count, chain_status, n::INT edges FROM chain JOIN (SELECT asset_id, element_id, count(*) n FROM fx_inspections GROUP BY 1,2) k USING (asset_id, element_id)", "fx_inspections", CHAIN)
 def s9(fx):
     out = writers.campaign_documents(fx.inspections)
     return out.select("asset_id", "element_id", "part", "inspection_count", F.col("chain_integrity.chain_status").alias("chain_status"), F.size("chain_edges").alias("edges"))
