@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounding_box, half_up
-from ..functions.rating import CLASS_LABELS
 from ..functions.taxonomy import literal_map
 from . import raster
 from .evaluation import seg_metrics
@@ -80,7 +79,7 @@ def label_map(pixels: DataFrame) -> DataFrame:
 
 
 def coco_rows(shapes: DataFrame, height: int, width: int, is_polygon: Column, stroke: Column) -> DataFrame:
-    """Annotation rows: category, raster area, padded box, flat polygon or run lengths."""
+    """Annotation rows: category, raster area, padded box to two digits, flat polygon or run lengths, and the drawn shape."""
     keys = ["image_id", "ann_id"]
     pixels = rasterize(shapes, keys, height, width, is_polygon, stroke)
     area = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"))
@@ -89,7 +88,12 @@ def coco_rows(shapes: DataFrame, height: int, width: int, is_polygon: Column, st
     flat = F.when(is_polygon, F.flatten(F.transform("points", lambda p: F.array(F.round(p["x"], 2), F.round(p["y"], 2)))))
     rows = shapes.join(area, keys).join(rle, keys, "left")
     category = F.element_at(literal_map({k: v[1] for k, v in CLASSES.items()}), F.col("cls"))
-    return rows.select("ann_id", "image_id", category.cast("long").alias("category_id"), F.lit(0).alias("iscrowd"), "area", bounding_box(F.col("points"), pad).alias("bbox"), flat.alias("segmentation"), "counts")
+    level = F.element_at(literal_map({k: v[0] for k, v in CLASSES.items()}), F.col("cls"))
+    box = bounding_box(F.col("points"), pad)
+    line = F.when(~is_polygon, F.transform("points", lambda p: F.array(F.round(p["x"], 2), F.round(p["y"], 2))))
+    shape = F.struct(F.when(is_polygon, "polygon").otherwise("polyline").alias("shape"), level.alias("level"), F.when(~is_polygon, F.round(stroke, 2)).alias("width_px"), line.alias("polyline"))
+    return rows.select("ann_id", "image_id", category.cast("long").alias("category_id"), F.lit(0).alias("iscrowd"), "area", F.struct(*[F.round(box[k], 2).alias(k) for k in "xywh"]).alias("bbox"),
+                       flat.alias("segmentation"), "counts", shape.alias("shm"))
 
 
 def tile_windows(images: DataFrame, scales: Sequence[int] = (1, 2, 4), side: int = 512) -> DataFrame:
@@ -170,10 +174,6 @@ def hash_split(key: Column) -> Column:
     return F.when(bucket < 70, "train").when(bucket < 85, "val").otherwise("test")
 
 
-VARIANTS = ["original", "recorte_se", "recorte_sd", "recorte_ie", "recorte_id", "fase_7_5", "rot_90", "rot_180", "rot_270", "espelho_h", "espelho_v",
-            "brilho_p15", "brilho_m15", "contraste_115", "contraste_085", "gama_08", "gama_125"]
-
-
 def augment_index(pixels: DataFrame, height: int, width: int, value: str = "g") -> DataFrame:
     """Deterministic variants of every image as pixel rows (crops, shifts, turns, flips and tone changes).
 
@@ -195,6 +195,3 @@ def augment_index(pixels: DataFrame, height: int, width: int, value: str = "g")
     rows = pixels.select("image_id", F.inline(F.filter(made, lambda m: m["ok"])))
     return rows.select("image_id", "variant", F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("nv").alias(value))
 
-
-def class_label(cls: Column) -> Column:
-    return F.coalesce(F.element_at(literal_map(CLASS_LABELS), cls), cls)

@@ -80,9 +80,14 @@ def j5(fx):
     return rows.select("ann_id", F.round(G.polygon_area(p), 6).alias("area"), *[F.col(f"b.{k}").alias(f"bbox_{k}") for k in "xywh"], F.round(G.polygon_area(F.col("quad")), 5).alias("quad_area"))
 
 
-@query("j6_coco_rows", f"SELECT ann_id, image_id, {INDEX}::BIGINT category_id, count(*) area FROM px GROUP BY 1,2,3", "fx_annotations", BOTH)
+@query("j6_coco_rows", f"""
+SELECT a.*, CASE WHEN cls='cracks' THEN 'polyline' ELSE 'polygon' END shape, CASE WHEN cls='cracks' THEN 3.0::DOUBLE END width_px, CASE WHEN cls='cracks' THEN 4 END::INT vertices, CASE WHEN cls<>'cracks' THEN 8 END::INT coordinates, CASE WHEN cls IN ('structure','irrelevant') THEN 'cena' WHEN cls='cracks' THEN 'detalhe' ELSE 'regiao' END AS level,
+ round(x0-pad, 2) bbox_x, round(y0-pad, 2) bbox_y, round(x1-x0+2*pad, 2) bbox_w, round(y1-y0+2*pad, 2) bbox_h FROM (SELECT ann_id, image_id, {INDEX}::BIGINT category_id, count(*) area FROM px GROUP BY 1,2,3) a
+JOIN (SELECT ann_id, any_value(cls) cls, CASE WHEN any_value(cls)='cracks' THEN 1.5::DOUBLE ELSE 0 END pad, min(px) x0, max(px) x1, min(py) y0, max(py) y1 FROM us GROUP BY 1) b USING (ann_id)""".replace("SELECT a.*,", "SELECT a.ann_id, a.image_id, a.category_id, a.area,"), "fx_annotations", BOTH)
 def j6(fx):
-    return ops.coco_rows(shapes(fx), H, W, poly(), stroke()).select("ann_id", "image_id", "category_id", "area")
+    out = ops.coco_rows(shapes(fx), H, W, poly(), stroke())
+    count = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return out.select("ann_id", "image_id", "category_id", "area", "shm.shape", "shm.width_px", count("shm.polyline").alias("vertices"), count("segmentation").alias("coordinates"), "shm.level", *[F.col(f"bbox.{k}").alias(f"bbox_{k}") for k in "xywh"])
 
 
 @query("j7_tile_windows", "SELECT * FROM wn", "fx_annotations", TILES)

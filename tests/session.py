@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,6 +13,7 @@ def make_session(name: str = "tests") -> SparkSession:
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="defectlake-tests-"))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
