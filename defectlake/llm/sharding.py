@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, without
+from .common import lean_memory, scratch_path, without
 
 BUCKET_BYTES = 32 << 20
 ROW_BYTES = 8
@@ -37,6 +37,7 @@ def _permute(seed: int, limit: int, weight: int, at: int):
     """
 
     def run(batches):
+        lean_memory()
         held, size, bucket, part, done = [], 0, None, 0, 0
 
         def flush():
@@ -89,7 +90,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 42, bucket_by
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     # A second hash gives the bucket, so that rows of a bucket are still in random order when sorted by the first.
     keyed = rows.select(F.struct(*names).alias("row__"), row_bytes().alias("size__"), mixed.alias("hash__"), F.pmod(F.xxhash64(mixed, F.lit(seed + 1)), F.lit(buckets)).cast("long").alias("bucket__"))
-    dealt = keyed.repartition(min(buckets, 100_000), "bucket__").sortWithinPartitions("bucket__", "hash__", "row__.doc_id")
+    dealt = keyed.repartitionById(min(buckets, 100_000), F.col("bucket__").cast("int")).sortWithinPartitions("bucket__", "hash__", "row__.doc_id")
     schema = T.StructType([*dealt.schema.fields, T.StructField("index__", T.LongType())])
     path = path or scratch_path(spark, "shards")
     dealt.mapInArrow(_permute(seed, 2 * bucket_bytes, dealt.columns.index("size__"), dealt.columns.index("bucket__")), schema).drop("size__", "hash__").write.parquet(path)
