@@ -8,6 +8,7 @@ through; only rows that may repeat are shuffled and compared by their complete d
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, staged
+from .common import lean_memory, scratch_path, staged, values_of
 
 HASHES = 4
 CELLS_PER_ROW = 16
@@ -36,8 +37,9 @@ def _digests(docs: DataFrame, ranges: int) -> DataFrame:
     """``docs`` rows as ``(row, doc_id, digest, part)``; ``part`` is the hash range whose filter knows the digest."""
 
     def run(batches):
+        lean_memory()
         for batch in batches:
-            digests = [text_digest(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            digests = [text_digest(t) for t in values_of(batch.column(2))]
             parts = [int.from_bytes(d[:4], "big") % ranges for d in digests]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(parts, pa.int32())], ["row", "doc_id", "digest", "part"])
 
@@ -132,6 +134,7 @@ def exact_duplicates(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES)
     sole = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.lit(False).alias("shuffled"))
     some = rows.filter("maybe")
     groups = some.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+    groups = staged(groups, "groups")  # so that the join has exchanges of its own, which adaptive execution splits where a group is large
     both = some.join(groups, "digest").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest", F.lit(True).alias("shuffled"))
     return sole.union(both).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "shuffled")
 
@@ -150,16 +153,18 @@ def drop_duplicates(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -
     doubled = groups.select(F.col("digest__").alias("digest"))
     known = spark.sparkContext.broadcast(repeated_cells(doubled.union(doubled), cells))
 
-    def probe(batches):
-        for batch in batches:
-            digests = pa.array([text_digest(t) for t in batch.column(0).cast(pa.binary()).to_pylist()], pa.binary())
-            hit = _cells(digests, cells) if batch.num_rows else np.zeros((0, HASHES), dtype=np.int64)
+    def probe(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_memory()
+        for batch in texts:
+            digests = pa.array([text_digest(t) for t in values_of(batch)], pa.binary())
+            hit = _cells(digests, cells) if len(batch) else np.zeros((0, HASHES), dtype=np.int64)
             maybe = ((known.value[hit >> 3] >> (hit & 7).astype(np.uint8)) & 1).all(axis=1)
-            yield pa.RecordBatch.from_arrays([digests, pa.array(maybe, pa.bool_()), batch.column(1)], ["digest__", "maybe__", "row__"])
+            yield pa.StructArray.from_arrays([digests, pa.array(maybe, pa.bool_())], ["digest", "maybe"])
 
-    whole = F.struct(*[f"`{c}`" for c in docs.columns])
-    rows = docs.select(F.col("text").cast("string").alias("text__"), whole.alias("row__"))
-    rows = rows.mapInArrow(probe, T.StructType([T.StructField("digest__", T.BinaryType()), T.StructField("maybe__", T.BooleanType()), rows.schema["row__"]]))
+    probe.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    mark = F.arrow_udf(probe, "struct<digest: binary, maybe: boolean>")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row__"), mark(F.col("text").cast("string")).alias("mark__"))
+    rows = rows.select("row__", F.col("mark__.digest").alias("digest__"), F.col("mark__.maybe").alias("maybe__"))
     sole = rows.filter(~F.col("maybe__")).select("row__.*")
     found = rows.filter("maybe__").join(groups, "digest__", "left").withColumn("hit__", F.col("n__").isNotNull())
     other = found.filter(~F.col("hit__")).select("row__.*")
