@@ -130,23 +130,26 @@ def consolidate_regions(records: DataFrame, image_area: Column, min_area: float
         low = F.col(f"bbox_{axis}").cast("double")
         rows = axis_islands(rows, [*keys, *(["island_x"] if axis == "y" else [])], low, low + F.col(f"bbox_{size}"), cell, f"island_{axis}")
 
-    def step(kept: list, arrays: list) -> list:
-        out = []
+    def step(kept: dict, arrays: list) -> list:
+        out, ids = [], kept["ids"]
         for record_id, x, y, w, h in zip(*arrays):
             host = record_id
-            if kept:
-                boxes = np.array([k[1:] for k in kept])
+            if ids:
+                boxes = kept["boxes"][:len(ids)]
                 ix = np.maximum(0, np.minimum(x + w, boxes[:, 0] + boxes[:, 2]) - np.maximum(x, boxes[:, 0]))
                 iy = np.maximum(0, np.minimum(y + h, boxes[:, 1] + boxes[:, 3]) - np.maximum(y, boxes[:, 1]))
                 inside = np.flatnonzero(ix * iy >= AREA_CONTAIN_FRACTION * w * h)
                 if len(inside):
-                    host = kept[inside[0]][0]
+                    host = ids[inside[0]]
             if host == record_id:
-                kept.append((record_id, x, y, w, h))
+                if len(ids) == len(kept["boxes"]):  # room doubles, so a box is copied a bounded number of times
+                    kept["boxes"] = np.vstack([kept["boxes"], np.zeros_like(kept["boxes"])])
+                kept["boxes"][len(ids)] = (x, y, w, h)
+                ids.append(record_id)
             out.append(host)
         return out
 
-    folded = ordered_fold(rows, [*keys, "island_x", "island_y"], [F.col("area_px2").desc(), F.col("record_id").asc()], list, step,
+    folded = ordered_fold(rows, [*keys, "island_x", "island_y"], [F.col("area_px2").desc(), F.col("record_id").asc()], lambda: {"ids": [], "boxes": np.zeros((16, 4))}, step,
                           ["record_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"], "host_id", T.StringType())
     own = F.col("record_id") == F.col("host_id")
     keep = {c: F.max(F.when(own, F.col(c))).alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h", "perimeter_px")}

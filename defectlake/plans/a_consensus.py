@@ -107,10 +107,30 @@ def a6(fx):
         F.round(F.max("iou"), 9).alias("iou_max"))
 
 
-@query("a7_spatial_consensus")
+# Sequential clustering row by row: a cluster is its sums and its mean box to two digits.
+_OVER = "(greatest(0, least(c.m[3], {b}.x2)-greatest(c.m[1], {b}.x1))*greatest(0, least(c.m[4], {b}.y2)-greatest(c.m[2], {b}.y1)))"
+_FIT = "list_transform(f.cl, lambda c: coalesce(" + _OVER.format(b="n") + "/nullif(greatest(0, c.m[3]-c.m[1])*greatest(0, c.m[4]-c.m[2])+greatest(0, n.x2-n.x1)*greatest(0, n.y2-n.y1)-" + _OVER.format(b="n") + ", 0), 0))"
+_MEAN = "{{'n': {n}, 's': {s}, 'm': list_transform({s}, lambda v: round_even(v/({n}), 2))}}"
+CLUSTERS = """sq AS (SELECT d.image_id, canonical_label, det_id, d.engine_id, score, x1, y1, x2, y2, row_number() OVER (PARTITION BY d.image_id, canonical_label ORDER BY coalesce(score, -1) DESC, det_id) k
+ FROM dets d JOIN fx_runs r ON d.image_id=r.image_id AND d.engine_id=r.engine_id AND r.status='ok'),
+cf AS /* RECURSIVE */ (SELECT image_id, canonical_label, k, 1::BIGINT cluster, [""" + _MEAN.format(n="1::BIGINT", s="[x1, y1, x2, y2]") + """] cl FROM sq WHERE k=1
+ UNION ALL SELECT image_id, canonical_label, k, CASE WHEN hit > 0 THEN hit ELSE len(cl)+1 END,
+  CASE WHEN hit > 0 THEN list_transform(cl, lambda c, i: CASE WHEN i=hit THEN """ + _MEAN.format(n="c.n+1", s="[c.s[1]+x1, c.s[2]+y1, c.s[3]+x2, c.s[4]+y2]") + """ ELSE c END) ELSE list_append(cl, """ + _MEAN.format(n="1::BIGINT", s="[x1, y1, x2, y2]") + """) END
+  FROM (SELECT *, CASE WHEN list_max(fit) > 0 AND list_max(fit) >= 0.25 THEN list_position(fit, list_max(fit)) ELSE 0 END::BIGINT hit FROM (
+   SELECT n.*, f.cl, """ + _FIT + """ fit FROM cf f JOIN sq n ON n.image_id=f.image_id AND n.canonical_label=f.canonical_label AND n.k=f.k+1) a) b)"""
+
+
+@query("a7_spatial_consensus", """
+SELECT image_id, canonical_label, round(g.x1, 6) x1, round(g.y1, 6) y1, round(g.x2, 6) x2, round(g.y2, 6) y2, engines, detections, round(mean_score, 9) mean_score, engine_count, successful_engine_count,
+ round(engine_count/successful_engine_count, 9) agreement_ratio, row_number() OVER (PARTITION BY image_id ORDER BY seed_s, seed_d) cluster_id
+FROM (SELECT image_id, canonical_label, cluster, avg(x1) x1, avg(y1) y1, avg(x2) x2, avg(y2) y2, array_to_string(list_sort(list(DISTINCT engine_id)), ',') engines, count(DISTINCT engine_id) engine_count, count(*) detections, avg(score) mean_score,
+ min(-coalesce(score,-1)) seed_s, arg_min(det_id, (-coalesce(score,-1), det_id)) seed_d FROM sq JOIN cf USING (image_id, canonical_label, k) GROUP BY 1,2,3) g JOIN ok USING (image_id)""",
+       "fx_runs fx_detections", det_ctes() + ",\n" + OK + ",\n" + CLUSTERS)
 def a7(fx):
-    out = con.spatial_consensus(fx.runs, fx.detections)
-    return out.withColumn("engines", F.array_join("engines", ","))
+    out = con.spatial_consensus(fx.runs, fx.detections).withColumn("engines", F.array_join("engines", ",")).withColumn("mean_score", F.round("mean_score", 9))
+    for c in con.BOX:
+        out = out.withColumn(c, F.round(c, 6))
+    return out.withColumn("agreement_ratio", F.round("agreement_ratio", 9))
 
 
 @query("a8_cluster_summary", """

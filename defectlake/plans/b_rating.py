@@ -137,7 +137,17 @@ def b12(fx):
     return ops.significant_regions(fx.records, F.lit(AREA)).select("record_id", "image_id", "time_label", "damage_class", "area_px2")
 
 
-@query("b12_consolidate_regions")
+REGIONS = f"""sg AS (SELECT *, row_number() OVER (PARTITION BY image_id, time_label, damage_class ORDER BY area_px2 DESC, record_id) k FROM (SELECT *, max(area_px2) OVER (PARTITION BY image_id, time_label, damage_class) largest FROM fx_records WHERE damage_class IN ('spalling_dark','corrosion_rust','efflorescence_white')) q
+ WHERE area_px2 >= greatest(30, 0.0005::DOUBLE*160000, 0.03::DOUBLE*largest)),
+ab AS /* RECURSIVE */ (SELECT image_id, time_label, damage_class, k, record_id, record_id host, [{{'id': record_id, 'x': bbox_x, 'y': bbox_y, 'w': bbox_w, 'h': bbox_h}}] kept FROM sg WHERE k=1
+ UNION ALL SELECT image_id, time_label, damage_class, k, record_id, coalesce(found, record_id), CASE WHEN found IS NULL THEN list_append(kept, {{'id': record_id, 'x': bbox_x, 'y': bbox_y, 'w': bbox_w, 'h': bbox_h}}) ELSE kept END FROM (
+  SELECT s.*, a.kept, list_filter(a.kept, lambda o: greatest(0, least(s.bbox_x+s.bbox_w, o.x+o.w)-greatest(s.bbox_x, o.x))*greatest(0, least(s.bbox_y+s.bbox_h, o.y+o.h)-greatest(s.bbox_y, o.y)) >= 0.8::DOUBLE*s.bbox_w*s.bbox_h)[1].id found
+  FROM ab a JOIN sg s ON s.image_id=a.image_id AND s.time_label=a.time_label AND s.damage_class=a.damage_class AND s.k=a.k+1) z)"""
+
+
+@query("b12_consolidate_regions", """
+SELECT a.image_id, a.time_label, a.damage_class, a.host record_id, sum(s.area_px2) area_px2, count(*)-1 absorbed, max(s.bbox_x) FILTER (s.record_id=a.host) bbox_x, max(s.bbox_y) FILTER (s.record_id=a.host) bbox_y, max(s.bbox_w) FILTER (s.record_id=a.host) bbox_w, max(s.bbox_h) FILTER (s.record_id=a.host) bbox_h,
+ max(s.perimeter_px) FILTER (s.record_id=a.host) perimeter_px FROM ab a JOIN sg s ON s.record_id=a.record_id AND s.image_id=a.image_id AND s.time_label=a.time_label AND s.damage_class=a.damage_class GROUP BY 1,2,3,4""", "fx_records", REGIONS)
 def b12b(fx):
     return ops.consolidate_regions(fx.records, F.lit(400 * 400))
 

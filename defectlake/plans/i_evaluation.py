@@ -77,7 +77,16 @@ def i5(fx):
     return ops.decode_boxes(candidates(fx), 0.6).withColumn("score", F.round("score", 9))
 
 
-@query("i6_nms")
+NMS = "cd AS (" + CANDS.format(d="fx_detections").replace("0.1)", "0.1::DOUBLE)").replace("0.4*", "0.4::DOUBLE*").replace("0.35 ", "0.35::DOUBLE ") + """),
+bx AS (SELECT image_id, x1, y1, x2, y2, max(score) score, arg_min(cand_id, (-score, cand_id)) cand_id FROM (SELECT image_id, cand_id, greatest(s0, s1, s2) score, cx-w/2 x1, cy-h/2 y1, cx+w/2 x2, cy+h/2 y2 FROM cd WHERE greatest(s0, s1, s2)>=0.25) q GROUP BY 1,2,3,4,5),
+ns AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, cand_id) k FROM bx),
+nf AS /* RECURSIVE */ (SELECT image_id, k, true ok, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] kept FROM ns WHERE k=1
+ UNION ALL SELECT image_id, k, ok, CASE WHEN ok THEN list_append(kept, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE kept END FROM (SELECT n.*, f.kept, len(f.kept)<30 AND len(list_filter(f.kept, lambda o:
+  greatest(0, least(o.x2, n.x2)-greatest(o.x1, n.x1))*greatest(0, least(o.y2, n.y2)-greatest(o.y1, n.y1))/greatest(greatest(0, o.x2-o.x1)*greatest(0, o.y2-o.y1)+greatest(0, n.x2-n.x1)*greatest(0, n.y2-n.y1)-greatest(0, least(o.x2, n.x2)-greatest(o.x1, n.x1))*greatest(0, least(o.y2, n.y2)-greatest(o.y1, n.y1)), 1e-9) > 0.45))=0 ok
+  FROM nf f JOIN ns n ON n.image_id=f.image_id AND n.k=f.k+1) z)"""
+
+
+@query("i6_nms", "SELECT image_id, cand_id, score, x1, y1, x2, y2 FROM ns JOIN nf USING (image_id, k) WHERE ok", "fx_detections", NMS)
 def i6(fx):
     return ops.nms(ops.decode_boxes(candidates(fx), 0.25))
 
