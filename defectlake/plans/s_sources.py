@@ -50,6 +50,33 @@ def s3(fx):
     return out.groupBy("valid", F.col("r").isNotNull().alias("has_rgb")).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("z_sum"), F.sum("intensity").alias("intensity_sum"))
 
 
+@query("s3_read_las", """
+SELECT l_suppkey % 20 file, count(*) n, round(sum(x), 2) x, round(sum(y), 2) y, round(sum(z), 2) z, sum(intensity)::BIGINT intensity, sum(cls)::BIGINT classes, sum(r)::BIGINT r FROM (
+ SELECT l_suppkey, l_partkey*0.01::DOUBLE+1000 x, l_linenumber*0.01::DOUBLE-50 y, l_suppkey*0.01::DOUBLE z, l_partkey % 65536 intensity, l_linenumber % 32 cls, l_partkey % 256 r FROM lineitem) q GROUP BY 1""")
+def s3b(fx):
+    """Line items as the points of LAS files (format 2), written by the tasks and parsed again."""
+    import struct
+
+    import pyarrow as pa
+
+    def build(key, rows):
+        head = bytearray(227)
+        head[:4], head[24], head[25] = b"LASF", 1, 2
+        struct.pack_into("<I", head, 96, 227)
+        struct.pack_into("<BHI", head, 104, 2, 26, rows.num_rows)
+        struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 1000.0, -50.0, 0.0)
+        points = b"".join(struct.pack("<iiiHBBBBHHHH", p, n, s, p % 65536, 0, n % 32, 0, 0, 0, p % 256, 0, 0) for p, n, s in zip(*(rows.column(c).to_pylist() for c in ("l_partkey", "l_linenumber", "l_suppkey"))))
+        return pa.table({"path": [str(key[0].as_py())], "content": pa.array([bytes(head) + points], pa.binary())})
+
+    # A file holds some thousand points: the number of files grows with the table.
+    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.greatest(F.lit(1), F.lit(fx.lineitem.count() // 100_000)))
+    rows = fx.lineitem.select((F.col("l_suppkey") % 20).alias("f"), part.alias("p"), "l_partkey", "l_linenumber", "l_suppkey")
+    files = rows.groupBy("f", "p").applyInArrow(build, "path string, content binary")
+    points = readers.parse_las(files).where("error is null")
+    out = points.groupBy(F.col("path").cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 2).alias(c) for c in "xyz"], F.sum("intensity").alias("intensity"), F.sum("cls").alias("classes"), F.sum("r").alias("r"))
+    return out
+
+
 @query("s4_list_assets")
 def s4(fx):
     return readers.list_assets(fx.spark, fx.folder).select("name", "kind", "bytes", "sha256")

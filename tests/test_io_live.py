@@ -101,3 +101,41 @@ def test_throttle_keeps_the_newest(spark):
     rows = [(1, i, datetime(2024, 1, 1) + timedelta(milliseconds=100 * i), 5, "crack", 1) for i in range(20)]
     out = live.throttle_frames(spark.createDataFrame(rows, live.FRAME_SCHEMA), 2)
     assert sorted(r["seq"] for r in out.collect()) == [4, 9, 14, 19]
+
+
+def test_las_files(spark, tmp_path):
+    import struct
+
+    def las(points, kind=3, size=34, count=None, version=2):
+        head = bytearray(227 if version < 4 else 375)
+        head[:4], head[24], head[25] = b"LASF", 1, version
+        struct.pack_into("<I", head, 96, len(head))
+        struct.pack_into("<BHI", head, 104, kind, size, (len(points) if count is None else count) if version < 4 else 0)
+        struct.pack_into("<6d", head, 131, 0.5, 0.5, 0.5, 10.0, 20.0, 30.0)
+        if version >= 4:
+            struct.pack_into("<Q", head, 247, len(points))
+        body = b""
+        for x, y, z, i, c, r in points:
+            rec = bytearray(size)
+            struct.pack_into("<iiiH", rec, 0, x, y, z, i)
+            rec[15 if kind <= 5 else 16] = c
+            at = readers.LAS_RGB_AT.get(kind)
+            if at is not None:
+                struct.pack_into("<3H", rec, at, r, 0, 1)
+            body += bytes(rec)
+        return bytes(head) + body
+
+    pts = [(2 * i, -i, 1, i % 7, 200 if i == 3 else 2, i) for i in range(10)]
+    files = {"a.las": las(pts), "b.las": las(pts, 1, 28), "c.las": las(pts, 7, 36, version=4), "short.las": b"LASF", "zip.las": las(pts, 0x83), "cut.las": las(pts)[:-40], "none.las": las([]), "other.las": b"x" * 300}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = readers.read_las(spark, str(tmp_path)).collect()
+    by = {n: sorted((r for r in rows if r["path"].endswith("/" + n) and not r["error"]), key=lambda r: r["index"]) for n in files}
+    assert [(r["x"], r["y"], r["z"]) for r in by["a.las"]] == [(x * 0.5 + 10, y * 0.5 + 20, z * 0.5 + 30) for x, y, z, *_ in pts]
+    assert [r["cls"] for r in by["a.las"]][3] == 200 & 31 and [r["r"] for r in by["a.las"]] == list(range(10))
+    assert by["b.las"][0]["r"] is None and by["b.las"][5]["intensity"] == 5
+    assert [r["cls"] for r in by["c.las"]][3] == 200 and len(by["c.las"]) == 10 and len(by["cut.las"]) == 8
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rows if r["error"]}
+    assert errors.keys() == {"short.las", "zip.las", "none.las", "other.las"} and errors["zip.las"] == "compressed points"
+    summary = {r["path"].rsplit("/", 1)[1]: r for r in readers.las_summary(readers.read_las(spark, str(tmp_path))).collect()}
+    assert summary["a.las"]["has_rgb"] and not summary["b.las"]["has_rgb"] and summary["a.las"]["classes"] == {2: 9, 8: 1}
