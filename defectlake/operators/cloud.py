@@ -351,9 +351,37 @@ def fuse_colors(samples: DataFrame) -> DataFrame:
     return out.select("point_id", *[(F.col(f"_{k}") / F.nullif("weight", F.lit(0.0))).alias(k) for k in "rgb"], "weight", "coverage")
 
 
-def fusion_summary(fused: DataFrame, total_points: int) -> DataFrame:
-    return fused.agg(F.count(F.lit(1)).alias("colored_points"), (F.count(F.lit(1)) / F.lit(float(max(1, total_points)))).alias("coverage_ratio"),
-                     F.avg("coverage").alias("mean_views"), F.avg("weight").alias("mean_weight"))
+# Dimming of points without colour, and the confidence ramp (start and span per channel).
+FALLBACK_SHARE = 0.55
+CONFIDENCE_RAMP = {"r": (0.12, 0.18, False), "g": (0.18, 0.72, False), "b": (0.30, 0.58, True)}
+
+
+def fused_points(points: DataFrame, samples: DataFrame, bounds: DataFrame) -> DataFrame:
+    """All points with their fused colour, or a dimmed elevation colour where no view sees them, and a confidence colour.
+
+    Confidence is the weight of a point against the largest one, which is the only figure gathered.
+    """
+    fused = checkpoint(fuse_colors(samples))
+    top = fused.agg(F.max("weight")).first()[0] or 0.0
+    rows = points.select("point_id", "cloud_id", "z").join(fused, "point_id", "left").join(measured(bounds.select("cloud_id", "min_z", "max_z")), "cloud_id")
+    seen, weight = F.coalesce(F.col("weight") > 0, F.lit(False)), F.coalesce("weight", F.lit(0.0))
+    share = clamp(weight / F.lit(top), 0, 1) if top > 0 else F.lit(0.0)
+    ramp = dict(zip("rgb", elevation_color(F.col("z"), F.col("min_z"), F.col("max_z"))))
+    return rows.select("point_id", "cloud_id", *[F.when(seen, F.col(k)).otherwise(ramp[k] * FALLBACK_SHARE).alias(k) for k in "rgb"],
+                       *[(F.lit(start) + F.lit(span) * (1 - share if turned else share)).alias(f"confidence_{k}") for k, (start, span, turned) in CONFIDENCE_RAMP.items()],
+                       weight.alias("weight"), F.coalesce("coverage", F.lit(0)).alias("coverage"), seen.alias("colored"))
+
+
+def fusion_views(samples: DataFrame) -> DataFrame:
+    """Points that each view colours, its weight, mean incidence weight and reference depth."""
+    return samples.groupBy("view_id").agg(F.max("view_weight").alias("weight"), F.count(F.lit(1)).alias("contributed_points"), F.avg("incidence").alias("mean_incidence_weight"), F.max("reference_depth").alias("reference_depth"))
+
+
+def fusion_summary(fused: DataFrame) -> DataFrame:
+    """Coverage of all points; views and weight are means over the coloured ones."""
+    seen = F.col("colored")
+    mean = lambda c: F.coalesce(F.avg(F.when(seen, F.col(c))), F.lit(0.0))
+    return fused.agg(F.count_if(seen).alias("colored_points"), F.count(F.lit(1)).alias("total_points"), (F.count_if(seen) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("coverage_ratio"), mean("coverage").alias("mean_views"), mean("weight").alias("mean_weight"))
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, keys: Sequence[str], radius: float, query_id: str, point_id: str) -> DataFrame:

@@ -230,6 +230,42 @@ def g20(fx):
     return ops.fuse_colors(rows).select("point_id", *[F.round(k, 8).alias(k) for k in "rgb"], F.round("weight", 8).alias("weight"), "coverage")
 
 
+FUSED = STATS + ",\n" + WEIGHT + ",\n" + COLORS + """,
+rdp AS (SELECT view_id, median(round(depth, 3)) rd FROM zb WHERE visible AND depth>0 GROUP BY 1),
+smp AS (SELECT view_id, point_id, r, g, b, vwt, rd, iw, vwt*iw*dw w FROM (SELECT *, CASE WHEN vm<=1e-9 THEN 1 ELSE pow(least(1, greatest(0.08, (abs(camz-pz)/vm-0.08)/0.92)), 1.35) END iw, CASE WHEN depth>0 AND rd>0 THEN least(1, greatest(0.2, 1/(1+0.7*(depth/rd-1)*(depth/rd-1)))) ELSE 1 END dw
+ FROM (SELECT c.point_id, c.view_id, r, g, b, c.depth, v.weight vwt, rd, p.z pz, -o.tz camz, sqrt((-o.tx-p.x)*(-o.tx-p.x)+(-o.ty-p.y)*(-o.ty-p.y)+(-o.tz-p.z)*(-o.tz-p.z)) vm FROM col c JOIN vw v USING (view_id) JOIN rdp USING (view_id) JOIN fx_points p ON p.point_id=c.point_id JOIN fx_poses o ON o.view_id=c.view_id WHERE colored) a) b),
+fp AS (SELECT p.point_id, p.cloud_id, coalesce(f.r, (0.12+0.78*t)*0.55) r, coalesce(f.g, (0.35+0.48*(1-abs(t-0.5)*2))*0.55) g, coalesce(f.b, (0.82-0.62*t)*0.55) b, coalesce(f.w, 0) weight, coalesce(n, 0) coverage, f.w IS NOT NULL colored, coalesce(f.w, 0)/max(f.w) OVER () share
+ FROM (SELECT *, least(1, greatest(0, (z-min(z) OVER (PARTITION BY cloud_id))/greatest(max(z) OVER (PARTITION BY cloud_id)-min(z) OVER (PARTITION BY cloud_id), 1e-9))) t FROM fx_points) p LEFT JOIN (SELECT point_id, sum(r*w)/sum(w) r, sum(g*w)/sum(w) g, sum(b*w)/sum(w) b, sum(w) w, count(*) n FROM smp GROUP BY 1) f USING (point_id))"""
+
+
+def samples(fx):
+    """Colours of all views with the weights of view, depth and incidence on a horizontal surface."""
+    c = F.col
+    seen = visible(fx)
+    cam = fx.poses.select("view_id", *[(-c(f"t{a}")).alias(f"cam_{a}") for a in "xyz"])
+    rows = ops.sample_colors(seen, fx.rgb, 32, 32, ops.cloud_bounds(fx.points_anon)).where("colored")
+    rows = rows.join(ops.measured(weights(fx)), "view_id").join(ops.measured(ops.reference_depth(seen)), "view_id").join(cam, "view_id").withColumnRenamed("weight", "view_weight")
+    rows = rows.withColumn("incidence", ops.incidence_weight([F.lit(0.0), F.lit(0.0), F.lit(1.0)], [c(a) for a in "xyz"], [c(f"cam_{a}") for a in "xyz"]))
+    return rows.withColumn("weight", c("view_weight") * c("incidence") * ops.depth_weight(c("depth"), c("reference_depth")))
+
+
+@query("g20_fused_points", "SELECT point_id, colored, coverage, round(weight, 8) weight, round(r, 8) r, round(g, 8) g, round(b, 8) b, round(0.12+0.18*share, 8) confidence_r, round(0.18+0.72*share, 8) confidence_g, round(0.30+0.58*(1-share), 8) confidence_b FROM fp", "fx_points fx_poses fx_rgb", FUSED)
+def g20b(fx):
+    out = ops.fused_points(fx.points, samples(fx), ops.cloud_bounds(fx.points_anon))
+    return out.select("point_id", "colored", "coverage", *[F.round(c, 8).alias(c) for c in ("weight", "r", "g", "b", "confidence_r", "confidence_g", "confidence_b")])
+
+
+@query("g20_fusion_views", "SELECT view_id, round(max(vwt), 9) weight, count(*) contributed_points, round(avg(iw), 8) mean_incidence_weight, round(max(rd), 6) reference_depth FROM smp GROUP BY 1", "fx_points fx_poses fx_rgb", FUSED)
+def g20c(fx):
+    return ops.fusion_views(samples(fx)).select("view_id", F.round("weight", 9).alias("weight"), "contributed_points", F.round("mean_incidence_weight", 8).alias("mean_incidence_weight"), F.round("reference_depth", 6).alias("reference_depth"))
+
+
+@query("g20_fusion_summary", "SELECT count(*) FILTER (colored) colored_points, count(*) total_points, round(count(*) FILTER (colored)/count(*), 9) coverage_ratio, round(coalesce(avg(coverage) FILTER (colored), 0), 8) mean_views, round(coalesce(avg(weight) FILTER (colored), 0), 8) mean_weight FROM fp", "fx_points fx_poses fx_rgb", FUSED)
+def g20d(fx):
+    out = ops.fusion_summary(ops.fused_points(fx.points, samples(fx), ops.cloud_bounds(fx.points_anon)))
+    return out.select("colored_points", "total_points", *[F.round(c, n).alias(c) for c, n in (("coverage_ratio", 9), ("mean_views", 8), ("mean_weight", 8))])
+
+
 @query("g21_nearest_point", """
 SELECT query_id, round(min(sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)+(q.z-p.z)*(q.z-p.z))), 9) distance FROM (SELECT record_id query_id, record_id % 4 cloud_id, x, y - 50*floor(y/50) y, z FROM fx_spatial_records) q JOIN (SELECT DISTINCT cloud_id, x, y, z FROM fx_points_anon) p USING (cloud_id) GROUP BY 1""", "fx_spatial_records fx_points_anon")
 def g21(fx):
