@@ -122,11 +122,22 @@ def j9(fx):
     return out.select("ann_id", "cls", "level", "shape", F.get("points", F.lit(0))["x"].alias("first_x"), "width")
 
 
-@query("j10_evaluate_against_gt")
+FOUND = BOTH + f""",
+rb AS (SELECT image_id % 50 image_id, damage_class cls, bbox_x/12.0::DOUBLE x0, (bbox_x+bbox_w)/12.0::DOUBLE x1, bbox_y/10.0::DOUBLE y0, (bbox_y+bbox_h)/10.0::DOUBLE y1 FROM fx_records WHERE time_label='t1_current'),
+rp AS (SELECT image_id, cls, y, x FROM rb JOIN (SELECT unnest(range(0,{H})) y) a ON y+0.5>=y0 AND y+0.5<y1 JOIN (SELECT unnest(range(0,{W})) x) b ON x>=ceil(x0-0.5) AND x<=floor(x1-0.5) WHERE cls<>'cracks'),
+rd AS (SELECT image_id, cls, x0+(x1-x0)*(k/n) cx, y0+(y1-y0)*(k/n) cy FROM (SELECT *, unnest(range(0, n::BIGINT+1)) k FROM (SELECT *, greatest(1, ceil(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))/0.75)) n FROM rb WHERE cls='cracks') q) z),
+rs AS (SELECT image_id, cls, y, x FROM rd JOIN (SELECT unnest(range(0,{H})) y) a ON y BETWEEN cy-3 AND cy+3 JOIN (SELECT unnest(range(0,{W})) x) b ON x BETWEEN cx-3 AND cx+3 WHERE (x+0.5-cx)*(x+0.5-cx)+(y+0.5-cy)*(y+0.5-cy)<=2.25),
+gx AS (SELECT DISTINCT image_id, cls, y, x FROM px WHERE cls NOT IN ('structure','irrelevant')),
+fx_ AS (SELECT DISTINCT f.* FROM (SELECT * FROM rp UNION ALL SELECT * FROM rs) f SEMI JOIN (SELECT DISTINCT image_id, cls FROM gx) k USING (image_id, cls)),
+tpn AS (SELECT image_id, cls, count(*) FILTER (g AND f) tp, count(*) FILTER (f AND NOT g) fp, count(*) FILTER (g AND NOT f) fn FROM (SELECT image_id, cls, y, x, bool_or(w=1) g, bool_or(w=2) f FROM (SELECT *, 1 w FROM gx UNION ALL SELECT *, 2 FROM fx_) u GROUP BY 1,2,3,4) v GROUP BY 1,2)"""
+
+
+@query("j10_evaluate_against_gt", "SELECT image_id, cls, tp, fp, fn, round(tp/nullif(tp+fp+fn,0), 9) iou, round(2*tp/nullif(2*tp+fp+fn,0), 9) dice, round(tp/nullif(tp+fp,0), 9) AS \"precision\", round(tp/nullif(tp+fn,0), 9) recall FROM tpn", "fx_annotations fx_records", FOUND)
 def j10(fx):
     keys = ["image_id", "record_id", "cls"]
     rec = record_shapes(fx).select((F.col("image_id") % 50).alias("image_id"), "record_id", F.col("damage_class").alias("cls"), F.transform("points", lambda p: F.struct((p["x"] / 12).alias("x"), (p["y"] / 10).alias("y"))).alias("points"))
-    return ops.evaluate_against_gt(pixels(fx), ops.rasterize(rec, keys, H, W, poly(), stroke()))
+    out = ops.evaluate_against_gt(pixels(fx), ops.rasterize(rec, keys, H, W, poly(), stroke()))
+    return out.select("image_id", "cls", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("iou", "dice", "precision", "recall")])
 
 
 FILES = "SELECT concat('scen', CAST(o_custkey % 3 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '/img/' ELSE '/gt/' END, 'frame_', CAST(CAST(floor(o_orderkey/2) AS BIGINT) % 4000 AS STRING), CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.JPG' END) path FROM {o}"
