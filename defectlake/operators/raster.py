@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp, half_up
+from ..session import checkpoint
 from . import components as C
+from . import skeleton
 
 # Image limits of the detectors.
 STRETCH_MAX_GAIN = 2.4
@@ -277,15 +279,27 @@ def skeleton_stats(skeleton: DataFrame, keys: Sequence[str], group: Sequence[str
                                            (F.sum(flag(on(0, 1)) + flag(on(1, 0))) + F.sum(diag) * F.sqrt(F.lit(2.0))).alias("length"))
 
 
-def crack_measures(fragments: DataFrame, skeleton: DataFrame, keys: Sequence[str], height: int, width: int, kernel: int = 15, min_area: float = 30.0, min_aspect: float = 2.0) -> DataFrame:
-    """Group fragments whose surroundings of 4 px touch and measure each group on its skeleton; the record filters are applied."""
+def crack_skeleton(fragments: DataFrame, keys: Sequence[str], height: int, width: int) -> DataFrame:
+    """Pruned skeleton of crack fragments whose gaps of up to 8 px are closed."""
+    keys = list(keys)
+    own = fragments.select(*keys, "y", "x")
+    bridged = C.closing(own, keys, height, width, CRACK_GAP_PX).select(*keys, "y", "x").union(own).distinct()
+    return skeleton.prune_spurs(skeleton.thin(bridged, keys), keys)
+
+
+def crack_measures(fragments: DataFrame, spine: DataFrame | None, keys: Sequence[str], height: int, width: int, kernel: int = 15, min_area: float = 30.0, min_aspect: float = 2.0) -> DataFrame:
+    """Group fragments whose surroundings of 4 px touch and measure each group along its centre line; the record filters are applied.
+
+    ``spine`` is the skeleton, by default that of :func:`crack_skeleton`. Groups without a line of two points have no record.
+    """
     keys = list(keys)
     pixel = [*keys, "y", "x"]
     groups = C.label_components(C.dilate(fragments, keys, height, width, CRACK_GAP_PX), keys)
     crack = fragments.select(*pixel).distinct().join(groups, pixel)
     boxes = C.component_boxes(crack, keys)
-    spine = skeleton_stats(skeleton.select(*pixel).distinct().join(groups, pixel), keys, ["label"])
-    out = boxes.join(spine, [*keys, "label"]).withColumn("length", F.greatest(F.lit(1.0), F.col("length")))
+    spine = checkpoint((crack_skeleton(fragments, keys, height, width) if spine is None else spine).select(*pixel).distinct().join(groups, pixel))
+    lines = skeleton.centre_lines(spine, [*keys, "label"]).where(F.size("points") >= 2)
+    out = boxes.join(skeleton_stats(spine, keys, ["label"]).drop("length"), [*keys, "label"]).join(lines, [*keys, "label"]).withColumn("length", F.greatest(F.lit(1.0), F.col("length")))
     out = out.withColumn("width", F.col("area") / F.col("length")).withColumn("elongation", F.col("length") * F.col("length") / F.col("area"))
     return out.where((F.col("area") >= max(1.0, min_area)) & (F.col("elongation") >= min_aspect) & (F.col("length") >= CRACK_MIN_LENGTH_FRACTION * max(height, width))
                      & (F.col("width") <= CRACK_MAX_WIDTH_K * odd(kernel)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import raster as ops
+from ..operators import skeleton
 from ..operators import temporal
 from .base import query
 
@@ -232,11 +233,17 @@ def e21(fx):
     return ops.skeleton_stats(fx.masks.where("(x + 2*y) % 5 < 3"), KEYS).withColumn("length", F.round("length", 6))
 
 
+@query("e21_thin_skeleton")
+def e21b(fx):
+    """Pruned skeletons of all masks, from their pixels."""
+    return skeleton.prune_spurs(skeleton.thin(fx.masks.select(*KEYS, "y", "x"), KEYS), KEYS)
+
+
 @query("e22_crack_measures")
 def e22(fx):
     cracks = fx.masks.where("damage_class = 'cracks'")
     frag = ops.crack_fragments(C.label_components(cracks, KEYS), KEYS, 4.0)
-    return ops.crack_measures(frag, cracks.where("(x + 2*y) % 5 < 3"), KEYS, 32, 32, min_area=4.0)
+    return ops.crack_measures(frag, None, KEYS, 32, 32, min_area=4.0)
 
 
 IST = """im AS (SELECT image_id, y, x, r, g, b, 0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b l FROM fx_rgb),
