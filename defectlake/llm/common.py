@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Words are maximal runs of bytes other than space and the control characters 9-13, which is how bytes.split() cuts.
@@ -61,5 +62,13 @@ def word_chunks(text: bytes, size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
         start = end
 
 
-def count_words(text: bytes | None) -> int:
-    return sum(map(len, word_chunks(text))) if text else 0
+def values_of(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as UTF-8, a few hundred at a time, so that a task never holds a second copy of a batch."""
+    column = column.cast(pa.binary())
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
+def lean_memory() -> None:
+    """Let Arrow return the memory of finished batches to the system, for workers that live long beside an executor."""
+    pa.set_memory_pool(pa.system_memory_pool())

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_PATTERN, staged, without
+from .common import WORD_PATTERN, lean_memory, staged, without
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 4096
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 2_000
 MAX_BLOCKS = 500_000_000  # the draws of NumPy hold below 10^9 blocks; larger corpora have larger blocks
 
 _WORD = re.compile(WORD_PATTERN)
@@ -160,6 +160,7 @@ def mix_plan(docs: DataFrame, shards: int = 24, weights: tuple[float, ...] = WEI
     known = spark.sparkContext.broadcast((plans, goal))
 
     def run(batches):
+        lean_memory()
         plans, goal = known.value
         kind = pa.struct([("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("pieces", pa.list_(pa.struct([("shard", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64())])))])
         fields = [f.name for f in PIECE.fields]

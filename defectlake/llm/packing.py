@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_memory, values_of
+
 WINDOWS = (1024, 512, 256, 128)
 STEP_TOKENS = 8192
 BUNDLE_TOKENS = 1 << 20
@@ -104,6 +106,7 @@ def pack_documents(docs: DataFrame, windows: tuple[int, ...] = WINDOWS, step_tok
     """
 
     def run(batches):
+        lean_memory()
         encode = byte_bpe(vocabulary)
         base = TaskContext.get().partitionId() << 33
         packer, texts, count, numbers = Packer(windows), {}, 0, {"sequence": base, "step": base}
@@ -129,8 +132,8 @@ def pack_documents(docs: DataFrame, windows: tuple[int, ...] = WINDOWS, step_tok
 
         gathered = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.array(END_ID, dtype="<u4"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1))):
+                ids = np.append(encode((text or b"").decode()), np.array(END_ID, dtype="<u4"))
                 texts[count] = (doc_id, ids)
                 packer.route(count, len(ids))
                 count, gathered = count + 1, gathered + len(ids)

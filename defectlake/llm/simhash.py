@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, word_chunks
+from .common import lean_memory, staged, values_of, word_chunks
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -71,9 +71,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = HASH_SEED)
     """``(doc_id, fp)`` for every row of ``docs``; null and empty texts have fingerprint zero. Texts are read whole."""
 
     def run(batches):
+        lean_memory()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, k, seed) for t in texts], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, k, seed) for t in values_of(batch.column(1))], pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
@@ -125,9 +125,10 @@ def _both_fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, wide)`` of every row."""
 
     def run(batches):
+        lean_memory()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            columns = [batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([_bits(t) for t in texts], pa.binary())]
+            marks = [(fingerprint(t), _bits(t)) for t in values_of(batch.column(1))]
+            columns = [batch.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "wide"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

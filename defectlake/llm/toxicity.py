@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, word_chunks
+from .common import lean_memory, staged, values_of, word_chunks
 
 MAX_TRAINING = 20_000
 FOLDS = 5
@@ -27,7 +28,8 @@ SCREEN_Z = 3.0
 MIN_Z = 4.0
 MIN_DOCS = 3
 SIGNIFICANT = 0.05
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+COUNTED = 100_000
 
 # A-Z become a-z; other ASCII characters than letters and digits separate words.
 _FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
@@ -139,6 +141,7 @@ def _presence(rows: DataFrame, wanted: dict | None) -> DataFrame:
     """
 
     def run(batches):
+        lean_memory()
         counts: Counter = Counter()
 
         def rows_of():
@@ -148,7 +151,7 @@ def _presence(rows: DataFrame, wanted: dict | None) -> DataFrame:
 
         known: dict[bytes, list] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in zip(values_of(batch.column(0)), batch.column(1).to_pylist()):
                 held = set()
                 for words in tokens(text):
                     held.update(words)
@@ -162,7 +165,7 @@ def _presence(rows: DataFrame, wanted: dict | None) -> DataFrame:
                     found = {key for word in held for key in known[word]}
                 counts.update((k, v, toxic) for k, v in found)
                 counts.update({(-1, b"", toxic): len(held)})
-            if len(counts) > CACHE_WORDS:
+            if len(counts) > COUNTED:
                 yield from rows_of()
         if counts:
             yield from rows_of()
@@ -250,7 +253,7 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     def best(batches):
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.segments(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = [scorer.segments(t) for t in values_of(batch.column(0))]
             chance = [max(n, 1) * math.exp(-min(model.decay * max((s for _, _, s in f), default=0.0), 700.0)) for f, n in found]
             yield pa.RecordBatch.from_arrays([pa.array(chance, pa.float64())], ["chance"])
 
@@ -261,7 +264,7 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     def points(batches):
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.evidence(t)[:2] for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = [scorer.evidence(t)[:2] for t in values_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column(1)], ["total", "best", "toxic"])
 
     table = rows.select("text", "toxic").mapInArrow(points, "total double, best double, toxic int").collect()  # the bounded sample
@@ -279,11 +282,10 @@ def scored(docs: DataFrame, model: Model, result: str = "toxicity") -> DataFrame
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
+        lean_memory()
         scorer = Scorer(known.value)
         for batch in texts:
-            yield pa.array([scorer.score(t) for t in batch.cast(pa.binary()).to_pylist()], _RESULT)
-
-    from collections.abc import Iterator
+            yield pa.array([scorer.score(t) for t in values_of(batch)], _RESULT)
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(result, F.arrow_udf(run, RESULT)(F.col("text").cast("string")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, staged
+from .common import lean_memory, scratch_path, staged, values_of
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -75,9 +75,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, gzip: bool =
     known = keyed.join(F.broadcast(groups) if small else groups, F.col("sha") == F.col("sha__"), "left")
 
     def run(batches):
+        lean_memory()
         for batch in batches:
             out = []
-            for page_id, url, payload, sha, first in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, urls, payloads, digests, firsts = batch.columns
+            for page_id, url, payload, sha, first in zip(ids.to_pylist(), urls.to_pylist(), values_of(payloads), digests.to_pylist(), firsts.to_pylist()):
                 revisit = first is not None and page_id != first
                 data = record_bytes(page_id, url, payload, first if revisit else None, revisit, base64.b32encode(bytes.fromhex(sha)).decode(), date)
                 out.append((gzip_member(data) if gzip else data)[:-1])
