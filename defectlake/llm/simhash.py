@@ -31,6 +31,7 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, SEGMENT_BITS = 16, 24
 WIDE_BITS = SEGMENTS * SEGMENT_BITS
 WIDE_DISTANCE = 76  # 15 % of the bits and 2.5 standard deviations; the shingles themselves decide
+WORD_DISTANCE = 20  # of 64 bits, of which such texts differ in 10 and others in 32
 NEAR_DISTANCE = 58  # 15 % of the bits, where texts cannot be told by their ids
 BROADCAST_IDS = 200_000
 
@@ -135,38 +136,63 @@ def _both_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long, wide binary")
 
 
-def wide_candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)``, u < v, of the 384-bit fingerprints in ``distinct(wide)`` that have a segment equal but for one bit at
-    most and differ in at most ``WIDE_DISTANCE`` bits in all. A fingerprint looks up the ball of each segment: itself and,
-    for each bit that it has set, the value without it."""
+def _segment_keys(distinct: DataFrame, ball: bool) -> DataFrame:
+    """``(key, id, word)`` of the segments of ``distinct(wide)``: the values themselves or, with ``ball``, each value without one
+    of the bits that it has set. ``id`` is a hash of the fingerprint, ``word`` 64 of its bits outside the segment."""
 
     def run(batches):
+        lean_memory()
         ones = np.uint32(1) << np.arange(SEGMENT_BITS, dtype=np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(1).to_numpy()
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(len(ids), SEGMENTS, SEGMENT_BITS // 8)
-            value = raw[:, :, 0].astype(np.uint32) | raw[:, :, 1].astype(np.uint32) << 8 | raw[:, :, 2].astype(np.uint32) << 16
-            tag = np.arange(SEGMENTS, dtype=np.int64)[None, :] << 32
-            own = (value | tag).ravel()
-            row, segment, bit = np.nonzero(value[:, :, None] & ones)
-            flipped = (value[row, segment] ^ ones[bit]).astype(np.int64) | (segment.astype(np.int64) << 32)
-            for key, who, exact in ((own, np.repeat(ids, SEGMENTS), True), (flipped, ids[row], False)):
-                for i in range(0, len(key), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(who[part]), pa.array(np.full(len(key[part]), exact))], ["key", "id", "exact"])
-
+            ends = raw.reshape(len(ids), -1)
+            words = [np.ascontiguousarray(part).view("<i8").ravel() for part in (ends[:, -8:], ends[:, :8])]
+            for k in range(SEGMENTS):
+                value = raw[:, k, 0].astype(np.uint32) | raw[:, k, 1].astype(np.uint32) << 8 | raw[:, k, 2].astype(np.uint32) << 16
+                row, bit = np.nonzero(value[:, None] & ones) if ball else (np.arange(len(ids)), None)
+                key = (value[row] ^ ones[bit] if ball else value).astype(np.int64) | (k << 32)
+                word = words[k >= SEGMENTS // 2]
+                for a in range(0, len(key), 50_000):
+                    part = slice(a, a + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[row[part]]), pa.array(word[row[part]])], ["key", "id", "word"])
+
+    return distinct.select("wide", F.xxhash64("wide").alias("id")).mapInArrow(run, "key long, id long, word long")
+
+
+def _checked(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``(u, v, distance)`` of pairs of ids that differ in at most ``WIDE_DISTANCE`` bits in all."""
     known = distinct.select("wide", F.xxhash64("wide").alias("id"))
-    keys = known.mapInArrow(run, "key long, id long, exact boolean")
-    table = keys.filter("exact").select("key", F.col("id").alias("other"))
-    pairs = keys.join(table, "key").filter("id <> other and (not exact or id < other)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    # Ids of fingerprints lead back to the fingerprints, whose complete distances count.
     one, two = known.select(F.col("wide").alias("u"), F.col("id").alias("a")), known.select(F.col("wide").alias("v"), F.col("id").alias("b"))
-    full = pairs.join(one, "a").join(two, "b").withColumn("distance", _distance("u", "v")).filter(F.col("distance") <= WIDE_DISTANCE)
+    full = pairs.distinct().join(one, "a").join(two, "b").withColumn("distance", _distance("u", "v")).filter(F.col("distance") <= WIDE_DISTANCE)
     return full.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance")
 
 
+def shared_segments(distinct: DataFrame) -> DataFrame:
+    """Pairs ``(u, v, distance)`` of fingerprints with an equal segment: each member of a bucket with its smallest and its
+    largest one, so that a bucket gives at most two pairs for each member however many it has."""
+    keys = _segment_keys(distinct, False).drop("word")
+    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    near = keys.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("other")).filter("id <> other")
+    return _checked(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), distinct)
+
+
+def wide_candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs ``(u, v, distance)`` of the fingerprints in ``distinct(wide)`` that have a segment equal but for one bit at most.
+
+    A fingerprint looks up the ball of each segment: itself and, for each bit that it has set, the value without it. Meant
+    for one fingerprint of each group that :func:`shared_segments` has found, so that buckets hold few.
+    """
+    table = _segment_keys(distinct, False)
+    probes = table.withColumn("exact", F.lit(True)).union(_segment_keys(distinct, True).withColumn("exact", F.lit(False)))
+    other = table.select("key", F.col("id").alias("other"), F.col("word").alias("other_word"))
+    likely = F.bit_count(F.col("word").bitwiseXOR(F.col("other_word"))) <= WORD_DISTANCE
+    found = probes.join(other, ["key"]).filter(F.expr("id <> other and (not exact or id < other)") & likely)
+    return _checked(found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), distinct)
+
+
 def _distance(a: str, b: str) -> Column:
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(1, WIDE_BITS // 64)), F.bit_count(word(a, 0).bitwiseXOR(word(b, 0))))
@@ -176,9 +202,9 @@ def shingle_set(text: str | None) -> set[int]:
     return {h for part in _shingle_hashes((text or "").encode(), SIMILAR_WORDS, HASH_SEED) for h in part.tolist()}
 
 
-def _similar_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs of ``classes(wide, first)`` whose texts have a Jaccard similarity of shingles of 0.8 or more."""
-    pairs = staged(wide_candidates(classes.select("wide")), "candidates")
+def _similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Those of the candidate pairs of ``classes(wide, first)`` whose texts have a Jaccard similarity of shingles of 0.8 or more."""
+    pairs = staged(candidates, "candidates")
     first = classes.select("wide", "first")
     pairs = pairs.join(first.toDF("u", "u_id"), "u").join(first.toDF("v", "v_id"), "v")
     ids = staged(pairs.select(F.explode(F.array("u_id", "v_id")).alias("id__")).filter("id__ is not null").distinct(), "ids")
@@ -229,8 +255,14 @@ def _groups(docs: DataFrame) -> DataFrame:
     lead = staged(both.groupBy("fp").agg(F.min("wide").alias("lead")), "leads")
     same = both.join(lead, "fp").select(F.col("wide").alias("u"), F.col("lead").alias("v"))
     near = fingerprint_links(lead.select("fp")).join(lead.toDF("u", "a"), "u").join(lead.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(same.union(near).union(_similar_links(docs, classes)))
+    # Groups around equal segments first; then one text of each group looks up the balls around its segments.
+    roots = connected_components(same.union(near).union(_similar_links(docs, classes, shared_segments(classes.select("wide")))))
     known = staged(classes.join(roots, classes.wide == roots.node, "left").select("wide", "first", F.coalesce("root", "wide").alias("root")), "roots")
+    heads = staged(known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "wide")).alias("h")).select(F.col("h.wide").alias("wide"), F.col("h.first").alias("first"), "root"), "heads")
+    links = _similar_links(docs, heads, wide_candidates(heads.select("wide")))
+    root = heads.select("wide", "root")
+    merged = connected_components(links.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = staged(known.join(merged, known.root == merged.node, "left").select("wide", "first", F.coalesce(merged.root, known.root).alias("root")), "roots")
     lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(known.join(lowest, "root").select("wide", "root", "component_id"), "wide")
 
