@@ -9,6 +9,7 @@ without replacement. Shards then hold disjoint ranges of each source's permuted
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,24 +160,25 @@ def mix_plan(docs: DataFrame, shards: int = 24, weights: tuple[float, ...] = WEI
         plans[s].edges = np.cumsum(quota[:, i])
     known = spark.sparkContext.broadcast((plans, goal))
 
-    def run(batches):
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         lean_memory()
         plans, goal = known.value
         kind = pa.struct([("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("pieces", pa.list_(pa.struct([("shard", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64())])))])
         fields = [f.name for f in PIECE.fields]
-        for batch in batches:
+        for columns in parts:  # texts stay outside Python
             out = []
-            for source, size, start in zip(*(batch.column(c).to_pylist() for c in ("source__", "size__", "start__"))):
+            for source, size, start in zip(*(c.to_pylist() for c in columns)):
                 plan = plans[source]
                 out.append({"size": size, "source_size": plan.size, "target": goal[source], "pieces": [dict(zip(fields, p)) for p in plan.pieces(start, size)]})
-            yield pa.RecordBatch.from_arrays([batch.column("row__"), pa.array(out, kind)], ["row__", "mix"])
+            yield pa.array(out, kind)
 
+    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     within = Window.partitionBy("chunk__", "source__").orderBy("hash__", "row__.doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before__", F.coalesce(F.sum("size__").over(within), F.lit(0)))
     placed = placed.join(starts, F.col("source__").eqNullSafe(F.col("s__")) & (F.col("chunk__") == F.col("c__")))
     placed = placed.select("row__", "source__", "size__", (F.col("base__") + F.col("before__")).alias("start__"))
     mix = T.StructType([T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("pieces", T.ArrayType(PIECE))])
-    return placed.mapInArrow(run, T.StructType([placed.schema["row__"], T.StructField("mix", mix)])).select("row__.*", "mix")
+    return placed.select("row__.*", F.arrow_udf(run, mix)("source__", "size__", "start__").alias("mix"))
 
 
 def cut_words(text: str, first: int, words: int, whole: int) -> str:
