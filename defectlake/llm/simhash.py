@@ -162,35 +162,58 @@ def _segment_keys(distinct: DataFrame, ball: bool) -> DataFrame:
     return distinct.select("wide", F.xxhash64("wide").alias("id")).mapInArrow(run, "key long, id long, word long")
 
 
-def _checked(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(u, v, distance)`` of pairs of ids that differ in at most ``WIDE_DISTANCE`` bits in all."""
-    known = distinct.select("wide", F.xxhash64("wide").alias("id"))
-    one, two = known.select(F.col("wide").alias("u"), F.col("id").alias("a")), known.select(F.col("wide").alias("v"), F.col("id").alias("b"))
-    full = pairs.distinct().join(one, "a").join(two, "b").withColumn("distance", _distance("u", "v")).filter(F.col("distance") <= WIDE_DISTANCE)
-    return full.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``(key, id)``: fingerprints with the same key have a segment that is equal but for one bit at most, or two bits set beyond the key.
+
+    Every fingerprint of ``classes(wide)`` is in the bucket of each segment and, for each bit that it has set, in that of the value without it.
+    """
+    wide = classes.select("wide")
+    return _shared(_segment_keys(wide, False).select("key", "id").union(_segment_keys(wide, True).select("key", "id")))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of the buckets ``keys(key, id)`` with two members or more, each once."""
+    keys = staged(keys.distinct(), "keys")
+    return staged(keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "buckets")
 
 
-def shared_segments(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(u, v, distance)`` of fingerprints with an equal segment: each member of a bucket with its smallest and its
-    largest one, so that a bucket gives at most two pairs for each member however many it has."""
-    keys = _segment_keys(distinct, False).drop("word")
-    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    near = keys.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("other")).filter("id <> other")
-    return _checked(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), distinct)
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(u, v, distance)`` of pairs of ids whose fingerprints differ in at most ``WIDE_DISTANCE`` bits in all."""
+    one, two = classes.select(F.col("id").alias("u"), F.col("wide").alias("a")), classes.select(F.col("id").alias("v"), F.col("wide").alias("b"))
+    full = pairs.join(one, "u").join(two, "v").withColumn("distance", _distance("a", "b"))
+    return full.filter(F.col("distance") <= WIDE_DISTANCE).select("u", "v", "distance")
 
 
-def wide_candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(u, v, distance)`` of the fingerprints in ``distinct(wide)`` that have a segment equal but for one bit at most.
+def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``(node, root)`` of ``links`` and of all similar pairs that share a bucket.
 
-    A fingerprint looks up the ball of each segment: itself and, for each bit that it has set, the value without it. Meant
-    for one fingerprint of each group that :func:`shared_segments` has found, so that buckets hold few.
+    Each round compares the members of a bucket with two of its members, picked anew by round, that are in other components.
+    Near copies thus join one component without the square of their number. Once a round adds no link, or few pairs are left, all pairs that
+    share a bucket, are in different components and were never compared are compared, so that none is left out.
     """
-    table = _segment_keys(distinct, False)
-    probes = table.withColumn("exact", F.lit(True)).union(_segment_keys(distinct, True).withColumn("exact", F.lit(False)))
-    other = table.select("key", F.col("id").alias("other"), F.col("word").alias("other_word"))
-    likely = F.bit_count(F.col("word").bitwiseXOR(F.col("other_word"))) <= WORD_DISTANCE
-    found = probes.join(other, ["key"]).filter(F.expr("id <> other and (not exact or id < other)") & likely)
-    return _checked(found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), distinct)
+    known, tested, turn, last = classes.count(), None, 0, False
+    while True:
+        roots = connected_components(links)
+        if last:
+            return roots
+        members = staged(buckets.join(roots, buckets.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
+        sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("s * s > q")
+        left = sizes.agg(F.sum(F.expr("cast(s as double) * s - q") / 2)).first()[0] or 0
+        if not left:
+            return roots
+        last = turn > 0 and (left <= known or not added)
+        if last:
+            other = members.toDF("key", "other", "other_root")
+            pairs = members.join(other, "key").filter("id < other and root <> other_root")
+        else:
+            pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "root")
+            ends = members.groupBy("key").agg(F.min(pick).alias("low"), F.max(pick).alias("high"), F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two")
+            pairs = members.join(ends, "key").select("id", "root", F.explode(F.array("low", "high")).alias("end")).filter("root <> end.root").select("id", F.col("end.id").alias("other"))
+        pairs = pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        found = staged(_similar_links(docs, classes, _likely(pairs, classes)), "similar")
+        added = found.limit(1).count() > 0
+        links, tested, turn = links.union(found), pairs if tested is None else tested.union(pairs), turn + 1
 
 
 def _distance(a: str, b: str) -> Column:
@@ -203,9 +226,9 @@ def shingle_set(text: str | None) -> set[int]:
 
 
 def _similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Those of the candidate pairs of ``classes(wide, first)`` whose texts have a Jaccard similarity of shingles of 0.8 or more."""
+    """Those of the candidate pairs of ``classes(id, first)`` whose texts have a Jaccard similarity of shingles of 0.8 or more."""
     pairs = staged(candidates, "candidates")
-    first = classes.select("wide", "first")
+    first = classes.select("id", "first")
     pairs = pairs.join(first.toDF("u", "u_id"), "u").join(first.toDF("v", "v_id"), "v")
     ids = staged(pairs.select(F.explode(F.array("u_id", "v_id")).alias("id__")).filter("id__ is not null").distinct(), "ids")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -248,23 +271,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, wide, root, component_id)`` of every row, by the links of fingerprints and of similar texts together."""
-    rows = staged(_both_fingerprints(docs), "fingerprints")
-    classes = staged(rows.groupBy("wide").agg(F.min("doc_id").alias("first")), "classes")
-    both = staged(rows.select("fp", "wide").distinct(), "both")
-    lead = staged(both.groupBy("fp").agg(F.min("wide").alias("lead")), "leads")
-    same = both.join(lead, "fp").select(F.col("wide").alias("u"), F.col("lead").alias("v"))
+    """``(doc_id, fp, id, root, component_id)`` of every row, by the links of fingerprints and of similar texts together."""
+    rows = staged(_both_fingerprints(docs).withColumn("id", F.xxhash64("wide")), "fingerprints")
+    classes = staged(rows.groupBy("id").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("first")), "classes")
+    both = staged(rows.select("fp", "id").distinct(), "both")
+    lead = staged(both.groupBy("fp").agg(F.min("id").alias("lead")), "leads")
+    same = both.join(lead, "fp").select(F.col("id").alias("u"), F.col("lead").alias("v"))
     near = fingerprint_links(lead.select("fp")).join(lead.toDF("u", "a"), "u").join(lead.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # Groups around equal segments first; then one text of each group looks up the balls around its segments.
-    roots = connected_components(same.union(near).union(_similar_links(docs, classes, shared_segments(classes.select("wide")))))
-    known = staged(classes.join(roots, classes.wide == roots.node, "left").select("wide", "first", F.coalesce("root", "wide").alias("root")), "roots")
-    heads = staged(known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "wide")).alias("h")).select(F.col("h.wide").alias("wide"), F.col("h.first").alias("first"), "root"), "heads")
-    links = _similar_links(docs, heads, wide_candidates(heads.select("wide")))
-    root = heads.select("wide", "root")
-    merged = connected_components(links.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = staged(known.join(merged, known.root == merged.node, "left").select("wide", "first", F.coalesce(merged.root, known.root).alias("root")), "roots")
+    roots = _grown(docs, classes, _buckets(classes), same.union(near))
+    known = staged(classes.join(roots, classes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root")), "roots")
     lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(known.join(lowest, "root").select("wide", "root", "component_id"), "wide")
+    return rows.select("doc_id", "fp", "id").join(known.join(lowest, "root").select("id", "root", "component_id"), "id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

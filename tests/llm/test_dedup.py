@@ -141,6 +141,22 @@ def test_recall_of_similar_texts(spark):
     assert all(2 * n in kept for n in range(60))
 
 
+def test_chains_of_edited_versions_end_in_one_group(spark):
+    """Versions far from the first one of their chain are found through those between, as often as all pairs would be."""
+    rows, groups = [], 0
+    for n in range(20):
+        rng, words = random.Random(700 + n), prose(700 + n, 300).split()
+        for k in range(20):
+            rows.append((1000 * k + n, " ".join(words), None, None, None))
+            for _ in range(2):
+                words[rng.randrange(len(words))] = f"new{n}x{k}"
+        groups += 1
+    sets = [simhash.shingle_set(r[1]) for r in rows]
+    assert len(sets[0] & sets[19]) / len(sets[0] | sets[19]) < 0.6
+    kept = simhash.drop_near_duplicates(frame(spark, rows)).count()
+    assert groups <= kept <= groups + 2
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, simhash.drop_near_duplicates, exact_dedup.exact_duplicates, exact_dedup.drop_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
