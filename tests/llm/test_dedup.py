@@ -157,6 +157,26 @@ def test_chains_of_edited_versions_end_in_one_group(spark):
     assert groups <= kept <= groups + 2
 
 
+def test_recall_close_to_the_required_similarity(spark):
+    """At least 0.9 of the pairs with a similarity between 0.80 and 0.85 go, and texts that differ in the repeats of a line."""
+    rng, rows, pairs = random.Random(15), [], []
+    for n in range(150):
+        base = prose(2500 + n, 300).split()
+        copy = list(base)
+        for i in rng.sample(range(5, 295), 6):
+            copy[i] = f"new{n}"
+        a, b = simhash.shingle_set(" ".join(base)), simhash.shingle_set(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(2 * n, " ".join(base), None, None, None), (2 * n + 1, " ".join(copy), None, None, None)]
+            pairs.append(2 * n + 1)
+    for n, (few, many) in enumerate([(1, 20), (3, 60)] * 10):
+        body, line = prose(3500 + n, 300), prose(4500 + n, 12)
+        rows += [(5000 + 2 * n + k, " ".join([body] + [line] * times), None, None, None) for k, times in enumerate((few, many))]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).select("doc_id").collect()}
+    assert len(pairs) > 50 and sum(p not in kept for p in pairs) >= 0.9 * len(pairs)
+    assert {i for i in kept if i >= 5000} == {5000 + 2 * n for n in range(20)}
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, simhash.drop_near_duplicates, exact_dedup.exact_duplicates, exact_dedup.drop_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
