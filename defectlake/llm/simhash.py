@@ -33,6 +33,8 @@ WIDE_BYTES = BANDS * BAND_BYTES
 LEAST_EQUAL = 174  # of 256 bytes, of which texts of similarity 0.8 share 205, 4.8 standard deviations more; the shingles themselves decide
 NEAR_EQUAL = 205  # where texts cannot be told by their ids
 BLOCK_SHINGLES = 2048
+# Within a group of like 64-bit fingerprints shorter bands do: one of ten is equal for 0.999 of pairs at 0.8, for 0.01 at 0.1.
+SHORT_BANDS, SHORT_BYTES = 10, 3
 BROADCAST_IDS = 200_000
 
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
@@ -135,10 +137,16 @@ def _both_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long, wide binary")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """``(key, id)``: sketches of ``classes(id, wide)`` with the same key have an equal band."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", BAND_BYTES * i + 1, BAND_BYTES)) for i in range(BANDS)])
-    return _shared(classes.select(F.explode(keys).alias("key"), "id"))
+def _buckets(classes: DataFrame, both: DataFrame) -> DataFrame:
+    """``(key, id)``: sketches of ``classes(id, wide)`` with the same key have an equal band, or a shorter one and 64-bit fingerprints of
+    ``both(fp, id)`` in the same group of :func:`near_duplicates`."""
+    cut = lambda i, width: F.substring("wide", width * i + 1, width)
+    bands = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(i), cut(i, BAND_BYTES)) for i in range(BANDS)])).alias("key"), "id")
+    roots = connected_components(fingerprint_links(both.select("fp").distinct()))
+    pools = both.join(roots, both.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("pool")).distinct()
+    pools = pools.join(pools.groupBy("pool").count().filter("count > 1").select("pool"), "pool", "left_semi").join(classes.select("id", "wide"), "id")
+    short = F.array(*[F.xxhash64(F.lit(BANDS + i), "pool", cut(i, SHORT_BYTES)) for i in range(SHORT_BANDS)])
+    return _shared(bands.union(pools.select(F.explode(short).alias("key"), "id")))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -151,22 +159,26 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(u, v, equal)`` of pairs of ids whose sketches have at least ``LEAST_EQUAL`` bytes in common."""
     one, two = classes.select(F.col("id").alias("u"), F.col("wide").alias("a")), classes.select(F.col("id").alias("v"), F.col("wide").alias("b"))
 
-    def common(a, b):
-        join = lambda x: np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, WIDE_BYTES)
-        return type(a)((join(a) == join(b)).sum(axis=1))
+    def run(batches):
+        lean_memory()
+        sketches = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, WIDE_BYTES)
+        for batch in batches:
+            equal = (sketches(batch.column(2)) == sketches(batch.column(3))).sum(axis=1)
+            kept = pa.array(equal >= LEAST_EQUAL)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int64())], ["u", "v", "equal"]).filter(kept)
 
-    full = pairs.join(one, "u").join(two, "v").withColumn("equal", F.pandas_udf(common, "long")("a", "b"))
-    return full.filter(F.col("equal") >= LEAST_EQUAL).select("u", "v", "equal")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, equal long")
 
 
-def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Components ``(node, root)`` of ``links`` and of all similar pairs that share a bucket.
+def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Components ``(node, root)`` of all similar pairs that share a bucket.
 
-    Each round compares the members of a bucket with two of its members, picked anew by round, that are in other components.
+    Each round compares the members of a bucket with one or two of its members, picked anew by round, that are in other components.
     Near copies thus join one component without the square of their number. Once a round adds no link, or few pairs are left, all pairs that
     share a bucket, are in different components and were never compared are compared, so that none is left out.
     """
     known, tested, turn, last = classes.count(), None, 0, False
+    links = buckets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
     while True:
         roots = connected_components(links)
         if last:
@@ -183,7 +195,7 @@ def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataF
         else:
             pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "root")
             ends = members.groupBy("key").agg(F.min(pick).alias("low"), F.max(pick).alias("high"), F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two")
-            pairs = members.join(ends, "key").select("id", "root", F.explode(F.array("low", "high")).alias("end")).filter("root <> end.root").select("id", F.col("end.id").alias("other"))
+            pairs = members.join(ends, "key").select("id", "root", F.explode(F.array("low", "high") if turn else F.array("low")).alias("end")).filter("root <> end.root").select("id", F.col("end.id").alias("other"))
         pairs = pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         found = staged(_similar_links(docs, classes, _likely(pairs, classes)), "similar")
@@ -191,8 +203,9 @@ def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataF
         links, tested, turn = links.union(found), pairs if tested is None else tested.union(pairs), turn + 1
 
 
-def shingle_set(text: str | None) -> set[int]:
-    return {h for part in _shingle_hashes((text or "").encode(), SIMILAR_WORDS, HASH_SEED) for h in part.tolist()}
+def shingle_set(text: str | bytes | None) -> set[int]:
+    text = text.encode() if isinstance(text, str) else text or b""
+    return {h for part in _shingle_hashes(text, SIMILAR_WORDS, HASH_SEED) for h in part.tolist()}
 
 
 def _similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -205,18 +218,21 @@ def _similar_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -
     texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").cast("long") == F.col("id__"), "left_semi").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = staged(texts, "texts")
 
-    def jaccard(a, b):
-        out, last, held = [], None, set()
-        for x, y in zip(a, b):
-            if last is None or x != last:
-                last, held = x, shingle_set(x)
-            other = shingle_set(y)
-            out.append(len(held & other) / len(held | other) if held or other else 1.0)
-        return type(a)(out)
+    def run(batches):
+        lean_memory()
+        last, held = None, set()
+        for batch in batches:
+            kept = []
+            for x, y in zip(values_of(batch.column(2)), values_of(batch.column(3))):
+                if last is None or x != last:
+                    last, held = x, shingle_set(x)
+                other = shingle_set(y)
+                kept.append(len(held & other) >= SIMILARITY * len(held | other))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     # Sorting by the first text lets its shingles be reused.
     sides = pairs.join(texts.toDF("u_id", "a"), "u_id").join(texts.toDF("v_id", "b"), "v_id").sortWithinPartitions("u_id")
-    alike = sides.filter(F.pandas_udf(jaccard, "double")("a", "b") >= SIMILARITY).select("u", "v")
+    alike = sides.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
     return alike.union(pairs.filter("(u_id is null or v_id is null)").filter(F.col("equal") >= NEAR_EQUAL).select("u", "v"))
 
 
@@ -241,36 +257,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, id, root, component_id)`` of every row, by the links of fingerprints and of similar texts together."""
+    """``(doc_id, id, root, component_id)`` of every row, by the links of similar texts; like 64-bit fingerprints only make candidates."""
     rows = staged(_both_fingerprints(docs).withColumn("id", F.xxhash64("wide")), "fingerprints")
     classes = staged(rows.groupBy("id").agg(F.min("wide").alias("wide"), F.min("doc_id").alias("first")), "classes")
-    both = staged(rows.select("fp", "id").distinct(), "both")
-    lead = staged(both.groupBy("fp").agg(F.min("id").alias("lead")), "leads")
-    same = both.join(lead, "fp").select(F.col("id").alias("u"), F.col("lead").alias("v"))
-    near = fingerprint_links(lead.select("fp")).join(lead.toDF("u", "a"), "u").join(lead.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = _grown(docs, classes, _buckets(classes), same.union(near))
+    roots = _grown(docs, classes, _buckets(classes, staged(rows.select("fp", "id").distinct(), "both")))
     known = staged(classes.join(roots, classes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root")), "roots")
     lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "fp", "id").join(known.join(lowest, "root").select("id", "root", "component_id"), "id")
+    return rows.select("doc_id", "id").join(known.join(lowest, "root").select("id", "root", "component_id"), "id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, with all its columns: that with the smallest doc_id.
 
-    Rows are linked as in :func:`near_duplicates`, and where their texts have a Jaccard similarity of five-word shingles of
-    0.8 or more and an equal band of their sketches finds them, which 0.997 of pairs at exactly 0.8 have. Where rows share the smallest doc_id of a group,
+    Rows are linked where their texts have a Jaccard similarity of five-word shingles of 0.8 or more and an equal band of their
+    sketches finds them, which 0.997 of pairs at exactly 0.8 have, or :func:`near_duplicates` groups them. Its groups alone link
+    nothing, since a line that a text repeats can set its fingerprint. Where rows share the smallest doc_id of a group,
     or the group has none, the row of it that compares largest over all columns stays, so reruns agree. Extra columns are
     kept whatever they are called.
     """
     members = staged(_groups(docs), "members")
-    stay = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__"), "fp", "root").distinct()
+    stay = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__"), "id", "root").distinct()
     again = staged(members.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("id__")), "repeated")
     plain = stay.join(again, "id__", "left_anti").filter("id__ is not null").select("id__")
     own = F.col("doc_id").cast("long")
     single = docs.join(plain, own == F.col("id__"), "left_semi")
-    # Rows with a repeated or missing doc_id are told apart by their fingerprints.
+    # Rows with a repeated or missing doc_id are told apart by their sketches.
     rest = docs.join(again, own.eqNullSafe(F.col("id__")), "left_semi").select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row__"))
-    mark = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t.encode() if t else b"")), "long")
-    rest = rest.withColumn("id__", F.col("row__.doc_id").cast("long")).withColumn("fp__", mark(F.col("row__.text").cast("string")))
-    kept = rest.join(stay.withColumnRenamed("id__", "key__"), F.col("id__").eqNullSafe(F.col("key__")) & (F.col("fp__") == F.col("fp"))).groupBy("root").agg(F.max("row__").alias("row__"))
+    mark = F.pandas_udf(lambda texts: texts.map(lambda t: _bits(t.encode() if t else b"")), "binary")
+    rest = rest.withColumn("id__", F.col("row__.doc_id").cast("long")).withColumn("mark__", F.xxhash64(mark(F.col("row__.text").cast("string"))))
+    kept = rest.join(stay.withColumnRenamed("id__", "key__"), F.col("id__").eqNullSafe(F.col("key__")) & (F.col("mark__") == F.col("id"))).groupBy("root").agg(F.max("row__").alias("row__"))
     return single.unionByName(kept.select("row__.*"))

@@ -177,6 +177,16 @@ def test_recall_close_to_the_required_similarity(spark):
     assert {i for i in kept if i >= 5000} == {5000 + 2 * n for n in range(20)}
 
 
+def test_different_texts_with_a_repeated_line_stay(spark):
+    """A line that outweighs the rest sets the 64-bit fingerprint, but does not make texts similar; rows without doc_id neither."""
+    line = prose(5500, 9)
+    rows = [(n if n < 50 else None, " ".join([prose(5600 + n, 50)] + [line] * 30), None, None, None) for n in range(60)]
+    prints = [simhash.fingerprint(r[1].encode()) & (2**64 - 1) for r in rows]
+    assert sum((prints[0] ^ p).bit_count() <= 2 for p in prints) > 50
+    kept = simhash.drop_near_duplicates(frame(spark, rows)).select("text").collect()
+    assert sorted(r["text"] for r in kept) == sorted(r[1] for r in rows)
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, simhash.drop_near_duplicates, exact_dedup.exact_duplicates, exact_dedup.drop_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
