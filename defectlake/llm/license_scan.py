@@ -6,6 +6,8 @@ text, its paragraphs and its lines) are joined to the digests of known licence t
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,78 @@ LICENSES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
-) + tuple((i, f"SPDX-License-Identifier: {i}") for i in ("MIT", "ISC", "0BSD", "Zlib", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0"))
+)
+
+# Redistribution terms of the BSD family, whose holder is named in some versions.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_ITEMS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of {owner} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {holders} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {holder} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd() -> list[tuple[str, str]]:
+    out = []
+    for items, name in ((2, "BSD-2-Clause"), (3, "BSD-3-Clause")):
+        for owner in ("the copyright holder", "the copyright holders", "the author", "the organization", "the University")[: 1 if items == 2 else None]:
+            for mark in ("{}. ", "* ", "") if items == 2 else ("{}. ", "* "):
+                for holders, holder in (("HOLDERS", "HOLDER"), ("HOLDERS", "OWNER"), ("HOLDERS", "HOLDERS")):
+                    terms = [mark.format(i + 1) + x.format(owner=owner) for i, x in enumerate(_BSD_ITEMS[:items])]
+                    body = "\n\n".join([_BSD_HEAD, *terms, _BSD_WARRANTY.format(holders=holders, holder=holder)])
+                    out += [(name, start + body) for start in ("", "All rights reserved.\n\n", f"BSD {items}-Clause License\n\n", f"BSD {items}-Clause License\n\nAll rights reserved.\n\n")]
+    return out
+
+
+# Whole texts beside this module, by SPDX identifier; each also without its appendix on how to apply it.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _files() -> list[tuple[str, str]]:
+    out = []
+    for file, name in _FILES.items():
+        text = (Path(__file__).parent / "licenses" / f"{file}.txt").read_text()
+        out.append((name, text))
+        if _END in text:
+            terms = text[: text.index(_END)]
+            out += [(name, terms), (name, terms + _END)]
+    return out
+
+
+def _names() -> list[tuple[str, str]]:
+    """How notices call the licences, by family and version."""
+    out = [(i, n) for i, names in (("MIT", ("the MIT License", "MIT", "MIT License", "the MIT")), ("ISC", ("the ISC License", "ISC")), ("0BSD", ("the Zero-Clause BSD License", "0BSD")), ("Zlib", ("the zlib License", "zlib"))) for n in names]
+    families = (
+        ("Apache", ("Apache License", "Apache"), {"2.0": "Apache-2.0"}), ("MPL", ("Mozilla Public License", "MPL"), {"1.1": "MPL-1.1", "2.0": "MPL-2.0"}),
+        ("GPL", ("GNU General Public License", "GNU GPL", "GPL"), {"1": "GPL-1.0-only", "2": "GPL-2.0-only", "3": "GPL-3.0-only"}),
+        ("LGPL", ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), {"2.1": "LGPL-2.1-only", "3": "LGPL-3.0-only"}),
+        ("AGPL", ("GNU Affero General Public License", "GNU AGPL", "AGPL"), {"3": "AGPL-3.0-only"}), ("GFDL", ("GNU Free Documentation License", "GFDL"), {"1.2": "GFDL-1.2-only", "1.3": "GFDL-1.3-only"}),
+    )
+    for _, names, versions in families:
+        for number, name in versions.items():
+            for full in {number, number if "." in number else number + ".0"}:
+                out += [(name, f"{the}{n}{by}{full}") for n in names for by in (", version ", " version ", " v", ", v", " ") for the in ("the ", "")]
+                out += [(name, f"the {n} {full} License") for n in names if not n.endswith("License")]
+    for items in ("2", "3"):
+        out += [(f"BSD-{items}-Clause", n) for n in (f"the BSD {items}-Clause License", f"the {items}-Clause BSD License", f"BSD {items}-Clause")]
+    words = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        long = "-".join(words[w] for w in kind.split("-"))
+        for number, more in (("3.0", "Unported"), ("4.0", "International")):
+            base = (f"CC {kind} {number}", f"Creative Commons {long} {number}", f"Creative Commons {long} {number} {more}")
+            out += [(f"CC-{kind}-{number}", n) for b in base for n in (b, f"the {b} License", f"a {b} License")]
+    return out + [("CC0-1.0", n) for n in ("CC0 1.0", "CC0 1.0 Universal", "CC0", "Creative Commons Zero 1.0")] + [("Unlicense", "the Unlicense")]
+
+
+_PHRASES = tuple(f"{start}{verb} under " for start in ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ", "This code is ") for verb in ("licensed", "released", "distributed"))
+LICENSES += tuple(_bsd() + _files() + [(i, f"{phrase}{name}.") for i, name in _names() for phrase in _PHRASES])
+_TAGS = sorted({i for i, _ in LICENSES} | {f"{f}-{v}-or-later" for f, vs in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",))) for v in vs})
+LICENSES += tuple((i, f"SPDX-License-Identifier: {i}") for i in _TAGS)
 
 _COPYRIGHT = "(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©)( .*)?$"
 _PUNCTUATION = "[!-/:-@\\[-`{-~]+"  # of ASCII

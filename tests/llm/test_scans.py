@@ -121,6 +121,18 @@ def test_licenses_equal_sql(spark):
     assert got == want
 
 
+def test_whole_texts_and_notices_of_common_licenses(spark):
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {name: "Copyright (c) 2021 A. Author\n\n" + (folder / f"{file}.txt").read_text() for file, name in license_scan._FILES.items()}
+    texts |= {"AGPL-3.0-only": "x\nThis program is licensed under the GNU Affero General Public License v3.0\ny", "CC-BY-SA-3.0": "Released under CC BY-SA 3.0", "LGPL-2.1-or-later": "SPDX-License-Identifier: LGPL-2.1-or-later"}
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts.values())]
+    got = {(r["doc_id"], r["license_id"], r["unit"]) for r in license_scan.scan(frame(spark, rows)).collect()}
+    for i, name in enumerate(texts):
+        assert (i, name, "text" if name in license_scan._FILES.values() else "line") in got, name
+
+
 def test_own_license_table(spark):
     known = spark.createDataFrame([("X", "My own terms."), ("Y", "my OWN terms")], "license_id string, text string")
     got = license_scan.scan(frame(spark, [(1, "x\nMy own terms", None, None, None)]), known).collect()
