@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions and Spark's own forest.
 
-Candidates are long runs of key characters with a digit. Their features are the length, changes between kinds of
+Candidates are long runs of key characters with a digit, and values of any length and signs that are assigned to the name of a secret or follow it. Their features are the length, changes between kinds of
 characters, the share of letters in words of the corpus, the path, and words before and after. The forest is fitted to
 labelled findings and gives every candidate the probability that it is a secret.
 """
@@ -32,17 +32,26 @@ FEATURES = ("length", "letter_digit", "case_changes", "digit_share", "upper_shar
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, word_no, part_no, value, word, before, before2, after, path)`` of all candidates in whole texts.
 
-    ``word_no`` counts the words of the text from 0, ``part_no`` the candidates of a word. ``path`` names a column, if any.
+    ``word_no`` counts the words of the text from 0, ``part_no`` the runs of a word and then its values that are no run. ``path`` names a column, if any.
     """
     place = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.filter(F.col("text").cast("string").rlike(RUN)).select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("path"), F.split(text, r"[\x20\x09-\x0D]+", -1).alias("words"))
+    rows = docs.filter(F.col("text").cast("string").rlike(f"{RUN}|(?i:{SECRET_WORDS})")).select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("path"), F.split(text, r"[\x20\x09-\x0D]+", -1).alias("words"))
     # Not only keys: what fits is told from the words around it, so these are gathered before words are told apart.
     near = lambda i, by: F.coalesce(F.get("words", i + by), F.lit(""))
-    each = F.transform("words", lambda w, i: F.when(w.rlike(RUN) & w.rlike("[0-9]"), F.struct(i.alias("word_no"), w.alias("word"), near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after"))))
+    each = F.transform("words", lambda w, i: F.when((w.rlike(RUN) & w.rlike("[0-9]")) | F.concat_ws(" ", near(i, -2), near(i, -1), w).rlike(f"(?i){SECRET_WORDS}"), F.struct(i.alias("word_no"), w.alias("word"), near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after"))))
     found = rows.select("doc_id", "path", F.inline(F.filter(each, lambda s: s.isNotNull())))
-    found = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("part_no", "value"))
-    return found.filter(F.col("value").rlike("[0-9]"))
+    # Values in the word of the name itself, or in the word after the name, with a sign of assignment between or none.
+    inside = F.regexp_extract_all("word", F.lit(f"(?i)(?:{SECRET_WORDS})[\\w.\\-]*[\"'\\])]*(?:[:=]+>?)[\"']*([^\"']+)"), F.lit(1))
+    named = f"(?i)(?:{SECRET_WORDS})[\\w.\\-]*[\"'\\])]*"
+    follows = (F.col("before").rlike(f"{named}(?:[:=]+>?)?$") | (F.col("before").rlike("^[:=]+>?$") & F.col("before2").rlike(f"{named}$"))) & ~F.col("word").rlike("^[:=]+>?$")
+    own = F.regexp_replace("word", "^[\"'(\\[{<]+", "")
+    own = F.when(F.size(inside) == 0, F.when(follows, F.array(F.regexp_extract(own, "^[^\"']*", 0))))
+    trimmed = F.transform(F.concat(inside, F.coalesce(own, F.array().cast("array<string>"))), lambda v: F.regexp_replace(v, "[,;.)\\]}>]+$", ""))
+    found = found.withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).withColumn("named", F.array_distinct(F.filter(trimmed, lambda v: v != "")))
+    parts = F.transform("runs", lambda v, i: F.struct(i.alias("part_no"), v.alias("value"), (v.rlike("[0-9]") | F.array_contains("named", v)).alias("kept")))
+    more = F.transform(F.array_except("named", "runs"), lambda v, i: F.struct((F.size("runs") + i).alias("part_no"), v.alias("value"), F.lit(True).alias("kept")))
+    return found.select("doc_id", "word_no", "word", "before", "before2", "after", "path", F.inline(F.concat(parts, more))).filter("kept").drop("kept")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -68,8 +77,8 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda x: F.char_length(x)))
     rows = found.select("*",
         F.char_length(value).cast("double").alias("length"),
-        (F.regexp_count(value, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / (F.char_length(value) - 1)).alias("letter_digit"),
-        (F.regexp_count(value, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) / (F.char_length(value) - 1)).alias("case_changes"),
+        (F.regexp_count(value, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / F.greatest(F.char_length(value) - 1, F.lit(1))).alias("letter_digit"),
+        (F.regexp_count(value, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) / F.greatest(F.char_length(value) - 1, F.lit(1))).alias("case_changes"),
         _share(value, "0-9").alias("digit_share"), _share(value, "A-Z").alias("upper_share"), _share(value, "0-9a-fA-F").alias("hex_share"),
         (F.size(F.array_distinct(F.split(value, ""))) / F.char_length(value)).alias("distinct_share"), longest.cast("double").alias("longest_letters"), _share(value, "+/_\\-").alias("separators"),
         F.contains(word, F.lit("://")).cast("double").alias("in_url"), F.regexp_count("path", F.lit("/")).cast("double").alias("path_depth"), F.lower("path").rlike(TEST_PATHS).cast("double").alias("path_test"),

@@ -172,6 +172,13 @@ def test_every_candidate_is_found(spark):
     assert got == want and want
 
 
+def test_short_and_odd_values_beside_names_are_candidates(spark):
+    texts = {"login password=hunter2 now": "hunter2", "pwd: Tr0ub4dor&3, ok": "Tr0ub4dor&3", "x secret=CorrectHorseBatteryStaple": "CorrectHorseBatteryStaple", 'the passwd = "a!b"': "a!b", "password swordfish": "swordfish", "api_key:x": "x"}
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {(r["doc_id"], r["value"]) for r in secret_scan.scan(frame(spark, rows + [(99, "plain words only", None, None, None)])).collect()}
+    assert got >= set(enumerate(texts.values())) and not any(i == 99 for i, _ in got)
+
+
 @pytest.mark.parametrize("operator", [imatch.fingerprints, imatch.edited_fingerprints, license_scan.scan, secret_scan.scan])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
