@@ -66,9 +66,9 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM h""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages written as WARC records and read back; records as :func:`warc.read_archives` defines them."""
+    """All pages written as WARC records and read back; records as :func:`warc.read_archives` defines them. A gap is an error."""
     records = warc.archive_round_trip(_table(spark, folder, "pages"))
-    return records.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.intact(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op6_toxicity")

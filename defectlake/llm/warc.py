@@ -8,6 +8,7 @@ left to the writer, and a longer one is followed by an empty member, which does.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import zlib
@@ -30,6 +31,7 @@ DATE = "1970-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2000
 GZIP_LEVEL = 4
 BROADCAST_GROUPS = 100_000
+PIECE_BYTES = 64
 
 RECORDS = "file string, at long, size long, record_type string, page_id long, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary, gap string"
 
@@ -134,16 +136,61 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), used - len(unpack.unused_data)) if unpack.eof else None
 
 
+def _pieces(data: memoryview, at: int) -> tuple[bytes, list[tuple[int, int]], bool]:
+    """What the gzip member at ``at`` gives up to its end or first damage, (length of content, place in the file) as it grows, and whether it ended."""
+    unpack, out, marks, size, used = zlib.decompressobj(31), [], [(0, at)], 0, at
+    step = PIECE_BYTES
+    while used < len(data) and not unpack.eof:
+        before = unpack.copy() if step > 1 else None
+        try:
+            part = unpack.decompress(data[used : used + step])
+        except zlib.error:
+            if before is None:
+                break
+            unpack, step = before, 1  # what the damaged piece gives before its damage
+            continue
+        used = min(used + step, len(data)) - len(unpack.unused_data)
+        out.append(part)
+        size += len(part)
+        marks.append((size, used))
+    return b"".join(out), marks, unpack.eof
+
+
+def _inside(data: memoryview, at: int) -> tuple[list, int, bool]:
+    """Records and gaps inside the member at ``at``, as :func:`salvage` gives them, how far they reach, and whether the member ended there.
+
+    Places in the file are those of the compressed bytes that had to be read for the record.
+    """
+    content, marks, ended = _pieces(data, at)
+    sizes = [m[0] for m in marks]
+    place = lambda n: marks[min(bisect.bisect_left(sizes, n), len(marks) - 1)][1]
+    found, done, start = [], 0, content.find(b"WARC/1.")
+    while start >= 0:
+        parsed = parse_record(content, start)
+        if isinstance(parsed, str):
+            start = content.find(b"WARC/1.", start + 1)
+            continue
+        if content[done:start].strip(b"\r\n"):
+            found.append((place(done), place(start), None, "no record in a part of a member"))
+        found.append((place(start) if done < start else place(done), place(parsed[1]), parsed[0], None))
+        done = parsed[1]
+        start = content.find(b"WARC/1.", done)
+    end = marks[-1][1] if ended else place(done)
+    if ended and found and content[done:].strip(b"\r\n"):
+        found.append((place(done), end, None, "no record in a part of a member"))
+    return found, end, ended
+
+
 def salvage(data: bytes):
     """Records and gaps of an archive in order, as (start, end, record or None, reason of the gap or None).
 
     Where a member or record fails its checks, the search goes on for the next valid member or version line; the bytes
-    up to there are one gap. Padding (zero bytes between members, empty members, line ends between records) is no gap.
+    up to there are one gap. A member that holds several records, or is damaged, is searched for records like a plain archive. Padding (zero bytes between members, empty members, line ends between records) is no gap.
     """
     view, at, bad, why = memoryview(data), 0, None, ""
     starts = re.compile(re.escape(GZIP_MAGIC) + rb"|WARC/1\.")
     while at < len(data):
-        found = None
+        found, inside = None, None
         if data.startswith(GZIP_MAGIC, at):
             member = _member(view, at)
             if member is None:
@@ -153,6 +200,8 @@ def salvage(data: bytes):
             else:
                 parsed = parse_record(member[0], 0, True)
                 found, reason = ((parsed[0], member[1]), "") if not isinstance(parsed, str) else (None, parsed)
+            if found is None:
+                inside = _inside(view, at)
         elif data.startswith(b"WARC/1.", at):
             parsed = parse_record(data, at)
             found, reason = (parsed, "") if not isinstance(parsed, str) else (None, parsed)
@@ -169,6 +218,14 @@ def salvage(data: bytes):
                 yield at, found[1], found[0], None
             at = found[1]
             continue
+        if inside and inside[0]:
+            if bad is not None:
+                yield bad, at, None, why
+                bad = None
+            yield from inside[0]
+            at = inside[1]
+            if inside[2] or at >= len(data):
+                continue
         if bad is None:
             bad, why = at, reason
         match = starts.search(data, at + 1)
@@ -208,3 +265,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
     path = path or scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_bytes, gzip)
     return read_archives(pages.sparkSession, path, payloads=False)
+
+
+def intact(records: DataFrame) -> DataFrame:
+    """``records`` of :func:`read_archives`, which fails where they hold a gap."""
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in archive"), "file", F.lit("at"), "at", F.lit(":"), "gap")).cast("boolean")
+    return records.filter(F.when(F.col("gap").isNull(), F.lit(True)).otherwise(lost))

@@ -128,6 +128,26 @@ def test_random_damage_never_crashes_and_gaps_are_exact():
                 end = b
 
 
+def test_members_of_several_records():
+    _, data = archive(False)
+    assert split(gzip.compress(data)) == (list(range(6)), [])
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=3000)) for _ in range(6)]
+    packed = gzip.compress(b"".join(warc.record_bytes(i, None, t, None, False, warc.base32_sha1(t)) for i, t in enumerate(texts)))
+    cut = len(packed) * 2 // 3
+    ids, gaps = split(packed[:cut])
+    assert ids == [0, 1, 2] and len(gaps) == 1 and gaps[0][1] == cut
+    ids, gaps = split(packed[:-8] + bytes(8) + gzip.compress(data))  # checks of the member fail
+    assert ids == [*range(6), *range(6)] and len(gaps) == 1 and len(packed) - 12 <= gaps[0][0] <= len(packed) - 8 and gaps[0][1] == len(packed)
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, tmp_path):
+    parts, _ = archive(True)
+    (tmp_path / "x.warc.gz").write_bytes(parts[0] + parts[1][:30] + parts[2])
+    with pytest.raises(Exception, match="gap in archive"):
+        warc.intact(warc.read_archives(spark, str(tmp_path))).collect()
+
+
 def test_gaps_reach_the_log(spark, tmp_path):
     parts, data = archive(True)
     (tmp_path / "x.warc.gz").write_bytes(parts[0] + parts[1][:30] + parts[2])
