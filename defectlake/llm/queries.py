@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, license_scan, mixing, packing, secret_scan, sharding, simhash, toxicity, warc
+from . import bestfit, conversations, exact_dedup, imatch, license_scan, mixing, packing, periodic, secret_scan, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.shuffled_shards(_table(spark, folder, "documents"))
     crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     return rows.select("doc_id", sharding.row_bytes().alias("size"), crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Repairs of all conversations after planted damage; rows as :func:`conversations.repair_conversations` defines them."""
+    return conversations.repair_conversations(conversations.damaged(_table(spark, folder, "conversations")))
+
+
+@query("op12_best_fit")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 ids; rows as :func:`bestfit.pack_best_fit` defines them."""
+    return bestfit.pack_best_fit(_table(spark, folder, "documents")).drop("ids")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of all documents, one of ten of them looped, with digests of the runs and of the collapsed text."""
+    rows = periodic.collapse_runs(periodic.with_loops(_table(spark, folder, "documents").select("doc_id", "text")))
+    best = periodic.strongest(F.col("periodic.runs"))
+    lines = F.transform("periodic.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""))
+    rows = rows.select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), F.col("periodic.text").alias("left"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("left").cast("binary"), 256).alias("collapsed_sha256"))

@@ -79,5 +79,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert {"op2_exact_dedup", "op5_warc", "op9_license_scan"} <= set(__spark_entry__.oracle_sql())
