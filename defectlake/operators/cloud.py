@@ -6,14 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import clamp, half_up, record_contains
 from ..functions.taxonomy import literal_map
 from ..session import checkpoint, measured
-from .spatial import cell_range, near_pairs, nearest_within, ordered_fold
+from .selection import select_pairs
+from .spatial import cell_range, near_pairs, nearest_within
 
 # ASPRS class names and environment limits.
 ASPRS = {0: "created_never_classified", 1: "unclassified", 2: "ground", 3: "low_vegetation", 4: "medium_vegetation", 5: "high_vegetation",
@@ -499,7 +500,7 @@ def associate_matches(matches: DataFrame, projected: DataFrame, radius: float =
     """Give image matches (``view_id, match_id, au, av, tu, tv, distance``) the world point projected nearest to them.
 
     Acceptance is greedy by score and unique per world point and per 12-pixel target cell, up to ``cap`` per view (the
-    operator's own limit), so the fold state stays small.
+    operator's own limit); see :mod:`.selection`.
     """
     seen = projected.where(F.col("in_frame")).groupBy("view_id", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.min(F.struct("depth", "point_id")).alias("p"))
     left = matches.select("view_id", "match_id", F.col("au").alias("x"), F.col("av").alias("y"), "tu", "tv", F.col("distance").alias("d"))
@@ -510,20 +511,12 @@ def associate_matches(matches: DataFrame, projected: DataFrame, radius: float =
     rows = best.select("view_id", "match_id", F.col("b.point_id").alias("point_id"), F.col("b.distance").alias("association_px"), "tu", "tv",
                        (F.col("d") + F.col("b.distance") * 4.0).alias("score"), F.floor(F.col("tu") / 12).cast("long").alias("cell_u"), F.floor(F.col("tv") / 12).cast("long").alias("cell_v"))
 
-    def step(state: tuple, arrays: list) -> list:
-        world, cells = state
-        out = []
-        for point, cu, cv in zip(*arrays):
-            ok = len(world) < max(6, cap) and point not in world and (cu, cv) not in cells
-            if ok:
-                world.add(point)
-                cells.add((cu, cv))
-            out.append(ok)
-        return out
-
-    folded = ordered_fold(rows, ["view_id"], [F.col("score").asc(), F.col("match_id").asc()], lambda: (set(), set()), step,
-                          ["point_id", "cell_u", "cell_v"], "accepted", T.BooleanType())
-    return folded.where("accepted").drop("accepted", "cell_u", "cell_v")
+    rows = rows.withColumn("_cell", F.struct("cell_u", "cell_v").cast("string"))
+    kept = select_pairs(rows, ["view_id"], "point_id", "_cell", [F.col("score"), F.col("match_id")], F.struct(F.floor(F.col("cell_u") / 64).alias("u"), F.floor(F.col("cell_v") / 64).alias("v")).cast("string"))
+    # The first kept matches are those that a run which stops at the cap would keep.
+    place = Window.partitionBy("view_id").orderBy("score", "match_id")
+    kept = kept.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= max(6, cap))
+    return kept.drop("_place", "_cell", "cell_u", "cell_v")
 
 
 def propagation_gate(views: DataFrame, reprojection_px: float = 5.0) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import clamp
 from ..functions.taxonomy import literal_map
-from .spatial import BOX, box_islands, ordered_fold
+from .selection import TILE, select_boxes
+from .spatial import BOX
 
 IGNORE_INDEX = 255
 # Threshold grid of the sweep, gates, tolerances and label vocabularies.
@@ -71,34 +72,20 @@ def decode_boxes(candidates: DataFrame, threshold: float = 0.25) -> DataFrame:
                        (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"))
 
 
-def nms(boxes: DataFrame, iou: float = 0.45, cap: int | None = 30, cell: float = 64.0) -> DataFrame:
+def nms(boxes: DataFrame, iou: float = 0.45, cap: int | None = 30, tile: float = TILE) -> DataFrame:
     """Class-agnostic greedy suppression per image, best score first, up to ``cap`` kept boxes (the operator's limit).
 
-    Equal boxes are reduced to their best score first: a copy is suppressed by whatever decides the original. Without a
-    cap every island of overlapping boxes is an independent task.
+    Equal boxes are reduced to their best score first: a copy is suppressed by whatever decides the original. Tiles of an
+    image are settled side by side, see :mod:`.selection`.
     """
     rows = boxes.groupBy("image_id", *BOX).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("cand_id").alias("cand_id"))).alias("b"))
     rows = rows.select("image_id", *BOX, (-F.col("b.s")).alias("score"), F.col("b.cand_id").alias("cand_id"))
-    keys = ["image_id"]
+    kept = select_boxes(rows, ["image_id"], [-F.col("score"), F.col("cand_id")], iou, tile).select("image_id", "cand_id", "score", *BOX)
     if cap is None:
-        rows, keys = box_islands(rows, ["image_id"], cell), ["image_id", "island_x", "island_y"]
-
-    def step(kept: list, arrays: list) -> list:
-        out = []
-        for box in np.column_stack(arrays):
-            ok = cap is None or len(kept) < cap
-            if ok and kept:
-                k = np.array(kept)
-                inter = np.maximum(0, np.minimum(k[:, 2], box[2]) - np.maximum(k[:, 0], box[0])) * np.maximum(0, np.minimum(k[:, 3], box[3]) - np.maximum(k[:, 1], box[1]))
-                area = np.maximum(0, k[:, 2] - k[:, 0]) * np.maximum(0, k[:, 3] - k[:, 1]) + max(0, box[2] - box[0]) * max(0, box[3] - box[1])
-                ok = not bool((inter / np.maximum(area - inter, 1e-9) > iou).any())
-            if ok:
-                kept.append(box)
-            out.append(ok)
-        return out
-
-    out = ordered_fold(rows, keys, [F.col("score").desc(), F.col("cand_id").asc()], list, step, BOX, "kept", T.BooleanType())
-    return out.where("kept").select("image_id", "cand_id", "score", *BOX)
+        return kept
+    # The first kept boxes are those that a run which stops at the cap would keep.
+    place = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "cand_id")
+    return kept.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= cap).drop("_place")
 
 
 def unletterbox(boxes: DataFrame, ratio: Column, pad_x: Column, pad_y: Column, width: Column, height: Column) -> DataFrame:

@@ -6,17 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.geometry import clamp
 from ..session import checkpoint
-from .spatial import axis_islands, cell_range, near_pairs, nearest_within, ordered_fold
+from .selection import select_pairs
+from .spatial import cell_range, near_pairs, nearest_within
 
 # Lifting and matching limits.
 MAX_VERTEX_PX, CLOSED_VERTICES, OPEN_VERTICES = 36.0, 64, 32
 MAX_CENTROID_DISTANCE, STABLE_TOLERANCE = 0.5, 0.05
 RAY_VERTICES = 16
 
+BLOCK_REACHES = 64  # side of the blocks that are matched side by side, in reaches
+
 
 def sampled_vertices(records: DataFrame) -> DataFrame:
     """At most 64 (closed) or 32 (open) evenly spaced vertices per record, with their order."""
@@ -254,32 +256,18 @@ def _metric(side: str, rows: DataFrame) -> Column:
 def match_campaigns(previous: DataFrame, current: DataFrame, keys: Sequence[str], max_distance: float = MAX_CENTROID_DISTANCE, tolerance: float = STABLE_TOLERANCE) -> DataFrame:
     """Greedy one-to-one match of current records to the nearest unused previous record and the change of their metric.
 
-    Candidate pairs that do not overlap along an axis cannot share a record, so class and key are split into islands; a
-    task only keeps the used previous records of its island.
+    Records of a class and key are dealt to blocks by their place, which are settled side by side, see :mod:`.selection`.
     """
     keys = list(keys)
     pairs = candidate_pairs(previous, current, keys, max_distance).select(
         *[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_damage_class").alias("damage_class"), F.col("l_record_id").alias("record_id"), F.col("r_record_id").alias("previous_id"),
         _metric("l_", current).alias("metric"), _metric("r_", previous).alias("previous_metric"), "distance",
-        *[F.least(f"l_{a}", f"r_{a}").alias(f"_lo{a}") for a in "xy"], *[F.greatest(f"l_{a}", f"r_{a}").alias(f"_hi{a}") for a in "xy"])
+        F.col("l_x").alias("_x"), F.col("l_y").alias("_y"))
     group = [*keys, "damage_class"]
-    pairs = axis_islands(pairs, group, F.col("_lox"), F.col("_hix"), max_distance, "island_x")
-    pairs = axis_islands(pairs, [*group, "island_x"], F.col("_loy"), F.col("_hiy"), max_distance, "island_y")
-
-    def step(state: tuple, arrays: list) -> list:
-        used, done = state
-        out = []
-        for record, prev in zip(*arrays):
-            ok = record not in done and prev not in used
-            if ok:
-                done.add(record)
-                used.add(prev)
-            out.append(ok)
-        return out
-
-    folded = ordered_fold(pairs, [*group, "island_x", "island_y"], [F.col("record_id").asc(), F.col("distance").asc(), F.col("previous_id").asc()],
-                          lambda: (set(), set()), step, ["record_id", "previous_id"], "matched", T.BooleanType())
-    best = folded.where("matched").select(*keys, "record_id", "previous_id", "metric", "previous_metric", "distance")
+    tile = BLOCK_REACHES * max_distance
+    block = F.struct(F.floor(F.col("_x") / tile).alias("x"), F.floor(F.col("_y") / tile).alias("y")).cast("string")
+    chosen = select_pairs(pairs, group, "record_id", "previous_id", [F.col("record_id"), F.col("distance"), F.col("previous_id")], block)
+    best = chosen.select(*keys, "record_id", "previous_id", "metric", "previous_metric", "distance")
     out = current.select(*keys, "record_id", "damage_class", "x").join(best, [*keys, "record_id"], "left")
     ratio = (F.col("metric.value") - F.col("previous_metric.value")) / F.nullif(F.col("previous_metric.value"), F.lit(0.0))
     comparable = F.col("metric.kind") == F.col("previous_metric.kind")

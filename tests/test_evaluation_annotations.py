@@ -18,7 +18,7 @@ def test_nms_equals_sequential(spark):
         for r in sorted(rows, key=lambda r: (-r[2], r[1])):
             if (cap is None or len(kept) < cap) and all(iou(r[3:], k[3:]) <= 0.45 for k in kept):
                 kept.append(r)
-        assert sorted(r["cand_id"] for r in I.nms(df.repartition(3), 0.45, cap, cell=32.0).collect()) == sorted(k[1] for k in kept)
+        assert sorted(r["cand_id"] for r in I.nms(df.repartition(3), 0.45, cap, tile=48.0).collect()) == sorted(k[1] for k in kept)
 
 
 def test_bucketed_median(spark):
