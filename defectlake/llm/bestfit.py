@@ -9,9 +9,9 @@ their length, and their number says which sequence they belong to, so that no pi
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,6 @@ GROUP_BYTES = 1 << 20  # of texts that are encoded together
 BATCH_IDS = 1 << 20
 BROADCAST_ROWS = 200_000
 
-_STOP = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|$)")
-
 PIECES = "doc_id long, piece int, start long, length long, doc_tokens long, ids binary, ids_crc32 long, task int, no long"
 PLACE = "struct<sequence_id: long, offset: long>"
 
@@ -38,8 +36,9 @@ def word_bpe(vocabulary: str | None = None):
     """Encoder of the 49k word-end BPE vocabulary: lists of UTF-8 texts to ids as little-endian 32-bit numbers.
 
     The vocabulary folds case and drops white space before it looks at words, so that folded words are encoded once and
-    remembered; a stop or comma after a letter or digit is a word of its own to it. New words are encoded together, between
-    separators that none of them holds. Texts that may hold the names of special tokens are encoded as they are. ``vocabulary`` is the tokenizer file, the public one by default.
+    remembered. New words are encoded together, told apart by ids that end a word or by separators that none of them holds.
+    Texts that may hold the names of special tokens are encoded as they are. ``vocabulary`` is the tokenizer file, the
+    public one by default.
     """
     import os
 
@@ -49,36 +48,46 @@ def word_bpe(vocabulary: str | None = None):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
-    ids_of = lambda text: coder.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    ids_of = lambda text: np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
     mark = ids_of("|")
+    ends_word = np.zeros(coder.get_vocab_size(), dtype=bool)
+    ends_word[[i for token, i in coder.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[bytes, bytes] = {}
 
+    def cut(words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            known[word], start = raw[start:end], end + gap
+
     def learn(new: list[bytes]) -> None:
-        plain = [w for w in new if b"|" not in w] if len(mark) == 1 else []
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(ids_of(b" | ".join(part).decode()), dtype="<u4")
-            ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
-            start = 0
-            for word, end in zip(part, ends, strict=True):
-                known[word], start = ids[start:end].tobytes(), end + 1
-        for word in new if not plain else [w for w in new if b"|" in w]:
-            known[word] = np.array(ids_of(word.decode()), dtype="<u4").tobytes()
+        letters, stopped, mixed, odd = [], [], [], []
+        for word in new:
+            # Letters are one word to the vocabulary and a stop after them another; the ids that end words tell them apart.
+            text = word.decode()
+            core = text[:-1] if text[-1] in ".,;:!?" else text
+            plain = core.isalpha() and (core.isascii() or max(core) < "\u0500" and core.lower().isalpha())
+            (letters if plain and core is text else stopped if plain else odd if "|" in text else mixed).append(word)
+        for kind, each in ((letters, 1), (stopped, 2)):
+            for i in range(0, len(kind), 1000):
+                part = kind[i : i + 1000]
+                ids = ids_of(b" ".join(part).decode())
+                cut(part, ids, np.flatnonzero(ends_word[ids])[each - 1 :: each] + 1, 0)
+        for i in range(0, len(mixed), 1000):
+            part = mixed[i : i + 1000]
+            ids = ids_of(b" | ".join(part).decode())
+            cut(part, ids, np.append(np.flatnonzero(ids == mark[0]), len(ids)), 4)
+        for word in odd:
+            known[word] = ids_of(word.decode()).tobytes()
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         plain = [b"<|" not in text for text in texts]
-        words = [_STOP.sub(rb"\1 \2", text.lower()).split() if p else [] for p, text in zip(plain, texts)]
-        parts = [list(map(known.get, w)) for w in words]
-        new = {w for ws, ps in zip(words, parts) if None in ps for w, p in zip(ws, ps) if p is None}
-        if len(known) + len(new) > MEMO_WORDS:
+        words = [text.lower().split() if p else [] for p, text in zip(plain, texts)]
+        held = set(chain.from_iterable(words))
+        if len(known) + len(held) > MEMO_WORDS:
             known.clear()
-            parts, new = [[None] * len(w) for w in words], {w for ws in words for w in ws}
-        learn(list(new))
-        for text, folded, ws, ps in zip(texts, plain, words, parts):
-            if not folded:
-                yield np.array(ids_of(text.decode()), dtype="<u4").tobytes()
-            else:
-                yield b"".join([known[w] if p is None else p for w, p in zip(ws, ps)] if None in ps else ps)
+        learn(list(held.difference(known)))
+        for text, p, own in zip(texts, plain, words):
+            yield b"".join(map(known.__getitem__, own)) if p else ids_of(text.decode()).tobytes()
 
     return encode
 
