@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 CHUNK_BYTES = 1 << 20
+ROW_GROUP_BYTES = 16 << 20  # of staged tables; a task holds one while it writes and one while it reads
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +40,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, on storage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean_memory, staged, values_of, word_chunks
@@ -36,6 +36,7 @@ BLOCK_SHINGLES = 2048
 # Within a group of like 64-bit fingerprints shorter bands do: one of ten is equal for 0.999 of pairs at 0.8, for 0.01 at 0.1.
 SHORT_BANDS, SHORT_BYTES = 10, 3
 BROADCAST_IDS = 200_000
+LARGE_BUCKET = 64
 
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
 _FACTORS = np.random.default_rng(HASH_SEED).integers(1 << 31, size=WIDE_BYTES, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -175,7 +176,8 @@ def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame
 
     Each round compares the members of a bucket with one or two of its members, picked anew by round, that are in other components.
     Near copies thus join one component without the square of their number. Once a round adds no link, or few pairs are left, all pairs that
-    share a bucket, are in different components and were never compared are compared, so that none is left out.
+    share a bucket, are in different components and were never compared are compared, so that none is left out; large buckets give
+    the pairs that :func:`_prefix_pairs` leaves, which holds all similar ones.
     """
     known, tested, turn, last = classes.count(), None, 0, False
     links = buckets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
@@ -190,8 +192,7 @@ def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame
             return roots
         last = turn > 0 and (left <= known or not added)
         if last:
-            other = members.toDF("key", "other", "other_root")
-            pairs = members.join(other, "key").filter("id < other and root <> other_root")
+            pairs = _last_pairs(docs, classes, members)
         else:
             pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "root")
             ends = members.groupBy("key").agg(F.min(pick).alias("low"), F.max(pick).alias("high"), F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two")
@@ -203,6 +204,52 @@ def _grown(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame
         links, tested, turn = links.union(found), pairs if tested is None else tested.union(pairs), turn + 1
 
 
+def _last_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, other)`` of ``members(key, id, root)`` that share a bucket and are in different groups, without those that cannot be similar."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.countDistinct("root").alias("roots")).filter("roots > 1")
+    rows = staged(members.join(sizes, "key").drop("roots"), "last")
+    small, large = rows.filter(F.col("size") <= LARGE_BUCKET).drop("size"), rows.filter(F.col("size") > LARGE_BUCKET).drop("size")
+    other = small.toDF("key", "other", "other_root")
+    pairs = small.join(other, "key").filter("id < other and root <> other_root").select("id", "other")
+    # Texts without an id cannot be read again, so that their buckets give all their pairs.
+    lost = large.join(classes.filter("first is null").select("id"), "id", "left_semi")
+    again = large.toDF("key", "other", "other_root")
+    pairs = pairs.union(lost.join(again, "key").filter("id <> other and root <> other_root").select("id", "other"))
+    return pairs.union(_prefix_pairs(docs, classes, staged(large.select("id", "root").distinct(), "large")))
+
+
+def _prefix_pairs(docs: DataFrame, classes: DataFrame, large: DataFrame) -> DataFrame:
+    """``(id, other)`` of ``large(id, root)`` in different groups that may be similar.
+
+    Two sets of which 0.8 is common share one of the rarest ``floor(0.2 n) + 1`` shingles of each, in one order of all shingles. Rare
+    shingles come first, so that a template that many texts share makes no pairs. Of rows with one doc_id each text counts.
+    """
+    wanted = large.join(classes.select("id", F.col("first").alias("first__")), "id").filter("first__ is not null").select("first__", "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first__"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted, "first__").select("id", "text")
+
+    def run(batches):
+        lean_memory()
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1))):
+                own = xxhash.xxh64_intdigest(text or b"") >> 1
+                held = np.array(sorted(shingle_set(text)), dtype=np.uint64).astype(np.int64)
+                for i in range(0, len(held), 10_000):
+                    part = held[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.full(len(part), own)), pa.array(part), pa.array(np.full(len(part), len(held)))], ["id", "own", "shingle", "n"])
+
+    shingles = staged(texts.mapInArrow(run, "id long, own long, shingle long, n long").distinct(), "shingles")
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    # A shingle of one text alone joins nothing: only how many of them come before the others counts.
+    shared = shingles.join(often, "shingle")
+    alone = shared.groupBy("id", "own").agg((F.max("n") - F.count("*")).alias("alone"))
+    place = F.row_number().over(Window.partitionBy("id", "own").orderBy("often", "shingle"))
+    prefix = shared.join(alone, ["id", "own"]).withColumn("place", F.col("alone") + place).filter(F.col("place") <= F.floor(F.col("n") * F.lit(1 - SIMILARITY + 1e-9)) + 1)
+    rows = staged(prefix.select("id", "shingle").distinct().join(large, "id"), "prefixes")
+    other = rows.toDF("other", "shingle", "other_root")
+    return rows.join(other, "shingle").filter("id < other and root <> other_root").select("id", "other").distinct()
+
+
 def shingle_set(text: str | bytes | None) -> set[int]:
     text = text.encode() if isinstance(text, str) else text or b""
     return {h for part in _shingle_hashes(text, SIMILAR_WORDS, HASH_SEED) for h in part.tolist()}

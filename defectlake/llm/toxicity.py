@@ -134,14 +134,16 @@ class Scorer:
         return {"score": value, "predicted": int(value >= 0.5), "passages": passages}
 
 
-def _presence(rows: DataFrame, wanted: dict | None) -> DataFrame:
+def _presence(rows: DataFrame, features_: set | None) -> DataFrame:
     """``(kind, value, toxic, docs)``: documents of ``rows(text, toxic)`` that hold each feature; kind -1 - k sums those of kind k.
 
-    With ``wanted``, only its features are told apart.
+    With ``features_``, only those are told apart.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(features_)
 
     def run(batches):
         lean_memory()
+        wanted = shared.value
         counts: Counter = Counter()
 
         def rows_of():
@@ -165,8 +167,8 @@ def _presence(rows: DataFrame, wanted: dict | None) -> DataFrame:
                     found = {key for word in held for key in known[word]}
                 counts.update((k, v, toxic) for k, v in found)
                 counts.update({(-1, b"", toxic): len(held)})
-            if len(counts) > COUNTED:
-                yield from rows_of()
+                if len(counts) > COUNTED:
+                    yield from rows_of()
         if counts:
             yield from rows_of()
 
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
     if not found:
         return model
     keys = [(r["kind"], bytes(r["value"])) for r in found]
-    corpus = {(r["kind"], bytes(r["value"])): r["docs"] for r in _presence(docs.select("text", F.lit(0).alias("toxic")), dict.fromkeys(keys)).collect()}
+    corpus = {(r["kind"], bytes(r["value"])): r["docs"] for r in _presence(docs.select("text", F.lit(0).alias("toxic")), set(keys)).collect()}
     everything = float(max(corpus.get((-1, b""), 1), 1))
     y1, y0 = np.array([r["y1"] for r in found], dtype=float), np.array([r["y0"] for r in found], dtype=float)
     shares = np.array([corpus.get(k, 0) for k in keys]) / everything

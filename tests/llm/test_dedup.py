@@ -230,3 +230,24 @@ def test_drop_duplicates_keeps_one_of_each_text(spark, max_bytes):
         groups[_fold(r[1])].append(r[0])
     want = sorted((t, max((i for i in ids if i is not None), default=-1)) for t, ids in groups.items())
     assert sorted((_fold(r["text"]), -1 if r["doc_id"] is None else r["doc_id"]) for r in kept.collect()) == want
+
+
+def test_texts_of_one_template_are_not_compared_pairwise(spark, monkeypatch):
+    """Texts that share half their shingles meet in many buckets; a few similar ones among them must still be found."""
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", 8)
+    frame_, rows, same = prose(9000, 200), [], 0
+    for i in range(600):
+        own = prose(9100 + i, 90).split()
+        rows.append((i, " ".join([frame_, *own]), None, None, None))
+        if i % 60 == 0:
+            own[40] = "changed"
+            rows.append((10_000 + i, " ".join([frame_, *own]), None, None, None))
+            same += 1
+    a, b = simhash.shingle_set(rows[0][1]), simhash.shingle_set(rows[2][1])
+    assert 0.4 < len(a & b) / len(a | b) < 0.6
+    compared = []
+    likely = simhash._likely
+    monkeypatch.setattr(simhash, "_likely", lambda pairs, classes: compared.append(pairs.count()) or likely(pairs, classes))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).select("doc_id").collect()}
+    assert kept == set(range(600)) and same == 10
+    assert sum(compared) < 30 * len(rows)
