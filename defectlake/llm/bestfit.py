@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean_memory, staged, values_of
+from .common import lean_memory, of_worker, staged, values_of
 
 WINDOW = 2048
 END_ID = 0
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000  # about 200 bytes each
 GROUP_BYTES = 1 << 20  # of texts that are encoded together
 BATCH_IDS = 1 << 20
 BROADCAST_ROWS = 200_000
@@ -237,7 +237,7 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = N
         import zlib
 
         lean_memory()
-        encode = word_bpe(vocabulary)
+        encode = of_worker(f"word_bpe {vocabulary}", lambda: word_bpe(vocabulary))
         task, seen = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         names = [f.split()[0] for f in PIECES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,17 @@ def values_of(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
         yield from column.slice(i, step).to_pylist()
 
 
+def of_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once for each Python worker and kept between its tasks.
+
+    Functions of this package travel by value, so that what their modules hold ends with the task.
+    """
+    holder = sys.modules.setdefault("defectlake_worker_state", types.ModuleType("defectlake_worker_state"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def lean_memory() -> None:
     """Let Arrow return the memory of finished batches to the system, for workers that live long beside an executor."""
     pa.set_memory_pool(pa.system_memory_pool())
