@@ -37,6 +37,24 @@ def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                          (offsets["_offset"] + numbered["_rn"]).cast("long").alias(position))
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: Mapping[str, Column]) -> DataFrame:
+    """Add for each name of ``values`` the sum of its column over the rows of the key up to this one, in ``order``.
+
+    ``chunk`` is as in :func:`ordered_positions`: one row of sums per (key, chunk) is all that a window over a key reads.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in values.items()])
+    offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_at"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    parts = rows.select("*", *[F.sum(c).over(inside).alias(f"_p_{n}") for n, c in values.items()])
+    same = F.col("_chunk").eqNullSafe(F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return parts.join(offsets, same).select(*df.columns, *[(F.col(f"_p_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
+
+
 def shifted(df: DataFrame, source: DataFrame, keys: Sequence[str], step: int, columns: Mapping[str, str],
             position: str = "pos") -> DataFrame:
     """Bring ``columns`` (source name → new name) from the row ``step`` positions away (negative = earlier)."""

@@ -138,8 +138,8 @@ def g12(fx):
 
 
 def shapes(fx):
-    """Current records as shapes: the box ring for regions, its diagonal for cracks."""
-    r = fx.records_anon.where("time_label = 't1_current'")
+    """Records as shapes: the box ring for regions, its diagonal for cracks."""
+    r = fx.records_anon
     x, y, w, h = (F.col(f"bbox_{k}").cast("double") for k in "xywh")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     closed = F.col("damage_class") != "cracks"
@@ -148,7 +148,7 @@ def shapes(fx):
 
 
 LABELS = PROJ + """,
-rec AS (SELECT DISTINCT image_id % 4 view_id, damage_class, width_px, bbox_x::DOUBLE x, bbox_y::DOUBLE y, bbox_w::DOUBLE w, bbox_h::DOUBLE h, CASE damage_class WHEN 'exposed_rebar' THEN 0 WHEN 'corrosion_rust' THEN 1 WHEN 'cracks' THEN 2 WHEN 'spalling_dark' THEN 3 ELSE 4 END pr FROM fx_records_anon WHERE time_label='t1_current'),
+rec AS (SELECT DISTINCT image_id % 4 view_id, damage_class, width_px, bbox_x::DOUBLE x, bbox_y::DOUBLE y, bbox_w::DOUBLE w, bbox_h::DOUBLE h, CASE damage_class WHEN 'exposed_rebar' THEN 0 WHEN 'corrosion_rust' THEN 1 WHEN 'cracks' THEN 2 WHEN 'spalling_dark' THEN 3 ELSE 4 END pr FROM fx_records_anon),
 rt AS (SELECT *, unnest(range(CAST(floor((x-7)/64) AS BIGINT), CAST(floor((x+w+7)/64) AS BIGINT)+1)) tx FROM rec),
 pt AS (SELECT point_id, view_id, u*2 a, v*2 b, CAST(floor(u*2/64) AS BIGINT) tx FROM zb WHERE visible),
 lab AS (SELECT p.view_id, p.point_id, min(pr)::BIGINT class_id FROM pt p JOIN rt r ON r.view_id=p.view_id AND r.tx=p.tx AND b BETWEEN y-7 AND y+h+7
@@ -293,7 +293,7 @@ def g23(fx):
 
 @query("g24_icp")
 def g24(fx):
-    cloud = fx.points_anon.where("cls = 17").groupBy("x", "y", "z").agg(F.min("code").cast("string").alias("point_id"))
+    cloud = fx.points_anon.groupBy("x", "y", "z").agg(F.min("code").cast("string").alias("point_id"))
     cloud = cloud.withColumn("point_id", F.concat_ws("/", "x", "y", "z"))
     moved = ops.rigid_transform(cloud, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [0.01, -0.015, 0.02])
     rotation, shift, history = ops.icp(moved, cloud, radius=0.25, max_iterations=10)

@@ -9,7 +9,7 @@ from .base import query
 from .g_cloud import PROJ, visible
 
 # Regions as box rings, cracks as their diagonal; view = image modulo 4.
-VERTS = """rv AS (SELECT image_id % 4 view_id, record_id, damage_class, damage_class<>'cracks' closed, bbox_x::DOUBLE x, bbox_y::DOUBLE y, bbox_w::DOUBLE w, bbox_h::DOUBLE h FROM fx_records WHERE time_label='t1_current'),
+VERTS = """rv AS (SELECT image_id % 4 view_id, record_id, damage_class, damage_class<>'cracks' closed, bbox_x::DOUBLE x, bbox_y::DOUBLE y, bbox_w::DOUBLE w, bbox_h::DOUBLE h FROM fx_records),
 vt AS (SELECT view_id, record_id, damage_class, closed, 0 seq, x, y FROM rv UNION ALL SELECT view_id, record_id, damage_class, closed, 1, x+w, CASE WHEN closed THEN y ELSE y+h END FROM rv
  UNION ALL SELECT view_id, record_id, damage_class, closed, 2, x+w, y+h FROM rv WHERE closed UNION ALL SELECT view_id, record_id, damage_class, closed, 3, x, y+h FROM rv WHERE closed)"""
 LIFT = PROJ + ",\n" + VERTS + """,
@@ -21,7 +21,7 @@ mt AS (SELECT t.view_id, t.record_id, t.damage_class, t.closed, n.point_id, arg_
 
 
 def outlines(fx):
-    r = fx.records.where("time_label = 't1_current'")
+    r = fx.records
     x, y, w, h = (F.col(f"bbox_{k}").cast("double") for k in "xywh")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     closed = F.col("damage_class") != "cracks"

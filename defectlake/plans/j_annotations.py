@@ -107,7 +107,7 @@ def j8b(fx):
 
 
 def record_shapes(fx):
-    r = fx.records.where("time_label = 't1_current'")
+    r = fx.records
     x, y, w, h = (F.col(f"bbox_{k}").cast("double") for k in "xywh")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     closed = F.col("damage_class") != "cracks"
@@ -116,14 +116,14 @@ def record_shapes(fx):
 
 @query("j9_suggestions", """
 SELECT concat('cdm-', record_id) ann_id, damage_class cls, CASE WHEN damage_class='cracks' THEN 'detalhe' ELSE 'regiao' END AS "level", CASE WHEN damage_class='cracks' THEN 'crack' ELSE 'polygon' END shape, round(bbox_x*0.25::DOUBLE, 2) first_x,
- CASE WHEN damage_class='cracks' THEN greatest(1, round(coalesce(nullif(width_px,0), 2)*0.25 + 1e-9, 2)) END width FROM fx_records WHERE time_label='t1_current'""", "fx_records")
+ CASE WHEN damage_class='cracks' THEN greatest(1, round(coalesce(nullif(width_px,0), 2)*0.25 + 1e-9, 2)) END width FROM fx_records""", "fx_records")
 def j9(fx):
     out = ops.suggestions(record_shapes(fx), 0.25)
     return out.select("ann_id", "cls", "level", "shape", F.get("points", F.lit(0))["x"].alias("first_x"), "width")
 
 
 FOUND = BOTH + f""",
-rb AS (SELECT image_id % 50 image_id, damage_class cls, bbox_x/12.0::DOUBLE x0, (bbox_x+bbox_w)/12.0::DOUBLE x1, bbox_y/10.0::DOUBLE y0, (bbox_y+bbox_h)/10.0::DOUBLE y1 FROM fx_records WHERE time_label='t1_current'),
+rb AS (SELECT image_id % 50 image_id, damage_class cls, bbox_x/12.0::DOUBLE x0, (bbox_x+bbox_w)/12.0::DOUBLE x1, bbox_y/10.0::DOUBLE y0, (bbox_y+bbox_h)/10.0::DOUBLE y1 FROM fx_records),
 rp AS (SELECT image_id, cls, y, x FROM rb JOIN (SELECT unnest(range(0,{H})) y) a ON y+0.5>=y0 AND y+0.5<y1 JOIN (SELECT unnest(range(0,{W})) x) b ON x>=ceil(x0-0.5) AND x<=floor(x1-0.5) WHERE cls<>'cracks'),
 rd AS (SELECT image_id, cls, x0+(x1-x0)*(k/n) cx, y0+(y1-y0)*(k/n) cy FROM (SELECT *, unnest(range(0, n::BIGINT+1)) k FROM (SELECT *, greatest(1, ceil(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))/0.75)) n FROM rb WHERE cls='cracks') q) z),
 rs AS (SELECT image_id, cls, y, x FROM rd JOIN (SELECT unnest(range(0,{H})) y) a ON y BETWEEN cy-3 AND cy+3 JOIN (SELECT unnest(range(0,{W})) x) b ON x BETWEEN cx-3 AND cx+3 WHERE (x+0.5-cx)*(x+0.5-cx)+(y+0.5-cy)*(y+0.5-cy)<=2.25),

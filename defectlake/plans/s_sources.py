@@ -120,14 +120,14 @@ def closed_records(fx):
 
 
 @query("s10_coco_annotations", """
-SELECT row_number() OVER (PARTITION BY image_id ORDER BY time_label, damage_class, record_id) id, record_id, round(greatest(bbox_w, bbox_h)/greatest(1, least(bbox_w, bbox_h)), 9) aspect_ratio, image_id, CASE damage_class WHEN 'cracks' THEN 1 WHEN 'spalling_dark' THEN 2 WHEN 'exposed_rebar' THEN 3 WHEN 'corrosion_rust' THEN 4 ELSE 5 END::BIGINT category_id, 8::BIGINT coordinates, round(CASE WHEN damage_class<>'cracks' THEN bbox_x ELSE bbox_x-bbox_h/sqrt((bbox_w*bbox_w+bbox_h*bbox_h)::DOUBLE)*greatest(1, greatest(width_px, 2)/2) END, 6) first_x, area_px2 area FROM fx_records WHERE time_label='t1_current'""", "fx_records")
+SELECT row_number() OVER (PARTITION BY image_id ORDER BY time_label, damage_class, record_id) id, record_id, round(greatest(bbox_w, bbox_h)/greatest(1, least(bbox_w, bbox_h)), 9) aspect_ratio, image_id, CASE damage_class WHEN 'cracks' THEN 1 WHEN 'spalling_dark' THEN 2 WHEN 'exposed_rebar' THEN 3 WHEN 'corrosion_rust' THEN 4 ELSE 5 END::BIGINT category_id, 8::BIGINT coordinates, round(CASE WHEN damage_class<>'cracks' THEN bbox_x ELSE bbox_x-bbox_h/sqrt((bbox_w*bbox_w+bbox_h*bbox_h)::DOUBLE)*greatest(1, greatest(width_px, 2)/2) END, 6) first_x, area_px2 area FROM fx_records""", "fx_records")
 def s10(fx):
     out = writers.coco_annotations(closed_records(fx))
     return out.select("id", "attributes.record_id", F.round("attributes.aspect_ratio", 9).alias("aspect_ratio"), "image_id", "category_id", F.size(F.col("segmentation")[0]).cast("long").alias("coordinates"), F.round(F.col("segmentation")[0][0], 6).alias("first_x"), "area")
 
 
 @query("s11_bim_features", """
-SELECT record_id id, CASE WHEN damage_class='cracks' THEN 'polyline' ELSE 'polygon' END geometry_type, CASE WHEN mm_per_px IS NULL THEN 'px' ELSE 'mm' END units, bbox_x*coalesce(mm_per_px, 1) first_x, -bbox_y*coalesce(mm_per_px, 1) first_y, round(area_px2*mm_per_px*mm_per_px/100, 8) area_cm2 FROM fx_records WHERE time_label='t1_current'""", "fx_records")
+SELECT record_id id, CASE WHEN damage_class='cracks' THEN 'polyline' ELSE 'polygon' END geometry_type, CASE WHEN mm_per_px IS NULL THEN 'px' ELSE 'mm' END units, bbox_x*coalesce(mm_per_px, 1) first_x, -bbox_y*coalesce(mm_per_px, 1) first_y, round(area_px2*mm_per_px*mm_per_px/100, 8) area_cm2 FROM fx_records""", "fx_records")
 def s11(fx):
     out = writers.bim_features(closed_records(fx))
     return out.select("id", "geometry_type", "units", F.col("coordinates")[0][0].alias("first_x"), F.col("coordinates")[0][1].alias("first_y"), F.round("metrics.area_cm2", 8).alias("area_cm2"))

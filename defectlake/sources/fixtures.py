@@ -114,7 +114,7 @@ SELECT s_suppkey element_id, concat('elem_', CAST(s_suppkey AS STRING)) global_i
 SQL["fx_annotations"] = """
 SELECT p_partkey ann_id, p_partkey % 50 image_id, CASE p_partkey % 7 WHEN 0 THEN 'structure' WHEN 1 THEN 'irrelevant' WHEN 2 THEN 'spalling_dark' WHEN 3 THEN 'exposed_rebar' WHEN 4 THEN 'corrosion_rust' WHEN 5 THEN 'efflorescence_white' ELSE 'cracks' END cls, CASE p_size % 4 WHEN 0 THEN 'suggested' WHEN 1 THEN 'manual' WHEN 2 THEN 'accepted' ELSE 'rejected' END status, CAST(seq AS BIGINT) seq, CAST(p_partkey % 80 + CASE seq WHEN 1 THEN p_size WHEN 2 THEN p_size + 6 WHEN 3 THEN 4 ELSE 0 END AS DOUBLE) px, CAST(p_partkey % 60 + CASE seq WHEN 2 THEN p_size WHEN 3 THEN p_size + 5 ELSE 0 END AS DOUBLE) py FROM {part} p [[seq 0 3]]"""
 SQL["fx_measures"] = """
-SELECT record_id case_id, damage_class, 'area_px2' metric, area_px2 a, area_px2 + CAST(CAST(length_px AS BIGINT) % 5 AS DOUBLE) - 2 b FROM {fx_records} WHERE time_label='t1_current'"""
+SELECT record_id case_id, damage_class, 'area_px2' metric, area_px2 a, area_px2 + CAST(CAST(length_px AS BIGINT) % 5 AS DOUBLE) - 2 b FROM {fx_records}"""
 SQL["fx_measures_anon"] = SQL["fx_measures"].replace("record_id case_id, ", "").replace("{fx_records}", "{fx_records_anon}")
 SQL["fx_snapshots"] = """
 SELECT inspection_id, asset_id, element_id, created_at, CASE k WHEN 0 THEN 'cracks' WHEN 1 THEN 'spalling_dark' ELSE 'corrosion_rust' END damage_class, CAST(100 + (inspection_id*13 + k*71) % 900 AS DOUBLE) area_px2, CASE WHEN inspection_id % 3 = 0 THEN NULL ELSE CAST(0.25 AS DOUBLE) END mm_per_px, CASE WHEN (inspection_id + k) % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(90 + (inspection_id*17 + k*31) % 900 AS DOUBLE) END previous_area_px2 FROM {fx_inspections} i [[k 0 2]]"""

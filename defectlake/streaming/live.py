@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.geometry import half_up
 from ..operators import components as C
-from ..operators.ordered import ordered_positions, shifted
+from ..operators.ordered import ordered_positions, running_sum, shifted
 from ..operators.spatial import ordered_fold
 from ..session import checkpoint
 
@@ -61,16 +62,22 @@ def windowed_counts(frames: DataFrame, length: str) -> DataFrame:
 SEQ_CHUNK = 10_000
 
 
-def context_refresh(frames: DataFrame, scenes: DataFrame, every: int) -> DataFrame:
-    """Attach the scene computed at the last refresh by position among the frames that arrived; no state is needed.
+def context_refresh(frames: DataFrame, scenes: DataFrame, every: int, mode: str | None = None) -> DataFrame:
+    """Attach the scene computed at the last refresh among the frames that arrived; no state is needed.
 
-    The first frame computes a scene without being counted, so scenes are computed at frames 1, 2, 2 + every, and so on.
-    Frames that throttling dropped count for nothing. A change of mode is the start of another session.
+    The first frame and every change of ``mode`` compute a scene and are not counted; of the other frames the first and then
+    each ``every``-th do. Frames that throttling dropped count for nothing.
     """
-    placed = checkpoint(ordered_positions(frames, ["session_id"], ["seq"], F.floor(F.col("seq") / SEQ_CHUNK)))
-    at = F.when(F.col("pos") == 1, F.lit(1)).otherwise(F.col("pos") - (F.col("pos") - 2) % every)
-    held = placed.select("session_id", F.col("pos").alias("_at"), F.col("seq").alias("context_seq"))
-    rows = placed.withColumn("_at", at.cast("long")).join(held, ["session_id", "_at"]).drop("_at", "pos")
+    chunk = F.floor(F.col("seq") / SEQ_CHUNK)
+    placed = checkpoint(ordered_positions(frames, ["session_id"], ["seq"], chunk))
+    value = F.lit(0) if mode is None else F.col(mode)
+    marked = shifted(placed.withColumn("_mode", value), placed.withColumn("_mode", value), ["session_id"], -1, {"_mode": "_before"})
+    changed = (F.col("pos") == 1) | ~F.col("_mode").eqNullSafe(F.col("_before"))
+    counted = running_sum(marked.withColumn("_changed", changed), ["session_id"], ["seq"], chunk, {"_count": F.when(changed, 0).otherwise(1)})
+    refresh = F.col("_changed") | ((F.col("_count") - 1) % every == 0)
+    held = checkpoint(running_sum(counted.withColumn("_refresh", refresh), ["session_id"], ["seq"], chunk, {"_held": F.when(refresh, 1).otherwise(0)}))
+    at = held.where("_refresh").select("session_id", "_held", F.col("seq").alias("context_seq"))
+    rows = held.select(*frames.columns, "_held").join(at, ["session_id", "_held"]).drop("_held")
     return rows.join(scenes.select("session_id", F.col("seq").alias("context_seq"), F.col("scene").alias("context")), ["session_id", "context_seq"], "left")
 
 
@@ -81,8 +88,8 @@ def scale_live_params(kernel: Column, min_area: Column, width: Column, height: C
     return k, F.greatest(F.lit(4), half_up(min_area * scale * scale)).cast("long")
 
 
-def ema(rows: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, chunk: Column, name: str = "ema") -> DataFrame:
-    """Exponential average in order, seeded by the first value of each key.
+def ema(rows: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, chunk: Column, name: str = "ema", restart: Column | None = None) -> DataFrame:
+    """Exponential average in order, seeded by the first value of each key and by each value where ``restart`` holds.
 
     One step is ``acc → (1−α)·acc + α·v``, and the steps of a chunk compose to ``acc → a·acc + b``. ``b`` is a weighted sum
     over the chunk, so starting values follow from one row for each chunk; then chunks are folded independently, in sorted
@@ -91,36 +98,46 @@ def ema(rows: DataFrame, keys: Sequence[str], order: str, value: str, alpha: flo
     keys, decay = list(keys), 1.0 - alpha
     v = F.col(value).cast("double")
     inside = Window.partitionBy(*keys, "_c").orderBy(order)
-    seen = rows.select(*keys, order, v.alias("_v"), chunk.alias("_c")).withColumn("_i", F.row_number().over(inside))
-    sizes = seen.groupBy(*keys, "_c").agg(F.max("_i").alias("n"))
-    # The first value of a key counts in full.
-    first = seen.join(sizes, [*keys, "_c"]).withColumn("_w", F.pow(F.lit(decay), F.col("n") - F.col("_i")))
-    parts = first.groupBy(*keys, "_c").agg(F.sum(F.col("_v") * F.col("_w")).alias("s"), F.max(F.when(F.col("_i") == 1, F.col("_v") * F.col("_w"))).alias("f"), F.max("n").alias("n"))
+    again = F.lit(False) if restart is None else F.coalesce(restart, F.lit(False))
+    seen = rows.select(*keys, order, v.alias("_v"), chunk.alias("_c"), again.alias("_again")).withColumn("_i", F.row_number().over(inside))
+    sizes = seen.groupBy(*keys, "_c").agg(F.max("_i").alias("n"), F.coalesce(F.max(F.when(F.col("_again"), F.col("_i"))), F.lit(0)).alias("_r"))
+    # The first value of a key counts in full, and so does the last restart of a chunk, before which nothing counts.
+    first = seen.join(sizes, [*keys, "_c"]).withColumn("_w", F.when(F.col("_i") >= F.col("_r"), F.pow(F.lit(decay), F.col("n") - F.col("_i"))).otherwise(0.0))
+    parts = first.groupBy(*keys, "_c").agg(F.sum(F.col("_v") * F.col("_w")).alias("s"), F.max(F.when(F.col("_i") == F.greatest("_r", F.lit(1)), F.col("_v") * F.col("_w"))).alias("f"), F.max("n").alias("n"), F.max("_r").alias("r"))
 
     def chain(state: list, arrays: list) -> list:
         out = []
-        for s, f, n in zip(*arrays):
+        for s, f, n, r in zip(*arrays):
             out.append(state[0])
-            state[0] = alpha * s + (1 - alpha) * f if state[0] is None else state[0] * decay ** int(n) + alpha * s
+            state[0] = alpha * s + (1 - alpha) * f if state[0] is None or r else state[0] * decay ** int(n) + alpha * s
         return out
 
-    starts = ordered_fold(parts.withColumn("_o", F.col("_c")), keys, [F.col("_o")], lambda: [None], chain, ["s", "f", "n"], "_start", T.DoubleType()).select(*keys, "_c", "_start")
+    starts = ordered_fold(parts.withColumn("_o", F.col("_c")), keys, [F.col("_o")], lambda: [None], chain, ["s", "f", "n", "r"], "_start", T.DoubleType()).select(*keys, "_c", "_start")
 
     def run(state: list, arrays: list) -> list:
         out = []
-        for x, start in zip(*arrays):
+        for x, start, anew in zip(*arrays):
             acc = state[0] if state[0] is not None else (None if start is None or np.isnan(start) else float(start))
-            state[0] = float(x) if acc is None else acc * decay + x * alpha
+            state[0] = float(x) if acc is None or anew else acc * decay + x * alpha
             out.append(state[0])
         return out
 
-    folded = ordered_fold(seen.drop("_i").join(starts, [*keys, "_c"]), [*keys, "_c"], [F.col(order)], lambda: [None], run, ["_v", "_start"], name, T.DoubleType())
+    folded = ordered_fold(seen.drop("_i").join(starts, [*keys, "_c"]), [*keys, "_c"], [F.col(order)], lambda: [None], run, ["_v", "_start", "_again"], name, T.DoubleType())
     return folded.select(*keys, order, name)
 
 
 def ema_masks(cells: DataFrame, chunk: Column, keys: Sequence[str] = ("session_id", "layer", "cell")) -> DataFrame:
-    """Smoothed on/off state of every mask cell (``seq``, ``on`` as 0/1)."""
-    out = ema(cells, keys, "seq", "on", ALPHA, chunk)
+    """Smoothed on/off state of every mask cell (``seq``, ``on`` as 0/1).
+
+    Where cells carry the ``size`` of their mask, a frame whose mask has another size than the frame before restarts the average.
+    """
+    restart = None
+    if "size" in cells.columns:
+        layer = [k for k in keys if k != "cell"]
+        sizes = checkpoint(ordered_positions(cells.groupBy(*layer, "seq").agg(F.max("size").alias("size")), layer, ["seq"], F.floor(F.col("seq") / SEQ_CHUNK)))
+        changed = shifted(sizes, sizes, layer, -1, {"size": "_before"}).select(*layer, "seq", (F.col("size") != F.col("_before")).alias("_restart"))
+        cells, restart = cells.join(changed, [*layer, "seq"]), F.col("_restart")
+    out = ema(cells, keys, "seq", "on", ALPHA, chunk, restart=restart)
     return out.withColumn("show", F.col("ema") >= MASK_ON)
 
 
@@ -131,29 +148,112 @@ def ema_rate(frames: DataFrame, chunk: Column) -> DataFrame:
     return ema(rows.withColumn("_rate", 1000 / F.greatest(F.lit(1.0), gap)), ["session_id"], "seq", "_rate", RATE_ALPHA, chunk, "rate")
 
 
-def ema_masks_stream(cells: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
+def _sorted_rows(rows: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
+    """Rows of a key in a micro-batch that are newer than the last applied one, by number."""
+    parts = [part[part["seq"] > last] for part in rows]
+    return pd.concat(parts).sort_values("seq") if parts else pd.DataFrame()
+
+
+class _Timed(StatefulProcessor):
+    """A processor whose key is forgotten once the watermark is ``idle_ms`` past its newest row."""
+
+    schema: str
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.value = handle, handle.getValueState("value", self.schema)
+
+    def keep(self, newest: pd.Timestamp) -> None:
+        if self.idle_ms is None:
+            return
+        until = newest.value // 1_000_000 + self.idle_ms
+        for timer in list(self.handle.listTimers()):
+            until = max(until, timer)
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        yield from ()
+
+
+class _MaskAverages(_Timed):
+    """Averages of all cells of a (session, layer); another mask size starts them anew."""
+
+    schema = "seq long, acc array<double>"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, acc = -1, None
+        if self.value.exists():
+            last, acc = self.value.get()
+            acc = np.asarray(acc)
+        rows, out = _sorted_rows(rows, last), []
+        for seq, mask in zip(rows["seq"], rows["cells"]) if len(rows) else ():
+            mask = np.asarray(mask, dtype=float)
+            acc = mask if acc is None or len(acc) != len(mask) else acc * (1 - ALPHA) + mask * ALPHA
+            out.append((key[0], key[1], int(seq), acc.tolist(), (acc >= MASK_ON).tolist()))
+        if out:
+            self.value.update((out[-1][2], acc.tolist()))
+            if self.idle_ms is not None:
+                self.keep(rows["ts"].max())
+            yield pd.DataFrame(out, columns=["session_id", "layer", "seq", "ema", "show"])
+
+
+class _Scenes(_Timed):
+    """The scene in use of a session: number of its frame, mode, and how many frames were counted since the start."""
+
+    schema = "seq long, context_seq long, context string, mode long, counted long"
+
+    def __init__(self, idle_ms: int | None, every: int):
+        super().__init__(idle_ms)
+        self.every = every
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, at, scene, mode, counted = self.value.get() if self.value.exists() else (-1, None, None, None, 0)
+        rows, out = _sorted_rows(rows, last), []
+        for seq, now, seen in zip(rows["seq"], rows["mode"], rows["scene"]) if len(rows) else ():
+            if at is None or mode != now:
+                at, scene, mode = int(seq), seen, int(now)
+            else:
+                if counted % self.every == 0:
+                    at, scene = int(seq), seen
+                counted += 1
+            out.append((key[0], int(seq), at, scene))
+        if out:
+            self.value.update((out[-1][1], at, scene, mode, counted))
+            if self.idle_ms is not None:
+                self.keep(rows["ts"].max())
+            yield pd.DataFrame(out, columns=["session_id", "seq", "context_seq", "context"])
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams keep state in the store that timers and several state values need."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
+
+
+def _timed(rows: DataFrame, keys: Sequence[str], processor: _Timed, schema: str) -> DataFrame:
+    mode = "None" if processor.idle_ms is None else "EventTime"
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", mode)
+
+
+def ema_masks_stream(cells: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming form of ``ema_masks``: one packed state per (session, layer) holding all its cells.
 
     Input rows carry ``session_id, layer, seq, cells`` (cells as an array of 0/1 for one frame). Rows of a key are ordered
-    across the chunks of a micro-batch; frames older than the last applied one are ignored, and another mask size restarts
-    the average.
+    within a micro-batch; frames older than the last applied one are ignored, and another mask size restarts the average.
+    With ``idle_ms`` rows also carry ``ts`` with a watermark; a key is freed once the watermark is that far past its newest
+    frame, and starts anew if it comes back.
     """
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seq")
-        last, acc = (state.get[0], np.asarray(state.get[1])) if state.exists else (-1, None)
-        out = []
-        for seq, mask in zip(rows["seq"], rows["cells"]):
-            if seq <= last:
-                continue
-            mask = np.asarray(mask, dtype=float)
-            acc = mask if acc is None or len(acc) != len(mask) else acc * (1 - ALPHA) + mask * ALPHA
-            last = int(seq)
-            out.append((key[0], key[1], last, acc.tolist(), (acc >= MASK_ON).tolist()))
-        if acc is not None:
-            state.update((last, acc.tolist()))
-        yield pd.DataFrame(out, columns=["session_id", "layer", "seq", "ema", "show"])
+    return _timed(cells, ["session_id", "layer"], _MaskAverages(idle_ms), "session_id long, layer string, seq long, ema array<double>, show array<boolean>")
+
 
-    return cells.groupBy("session_id", "layer").applyInPandasWithState(update, "session_id long, layer string, seq long, ema array<double>, show array<boolean>", "seq long, acc array<double>", "append", timeout)
+def context_refresh_stream(frames: DataFrame, every: int, idle_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``context_refresh`` over frames ``session_id, seq, mode, scene`` (``ts`` and ``idle_ms`` as in ``ema_masks_stream``)."""
+    return _timed(frames, ["session_id"], _Scenes(idle_ms, every), "session_id long, seq long, context_seq long, context string")
 
 
 def frame_components(mask: DataFrame, height: int, width: int, min_area: int = 1, min_aspect: float = 0.0, cap: int = 400) -> DataFrame:

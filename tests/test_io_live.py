@@ -139,3 +139,41 @@ def test_las_files(spark, tmp_path):
     assert errors.keys() == {"short.las", "zip.las", "none.las", "other.las"} and errors["zip.las"] == "compressed points"
     summary = {r["path"].rsplit("/", 1)[1]: r for r in readers.las_summary(readers.read_las(spark, str(tmp_path))).collect()}
     assert summary["a.las"]["has_rgb"] and not summary["b.las"]["has_rgb"] and summary["a.las"]["classes"] == {2: 9, 8: 1}
+
+
+def timed_run(spark, tmp_path, build, schema, steps):
+    """Run ``build`` over a stream of files that grows by step; the rows that each step adds to the output."""
+    out, seen = [], set()
+    session = live.stream_session(spark)
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = session.readStream.schema(schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 second")
+        build(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        now = {tuple(str(v) for v in r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        out.append(now - seen)
+        seen = now
+    return out
+
+
+def test_idle_masks_are_freed(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "session_id long, layer string, seq long, ts timestamp, cells array<int>"
+    steps = [[(1, "a", 1, at(0), [1, 1]), (1, "a", 2, at(1), [0, 1]), (2, "a", 1, at(1), [1])],
+             [(1, "a", 3, at(2), [0, 0]), (2, "a", 2, at(3), [0, 1, 1])],  # goes on; another size restarts
+             [(2, "a", 3, at(100), [0, 0, 0])],  # the watermark passes session 1
+             [(1, "a", 4, at(101), [0, 1])]]
+    out = timed_run(spark, tmp_path, lambda s: live.ema_masks_stream(s, 10_000), schema, steps)
+    assert {(r[0], r[2], r[3]) for r in out[1]} == {("1", "3", str([0.55 * 0.55, 0.55])), ("2", "2", "[0.0, 1.0, 1.0]")}
+    assert {(r[0], r[2], r[3]) for r in out[2]} == {("2", "3", "[0.0, 0.55, 0.55]")}
+    assert {(r[0], r[2], r[3]) for r in out[3]} == {("1", "4", "[0.0, 1.0]")}
+
+
+def test_scenes_are_held_and_freed(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "session_id long, seq long, ts timestamp, mode long, scene string"
+    steps = [[(1, i, at(i), 0, f"s{i}") for i in range(1, 6)], [(1, i, at(i), int(i > 6), f"s{i}") for i in range(6, 10)], [(2, 1, at(200), 0, "x")], [(1, 10, at(201), 1, "s10")]]
+    out = timed_run(spark, tmp_path, lambda s: live.context_refresh_stream(s, 3, 10_000), schema, steps)
+    assert [{int(r[1]): r[3] for r in part} for part in out] == [{1: "s1", 2: "s2", 3: "s2", 4: "s2", 5: "s5"}, {6: "s5", 7: "s7", 8: "s7", 9: "s9"}, {1: "x"}, {10: "s10"}]
+    flat = [r for step in steps[:2] for r in step]
+    rows = spark.createDataFrame(flat, schema)
+    assert {r["seq"]: r["context"] for r in live.context_refresh(rows, rows, 3, "mode").collect()} == {1: "s1", 2: "s2", 3: "s2", 4: "s2", 5: "s5", 6: "s5", 7: "s7", 8: "s7", 9: "s9"}
