@@ -8,30 +8,60 @@ from pyspark.sql import functions as F
 from defectlake.llm import exact_dedup, mixing, packing, simhash, toxicity
 from defectlake.llm.common import staged
 
+ARROW_ROWS = 1000  # rows in a batch for Python: two batches of whole texts in JVM and worker stay at some MB, not some hundred
+
+
+def _lean(spark: SparkSession) -> None:
+    """The pipeline owns its session: executors that run all stages keep little memory for batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts to be toxic go; it learns from the labels outside the held-out fold."""
+    """Documents that the toxicity operator predicts to be toxic go; it learns from the labels outside the held-out fold.
+
+    Null and empty texts have no toxic passage and stay unless the labels make most documents toxic; equal rows share their
+    fate. Columns of any name come back as they were. No rows give no rows.
+    """
+    _lean(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model, "toxicity__").filter(F.col("toxicity__.predicted") == 0).drop("toxicity__")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of texts that are equal after folding A-Z the row with the largest doc_id stays, of several such rows one of them.
+
+    Null counts as empty, so of all null and empty texts one stays. Columns of any name come back; no rows give no rows.
+    """
+    _lean(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays."""
+    """Of each group of near duplicates the row with the smallest doc_id stays, of several such rows one of them.
+
+    Texts without words are like one another. Columns of any name come back; no rows give no rows.
+    """
+    _lean(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: a row for each piece, its text cut accordingly, by shards in shuffled order."""
+    """What the mix takes of each document: a row for each piece, its text cut accordingly, by shards in shuffled order.
+
+    A null or empty text has no words and is not taken; null is a source of its own; equal rows are taken alike but may swap
+    places. Only the columns of ``docs`` come back, whatever their names. No rows give no rows.
+    """
+    _lean(spark)
     return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in packed sequences."""
+    """Pieces of token ids in packed sequences.
+
+    A null or empty text is the end id alone; rows with null or equal doc_ids are documents of their own; other columns are
+    not read. No rows give no rows.
+    """
+    _lean(spark)
     return packing.pack_documents(docs)
 
 
