@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components as C
+from ..operators import outlines
 from ..operators import raster as ops
 from ..operators import skeleton
 from ..operators import temporal
@@ -320,3 +321,14 @@ def e29(fx):
 SELECT {K}, list({{'s': s, 'n': n}} ORDER BY s) r FROM (SELECT {K}, min(p) s, count(*) n FROM (SELECT *, p - row_number() OVER (PARTITION BY {K} ORDER BY p) g FROM (SELECT DISTINCT {K}, x*32+y p FROM fx_masks) a) b GROUP BY {K}, g) c GROUP BY {K}) d""", "fx_masks")
 def e29b(fx):
     return ops.rle(fx.masks, KEYS, 32, 32).withColumn("counts", F.array_join("counts", ","))
+
+
+@query("e30_region_outlines", """
+SELECT b.image_id, b.label, 2-euler rings, 1-euler holes, sides::BIGINT sides, corners::BIGINT corners, pixels FROM (SELECT image_id, label, CAST((sum(one)-sum(three)-2*sum(two))/4 AS BIGINT) euler, sum(one)+sum(three)+2*sum(two) corners FROM (
+ SELECT image_id, label, qy, qx, (count(*)=1)::BIGINT one, (count(*)=3)::BIGINT three, (count(*)=2 AND min(dy*2+dx) IN (0,1) AND max(dy*2+dx)=3-min(dy*2+dx))::BIGINT two FROM (SELECT image_id, label, y+dy qy, x+dx qx, 1-dy dy, 1-dx dx FROM lab CROSS JOIN (SELECT unnest([0,0,1,1]) dy, unnest([0,1,0,1]) dx) q) a GROUP BY 1,2,3,4) w GROUP BY 1,2) b
+JOIN (SELECT image_id, label, count(*) pixels, 4*count(*)-sum(shared) sides FROM (SELECT l.image_id, l.label, (SELECT count(*) FROM labm m WHERE m.image_id=l.image_id AND abs(m.y-l.y)+abs(m.x-l.x)=1) shared FROM lab l) s GROUP BY 1,2) c USING (image_id, label)""", "fx_pixels", "om AS (SELECT image_id, y, x FROM fx_pixels WHERE g>=165),\n" + labels_cte("om", "image_id"))
+def e30(fx):
+    """Outlines of the bright regions, followed in small tiles so that most rings are stitched."""
+    labels = C.label_components(fx.pixels.where("g >= 165").select("image_id", "y", "x"), ["image_id"])
+    out = outlines.outline_summary(outlines.region_outlines(labels, ["image_id"], tile=16), ["image_id"])
+    return out.withColumn("corners", F.col("corners").cast("long"))

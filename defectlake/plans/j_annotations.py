@@ -176,3 +176,70 @@ AUG = " UNION ALL ".join([f"SELECT image_id, '{n}' variant, y-{y0} y, x-{x0} x,
 @query("j14_augment_index", AUG, "fx_pixels")
 def j14(fx):
     return ops.augment_index(fx.pixels, 32, 32)
+
+
+# Shapes redrawn as curves: handles turn 0.3 of the next side by a right angle; every other node has no handle of its own before it.
+NODES = """nd AS (SELECT a.ann_id, a.seq, a.cls<>'cracks' closed, a.px ax, a.py ay, a.px+(b.py-a.py)*0.3 hx, a.py-(b.px-a.px)*0.3 hy, b.px dx, b.py dy, CASE WHEN b.seq%2=1 THEN b.px-(c.px-b.px)*0.25 ELSE b.px END gx, CASE WHEN b.seq%2=1 THEN b.py-(c.py-b.py)*0.25 ELSE b.py END gy
+ FROM fx_annotations a JOIN fx_annotations b ON a.ann_id=b.ann_id AND b.seq=(a.seq+1)%4 JOIN fx_annotations c ON a.ann_id=c.ann_id AND c.seq=(a.seq+2)%4),
+sn AS (SELECT *, greatest(1, least(400, ceil((sqrt((hx-ax)*(hx-ax)+(hy-ay)*(hy-ay))+sqrt((gx-hx)*(gx-hx)+(gy-hy)*(gy-hy))+sqrt((dx-gx)*(dx-gx)+(dy-gy)*(dy-gy)))/1.4::DOUBLE)))::BIGINT n FROM nd WHERE closed OR seq<3),
+bp AS (SELECT ann_id, 0 seq, 0 k, ax x, ay y FROM nd WHERE seq=0 UNION ALL SELECT ann_id, seq, k, u*u*u*ax+3*u*u*t*hx+3*u*t*t*gx+t*t*t*dx, u*u*u*ay+3*u*u*t*hy+3*u*t*t*gy+t*t*t*dy FROM (SELECT *, k/n::DOUBLE t, 1-k/n::DOUBLE u FROM (SELECT *, unnest(range(1, n+1)) k FROM sn) q) z WHERE NOT (closed AND seq=3 AND k=n)),
+bo AS (SELECT *, row_number() OVER (PARTITION BY ann_id ORDER BY seq, k)-1 i FROM bp)"""
+
+
+def curved(fx):
+    from ..functions import curves
+
+    rows = ops.shapes_of(fx.annotations, ["ann_id", "cls"]).withColumn("closed", F.col("cls") != "cracks")
+    at = lambda i: F.get("points", i % 4)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def node(p, i):
+        after = at(i + 1)
+        hout = point(p["x"] + (after["y"] - p["y"]) * 0.3, p["y"] - (after["x"] - p["x"]) * 0.3)
+        hin = F.when(i % 2 == 1, point(p["x"] - (after["x"] - p["x"]) * 0.25, p["y"] - (after["y"] - p["y"]) * 0.25))
+        return F.struct(p.alias("p"), hin.alias("hin"), hout.alias("hout"))
+
+    return curves, rows.withColumn("nodes", F.transform("points", node))
+
+
+@query("j15_bezier_points", "SELECT ann_id, i::INT i, round(x+1.3e-9, 8) x, round(y+1.3e-9, 8) y FROM bo", "fx_annotations", NODES)
+def j15(fx):
+    curves, rows = curved(fx)
+    drawn = rows.select("ann_id", F.posexplode(curves.flatten_bezier(F.col("nodes"), F.col("closed"))).alias("i", "p"))
+    return drawn.select("ann_id", "i", *[F.round(F.col(f"p.{a}") + 1.3e-9, 8).alias(a) for a in "xy"])
+
+
+SPLINE = """cl AS (SELECT ann_id, cls<>'cracks' closed, seq, px, py FROM fx_annotations),
+pd AS (SELECT ann_id, closed, seq i, px, py FROM cl WHERE closed UNION ALL SELECT ann_id, closed, seq+2, px, py FROM cl WHERE NOT closed UNION ALL SELECT ann_id, closed, s, px, py FROM cl JOIN (SELECT unnest([0,1]) s) q ON seq=0 WHERE NOT closed UNION ALL SELECT ann_id, closed, s, px, py FROM cl JOIN (SELECT unnest([6,7]) s) q ON seq=3 WHERE NOT closed),
+sp AS (SELECT a.ann_id, a.closed, a.i, a.px x0, a.py y0, b.px x1, b.py y1, c.px x2, c.py y2, d.px x3, d.py y3 FROM pd a JOIN pd b ON a.ann_id=b.ann_id AND b.i=CASE WHEN a.closed THEN (a.i+1)%4 ELSE a.i+1 END JOIN pd c ON a.ann_id=c.ann_id AND c.i=CASE WHEN a.closed THEN (a.i+2)%4 ELSE a.i+2 END JOIN pd d ON a.ann_id=d.ann_id AND d.i=CASE WHEN a.closed THEN (a.i+3)%4 ELSE a.i+3 END),
+sb AS (SELECT *, (1-3*t+3*t*t-t*t*t)/6 b0, (4-6*t*t+3*t*t*t)/6 b1, (1+3*t+3*t*t-3*t*t*t)/6 b2, t*t*t/6 b3 FROM (SELECT *, k/16.0::DOUBLE t FROM sp CROSS JOIN (SELECT unnest(range(0,16)) k) q) z),
+so AS (SELECT ann_id, i*16+k i, b0*x0+b1*x1+b2*x2+b3*x3 x, b0*y0+b1*y1+b2*y2+b3*y3 y FROM sb UNION ALL SELECT ann_id, 80, px, py FROM cl WHERE NOT closed AND seq=3)"""
+
+
+@query("j16_bspline_points", "SELECT ann_id, i::INT i, round(x, 8) x, round(y, 8) y FROM so", "fx_annotations", SPLINE)
+def j16(fx):
+    curves, rows = curved(fx)
+    drawn = rows.select("ann_id", F.posexplode(curves.flatten_bspline(F.col("points"), F.col("closed"))).alias("i", "p"))
+    return drawn.select("ann_id", "i", F.round("p.x", 8).alias("x"), F.round("p.y", 8).alias("y"))
+
+
+@query("j17_spiral_points", """
+SELECT ann_id, k::INT i, round(px+r*cos(th), 6) x, round(py+r*sin(th), 6) y FROM (SELECT *, (2+ann_id%9)*pow(t, 0.5+ann_id%3) r, ann_id%7-2*pi()*turns*(1-t) th FROM (SELECT *, 0.1+0.9*k/n t FROM (SELECT *, unnest(range(0, n+1)) k FROM (
+ SELECT ann_id, px, py, (1+ann_id%5)*0.25::DOUBLE turns, greatest(24, ceil((1+ann_id%5)*18))::BIGINT n FROM fx_annotations WHERE seq=0) a) b) c) d""", "fx_annotations")
+def j17(fx):
+    from ..functions import curves
+
+    a = F.col("ann_id")
+    rows = ops.shapes_of(fx.annotations, ["ann_id"])
+    drawn = curves.spiral_points(F.get("points", F.lit(0)), (2 + a % 9).cast("double"), (a % 7).cast("double"), (1 + a % 5) * 0.25, a % 3 + 0.5, F.lit(0.1))
+    return rows.select("ann_id", F.posexplode(drawn).alias("i", "p")).select("ann_id", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("j18_curve_areas", """
+SELECT ann_id, count(*) vertices, round(abs(sum(x*ny-nx*y))/2+1e-6, 4) area FROM (SELECT ann_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(lead(y) OVER w, first_value(y) OVER w) ny FROM (SELECT ann_id, i, round(x+1e-9, 2) x, round(y+1e-9, 2) y FROM bo JOIN (SELECT DISTINCT ann_id FROM nd WHERE closed) c USING (ann_id)) q WINDOW w AS (PARTITION BY ann_id ORDER BY i)) z GROUP BY 1""", "fx_annotations", NODES)
+def j18(fx):
+    """Areas of the stored polylines of closed curves."""
+    curves, rows = curved(fx)
+    drawn = F.transform(curves.flatten_bezier(F.col("nodes"), F.col("closed")), lambda p: F.struct((p["x"] + 1e-9).alias("x"), (p["y"] + 1e-9).alias("y")))
+    stored = rows.where("closed").select("ann_id", curves.rounded(drawn).alias("ring"))
+    return stored.select("ann_id", F.size("ring").cast("long").alias("vertices"), F.round(G.polygon_area(F.col("ring")) + 1e-6, 4).alias("area"))

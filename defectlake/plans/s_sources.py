@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources import readers, schemas, writers
+from ..sources import las_ranges, readers, schemas, writers
 from .a_consensus import CANON, CLEAN
 from .base import query
 from .d_campaign import CHAIN, EDGES, EVENTS
@@ -77,6 +77,44 @@ def s3b(fx):
     return out
 
 
+@query("s3_read_las_ranges", """
+SELECT l_suppkey % 5 file, count(*) n, count(DISTINCT l_orderkey*8+l_linenumber) points, round(sum(x), 2) x, round(sum(y), 2) y, sum(intensity)::BIGINT intensity, sum(cls)::BIGINT classes FROM (
+ SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey*0.01::DOUBLE+1000 x, l_orderkey*0.01::DOUBLE-50 y, l_partkey % 65536 intensity, l_linenumber % 32 cls FROM lineitem) q GROUP BY 1""")
+def s3c(fx):
+    """Line items as five LAS files, each written by one task and read in ranges of 200,000 bytes.
+
+    Records go out as lines: both they and the header end in a zero byte, which stands for the end of a line.
+    """
+    import struct
+
+    import pyarrow as pa
+
+    def head(count):
+        out = bytearray(227)
+        out[:4], out[24], out[25] = b"LASF", 1, 2
+        struct.pack_into("<I", out, 96, 227)
+        struct.pack_into("<BHI", out, 104, 2, 26, count)
+        struct.pack_into("<6d", out, 131, 0.01, 0.01, 0.01, 1000.0, -50.0, 0.0)
+        return bytes(out)
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            lines = [head(c) if k == 0 else struct.pack("<iiiHBBBBHHHH", p, o, s, p % 65536, 0, n % 32, 0, 0, 0, p % 256, 0, 0) for _, k, c, p, o, s, n in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[:-1] for x in lines], pa.binary())], ["file", "record"])
+
+    path = scratch(fx, "las")
+    rows = fx.lineitem.select((F.col("l_suppkey") % 5).alias("file"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), *[F.col(c).cast("long").alias(c) for c in ("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber")])
+    first = rows.groupBy("file").agg(F.lit(0).alias("kind"), F.count(F.lit(1)).alias("n"), *[F.lit(0).cast("long").alias(c) for c in ("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber")])
+    dealt = rows.union(first).repartition("file").sortWithinPartitions("file", "kind")
+    lines = dealt.mapInArrow(run, "file long, record binary").select("file", F.col("record").cast("string").alias("record"))
+    lines.write.option("lineSep", "\x00").partitionBy("file").text(path)
+    points = las_ranges.read_las_ranges(fx.spark, path, 200_000).where("error is null")
+    order = F.round((F.col("y") + 50) * 100).cast("long") * 8 + F.col("cls")
+    return points.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(order).alias("points"), *[F.round(F.sum(c), 2).alias(c) for c in "xy"], F.sum("intensity").alias("intensity"), F.sum("cls").alias("classes"))
+
+
 @query("s4_list_assets")
 def s4(fx):
     return readers.list_assets(fx.spark, fx.folder).select("name", "kind", "bytes", "sha256")

@@ -83,8 +83,13 @@ LAS_POINT = "path string, index long, x double, y double, z double, intensity in
 LAS_BATCH = 50_000
 
 
-def las_header(data) -> dict | str:
-    """Layout of an uncompressed LAS file, or why it cannot be read."""
+_KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+LAS_SCHEMA = pa.schema([(n, _KINDS[t]) for n, t in (f.split() for f in LAS_POINT.split(", "))])
+
+
+def las_header(data, length: int | None = None) -> dict | str:
+    """Layout of an uncompressed LAS file, or why it cannot be read; ``data`` may be the beginning of a file of ``length`` bytes."""
+    length = len(data) if length is None else length
     if len(data) < LAS_HEADER_BYTES:
         return "shorter than a header"
     at = lambda form, place: struct.unpack_from("<" + form, data, place)
@@ -93,57 +98,63 @@ def las_header(data) -> dict | str:
     (start,), (kind,), (size,) = at("I", 96), at("B", 104), at("H", 105)
     if kind & 0x80:
         return "compressed points"
-    if not size or start >= len(data):
+    if not size or start >= length:
         return "offset or record length"
     (declared,) = at("I", 107)
     if data[25] >= 4 and len(data) >= 255:
         declared = at("Q", 247)[0] or declared
-    held = (len(data) - start) // size
+    held = (length - start) // size
     count = min(declared or held, held)
     if count < 1 or size < 12:
         return "no point records"
     return {"start": start, "format": kind & 0x3F, "size": size, "count": count, "scale": at("3d", 131), "shift": at("3d", 155)}
 
 
+def decode_las(path: str, head: dict, first: int, raw: np.ndarray) -> pa.RecordBatch:
+    """Points of consecutive records (rows of bytes), the first of which has number ``first``."""
+    def field(place: int, form: str) -> np.ndarray:
+        width = np.dtype(form).itemsize
+        return np.ascontiguousarray(raw[:, place : place + width]).view(form).ravel()
+
+    size, kind = head["size"], head["format"]
+    place = [field(4 * i, "<i4") * head["scale"][i] + head["shift"][i] for i in range(3)]
+    keep = np.isfinite(place).all(axis=0)
+    own = lambda at, form: field(at, form).astype(np.int32)[keep] if size >= at + np.dtype(form).itemsize else None
+    cls = own(15, "u1") if kind <= 5 else own(16, "u1")
+    rgb = LAS_RGB_AT.get(kind)
+    colour = [own(rgb + 2 * i, "<u2") if rgb is not None else None for i in range(3)]
+    columns = [np.arange(first, first + len(raw))[keep], *[p[keep] for p in place], own(12, "<u2"), cls & 0x1F if kind <= 5 and cls is not None else cls, *colour]
+    m = int(keep.sum())
+    arrays = [pa.array([path] * m, pa.string()), *[pa.nulls(m, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, list(LAS_SCHEMA)[1:10])], pa.nulls(m, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, schema=LAS_SCHEMA)
+
+
 def parse_las(files: DataFrame) -> DataFrame:
     """Points of LAS files (``path``, ``content``), decoded in batches of 50,000; a file that cannot be read gives one row with its error.
 
     Intensity, class and colour are null where the point format has none. Points with an infinite coordinate are left out.
     """
-    def field(raw: np.ndarray, place: int, form: str) -> np.ndarray:
-        width = np.dtype(form).itemsize
-        return np.ascontiguousarray(raw[:, place : place + width]).view(form).ravel()
-
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
                 head = las_header(data)
                 if isinstance(head, str):
-                    yield pa.RecordBatch.from_pylist([{"path": path, "error": head}], schema)
+                    yield pa.RecordBatch.from_pylist([{"path": path, "error": head}], LAS_SCHEMA)
                     continue
-                size, kind = head["size"], head["format"]
                 for first in range(0, head["count"], LAS_BATCH):
                     n = min(LAS_BATCH, head["count"] - first)
-                    raw = np.frombuffer(data, dtype=np.uint8, count=n * size, offset=head["start"] + first * size).reshape(n, size)
-                    place = [field(raw, 4 * i, "<i4") * head["scale"][i] + head["shift"][i] for i in range(3)]
-                    keep = np.isfinite(place).all(axis=0)
-                    own = lambda at, form: field(raw, at, form).astype(np.int32)[keep] if size >= at + np.dtype(form).itemsize else None  # noqa: B023, E731
-                    cls = own(15, "u1") if kind <= 5 else own(16, "u1")
-                    rgb = LAS_RGB_AT.get(kind)
-                    colour = [own(rgb + 2 * i, "<u2") if rgb is not None else None for i in range(3)]
-                    columns = [np.arange(first, first + n)[keep], *[p[keep] for p in place], own(12, "<u2"), cls & 0x1F if kind <= 5 and cls is not None else cls, *colour]
-                    m = int(keep.sum())
-                    arrays = [pa.array([path] * m, pa.string()), *[pa.nulls(m, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:10])], pa.nulls(m, pa.string())]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in LAS_POINT.split(", "))])
+                    raw = np.frombuffer(data, dtype=np.uint8, count=n * head["size"], offset=head["start"] + first * head["size"])
+                    yield decode_las(path, head, first, raw.reshape(n, head["size"]))
+
     return files.select("path", "content").mapInArrow(run, LAS_POINT)
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all LAS files below ``path``; a file is read by one task and may have up to 2 GB."""
+    """Points of all LAS files below ``path``; a file is read by one task and may have up to 2 GB.
+
+    :func:`.las_ranges.read_las_ranges` reads a file by many tasks, from the stores that Arrow opens.
+    """
     return parse_las(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from defectlake.sources import readers, writers
+from defectlake.sources import las_ranges, readers, writers
 from defectlake.sources.fixtures import _lines
 from defectlake.streaming import live
 
@@ -137,6 +137,11 @@ def test_las_files(spark, tmp_path):
     assert [r["cls"] for r in by["c.las"]][3] == 200 and len(by["c.las"]) == 10 and len(by["cut.las"]) == 8
     errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rows if r["error"]}
     assert errors.keys() == {"short.las", "zip.las", "none.las", "other.las"} and errors["zip.las"] == "compressed points"
+    key = lambda r: tuple(str(v) for v in (r["path"].rsplit("/", 1)[1], *r[1:]))
+    for step in (1 << 20, 70):
+        ranges = las_ranges.read_las_ranges(spark, str(tmp_path), step)
+        assert sorted(map(key, ranges.collect())) == sorted(map(key, rows))
+    assert ranges.rdd.getNumPartitions() > 15  # two points of a file in each
     summary = {r["path"].rsplit("/", 1)[1]: r for r in readers.las_summary(readers.read_las(spark, str(tmp_path))).collect()}
     assert summary["a.las"]["has_rgb"] and not summary["b.las"]["has_rgb"] and summary["a.las"]["classes"] == {2: 9, 8: 1}
 
