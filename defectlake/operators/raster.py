@@ -205,20 +205,21 @@ def reconstruct_by_opening(labels: DataFrame, keys: Sequence[str], height: int,
     return labels.join(alive, [*keys, "label"], "left_semi")
 
 
-def filter_by_contrast(labels: DataFrame, pixels: DataFrame, keys: Sequence[str], min_delta: float, sign: int = -1, value: str = "g", rough: str | None = None, min_rough: float = 0.0) -> DataFrame:
+def filter_by_contrast(labels: DataFrame, pixels: DataFrame, keys: Sequence[str], min_delta: float, sign: int = -1, value: str = "g", rough: str | None = None, min_rough: float = 0.0, ring: DataFrame | None = None) -> DataFrame:
     """Keep components that differ from the unmasked ring around their box (box + 7 px) and are rough enough.
 
-    The ring is read row by row: component boxes are expanded to their image rows and meet the pixels of that row.
+    The ring is read row by row: component boxes are expanded to their image rows and meet the pixels of that row, those of
+    ``ring`` where it is given.
     """
     keys = list(keys)
     boxes = C.component_boxes(labels, keys).select(*keys, "label", *[(F.col(c) + d).alias(c) for c, d in (("x0", -RING_PX), ("x1", RING_PX), ("y0", -RING_PX), ("y1", RING_PX))])
     rows = boxes.withColumn("y", F.explode(F.sequence("y0", "y1")))
-    off = pixels.select(*keys, "y", "x", value).join(labels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
-    ring = rows.join(off, [*keys, "y"]).where(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy(*keys, "label").agg(F.avg(value).alias("ring_mean"))
+    off = (pixels if ring is None else ring).select(*keys, "y", "x", value).join(labels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    around = rows.join(off, [*keys, "y"]).where(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy(*keys, "label").agg(F.avg(value).alias("ring_mean"))
     extra = [F.avg(rough).alias("rough_mean")] if rough else []
     inside = labels.join(pixels, [*keys, "y", "x"]).groupBy(*keys, "label").agg(F.avg(value).alias("inside_mean"), *extra)
     delta = (F.col("ring_mean") - F.col("inside_mean")) * F.lit(1.0 if sign < 0 else -1.0)
-    stats = inside.join(ring, [*keys, "label"], "left").withColumn("delta", delta)
+    stats = inside.join(around, [*keys, "label"], "left").withColumn("delta", delta)
     keep = F.col("delta").isNull() | (F.col("delta") >= min_delta)
     if rough:
         keep = keep & (F.col("rough_mean") >= min_rough)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import components as C
-from ..operators import outlines
+from ..operators import imagerun, outlines, rating
 from ..operators import raster as ops
 from ..operators import skeleton
 from ..operators import temporal
+from ..session import checkpoint
 from .base import query
 
 KEYS = ["pair_id", "damage_class", "epoch"]
@@ -130,7 +133,21 @@ def e11(fx):
     return ops.otsu(ops.histogram(fx.rgb).where("channel <> 'l'"), ["image_id", "channel"])
 
 
-@query("e12_crack_candidates")
+OTSU = """gy AS (SELECT image_id, y, x, floor(0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b+0.5) gray FROM fx_rgb),
+hb AS (SELECT image_id, y, x, bh FROM """ + bh("gray", 3, "gy") + """ z),
+bx AS (SELECT image_id, y, x, coalesce(lag(bh) OVER w, bh)+2*bh+coalesce(lead(bh) OVER w, bh) v FROM hb WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+bl AS (SELECT image_id, y, x, floor((coalesce(lag(v) OVER w, v)+2*v+coalesce(lead(v) OVER w, v))/16+0.5) v FROM bx WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+hs AS (SELECT image_id, v, count(*)::DOUBLE n FROM bl GROUP BY 1,2),
+cu AS (SELECT *, sum(n) OVER o wb, sum(n*v) OVER o sb, sum(n) OVER (PARTITION BY image_id) w, sum(n*v) OVER (PARTITION BY image_id) s FROM hs WINDOW o AS (PARTITION BY image_id ORDER BY v)),
+th AS (SELECT image_id, arg_max(v, (wb*(w-wb)*(sb/wb-(s-sb)/(w-wb))*(sb/wb-(s-sb)/(w-wb)), -v)) t FROM cu WHERE w>wb GROUP BY 1),
+rw AS (SELECT image_id, y, x FROM bl JOIN th USING (image_id) WHERE v>t),
+e1 AS (SELECT a.* FROM rw a LEFT JOIN rw b ON a.image_id=b.image_id AND a.y=b.y AND b.x=a.x+1 WHERE b.x IS NOT NULL OR a.x=31),
+e2 AS (SELECT a.* FROM e1 a LEFT JOIN e1 b ON a.image_id=b.image_id AND a.x=b.x AND b.y=a.y+1 WHERE b.y IS NOT NULL OR a.y=31),
+op AS (SELECT DISTINCT image_id, least(31, y+dy) y, least(31, x+dx) x FROM e2 CROSS JOIN (SELECT unnest([0,0,1,1]) dy, unnest([0,1,0,1]) dx) q),
+""" + labels_cte("op", "image_id")
+
+
+@query("e12_crack_candidates", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label)::INT AS \"rank\" FROM (SELECT image_id, label, count(*) area, min(x) x0, min(y) y0, max(x) x1, max(y) y1, max(x)-min(x)+1 bw, max(y)-min(y)+1 bh FROM lab GROUP BY 1,2 HAVING count(*)>=8) a) b WHERE \"rank\"<=120", "fx_rgb", OTSU)
 def e12(fx):
     return ops.crack_candidates(fx.rgb, 32, 32, radius=3)
 
@@ -211,12 +228,81 @@ def e18(fx):
     return ops.drop_small_border(bright(fx), ["image_id"], rects).select("image_id", "y", "x", "label")
 
 
-@query("e19_separate_families")
+def morph(source: str, *steps: tuple[str, int]) -> str:
+    """Erosions (min) and dilations (max) of a dense 0/1 raster ``(image_id, y, x, v)``."""
+    out = source
+    for fn, r in steps:
+        out = "(SELECT image_id, y, x, w_ v FROM " + win(fn, "v", r, out, "w_") + " z_)"
+    return out
+
+
+def dense(name: str) -> str:
+    """A set of pixels as a dense raster."""
+    return f"(SELECT image_id, y, x, ({name}.y IS NOT NULL)::INT v FROM fam LEFT JOIN (SELECT image_id, y, x, true hit FROM {name}) {name} USING (image_id, y, x))".replace(f"({name}.y IS NOT NULL)", "coalesce(hit, false)")
+
+
+def contrast_sql(lab: str, out: str, sign: str, delta: float, rough: bool) -> str:
+    """Pixels of the components of ``lab`` that pass the contrast rule."""
+    return f"""{out} AS (SELECT l.image_id, l.y, l.x FROM {lab} l JOIN (SELECT i.image_id, i.label FROM (SELECT l.image_id, l.label, avg(p.gray) m, avg(p.rough) rm FROM {lab} l JOIN pxm p USING (image_id, y, x) GROUP BY 1,2) i LEFT JOIN
+ (SELECT b.image_id, b.label, avg(p.gray) m FROM (SELECT image_id, label, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM {lab} GROUP BY 1,2) b JOIN (SELECT * FROM pxm ANTI JOIN {lab} USING (image_id, y, x)) p ON p.image_id=b.image_id AND p.x BETWEEN x0-7 AND x1+7 AND p.y BETWEEN y0-7 AND y1+7 GROUP BY 1,2) r USING (image_id, label)
+ WHERE (r.m IS NULL OR {sign}*(r.m-i.m)>={delta}) {"AND i.rm>=5" if rough else ""}) k ON k.image_id=l.image_id AND k.label=l.label)"""
+
+
+def inner_sql(lab: str, out: str) -> str:
+    return f"{out} AS (SELECT image_id, y, x FROM {lab} l ANTI JOIN (SELECT image_id, label FROM {lab} GROUP BY 1,2 HAVING (min(x)<=1 OR max(x)>=62 OR min(y)<=1 OR max(y)>=62) AND count(*) < 0.01*64*64) g USING (image_id, label))"
+
+
+CLEAN5 = (("min", 2), ("max", 2), ("max", 2), ("min", 2))
+RUN = FAMILY.replace("fx_rgb", "fx_concrete") + f""",
+pxm AS (SELECT f.image_id, f.y, f.x, l.gray, l.lum, abs(l.lum - m.bm) rough, h.sat, h.val FROM fam f JOIN ls l USING (image_id, y, x) JOIN hsv h USING (image_id, y, x) JOIN (SELECT image_id, y, x, sum(s_) OVER c / sum(n_) OVER c bm FROM (SELECT image_id, y, x, sum(lum) OVER r s_, count(*) OVER r n_ FROM ls WINDOW r AS (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)) q WINDOW c AS (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)) m USING (image_id, y, x)),
+k0 AS (SELECT image_id, y, x FROM fam WHERE cracks), {labels_cte("k0", "image_id", name="lk")},
+k1 AS (SELECT image_id, y, x FROM lk SEMI JOIN (SELECT DISTINCT image_id, label FROM lk JOIN {morph(dense("k0"), ("min", 1))} e USING (image_id, y, x) WHERE v=1) s USING (image_id, label)),
+k2 AS (SELECT image_id, y, x FROM {morph(dense("k1"), ("max", 1), ("min", 1))} a WHERE v=1),
+s0 AS (SELECT image_id, y, x FROM fam WHERE spalling_dark),
+s1 AS (SELECT image_id, y, x FROM {morph(dense("s0"), *CLEAN5)} a WHERE v=1),
+s2 AS (SELECT s1.* FROM s1 SEMI JOIN (SELECT * FROM {morph(dense("s1"), ("min", 4), ("max", 4), ("max", 3))} a WHERE v=1) g USING (image_id, y, x)), {labels_cte("s2", "image_id", name="l2")},
+{contrast_sql("l2", "s3", "1", 42, True)},
+s4 AS (SELECT image_id, y, x FROM {morph(dense("s3"), ("max", 5), ("min", 5))} a WHERE v=1), {labels_cte("s4", "image_id", name="l4")}, {inner_sql("l4", "s5")},
+r0 AS (SELECT image_id, y, x FROM fam WHERE corrosion_rust),
+r1 AS (SELECT image_id, y, x FROM {morph(dense("r0"), *CLEAN5)} a WHERE v=1), {labels_cte("r1", "image_id", name="lr")}, {inner_sql("lr", "r2")},
+w0 AS (SELECT image_id, y, x FROM fam WHERE efflorescence_white),
+w1 AS (SELECT image_id, y, x FROM {morph(dense("w0"), *CLEAN5)} a WHERE v=1), {labels_cte("w1", "image_id", name="lw")},
+{contrast_sql("lw", "w2", "-1", 80, False)}, {labels_cte("w2", "image_id", name="lx")}, {inner_sql("lx", "w3")},
+b0 AS (SELECT image_id, y, x FROM (SELECT p.*, quantile_cont(gray, 0.4) OVER (PARTITION BY image_id) p40 FROM pxm p SEMI JOIN s5 USING (image_id, y, x)) q WHERE gray<p40 OR (sat<0.2 AND val<0.55)),
+b1 AS (SELECT image_id, y, x FROM {morph(dense("b0"), ("min", 1), ("max", 1), ("max", 1), ("min", 1))} a WHERE v=1)"""
+for _name in "ls fam pxm k0 k1 s0 s1 s2 s3 s4 s5 r0 r1 r2 w0 w1 w2 w3 b0 b1 lk l2 l4 lr lw lx".split():  # read several times
+    RUN = re.sub(rf"(?m)(^|, |\n){_name} AS \(", rf"\g<1>{_name} AS MATERIALIZED (", RUN)
+STAGES = {"cracks": ("k0", "k1", "k2"), "spalling_dark": ("s0", "s1", "s5"), "corrosion_rust": ("r0", "r1", "r2"), "efflorescence_white": ("w0", "w1", "w3"), "exposed_rebar": ("b0", "b1", "b1")}
+# Spalling regions that are mostly rust: their rust goes, the rest is opened, and rebar in them goes.
+SPLIT = RUN + f""",
+lz AS (SELECT l4.* FROM l4 SEMI JOIN s5 USING (image_id, y, x)),
+af AS (SELECT image_id, y, x FROM lz SEMI JOIN (SELECT l.image_id, l.label FROM lz l LEFT JOIN (SELECT *, 1 hit FROM r2) r USING (image_id, y, x) GROUP BY 1,2 HAVING count(hit) >= 0.6*count(*)) q USING (image_id, label)),
+rm AS (SELECT * FROM af ANTI JOIN r2 USING (image_id, y, x)),
+ro AS (SELECT image_id, y, x FROM {morph(dense("rm"), ("min", 2), ("max", 2))} a WHERE v=1),
+fin AS (SELECT image_id, 'cracks' damage_class, y, x FROM k2 ANTI JOIN r2 USING (image_id, y, x) UNION ALL SELECT image_id, 'corrosion_rust', y, x FROM r2 UNION ALL SELECT image_id, 'efflorescence_white', y, x FROM w3
+ UNION ALL SELECT image_id, 'spalling_dark', y, x FROM (SELECT * FROM s5 ANTI JOIN af USING (image_id, y, x) UNION SELECT * FROM ro) z UNION ALL SELECT image_id, 'exposed_rebar', y, x FROM b1 ANTI JOIN af USING (image_id, y, x))"""
+
+
+@query("e31_image_run_stages", " UNION ALL ".join(f"SELECT image_id, '{c}' damage_class, '{s}' stage, count(*) n FROM {t} GROUP BY 1" for c, ts in STAGES.items() for s, t in zip(("candidate", "clean", "mask"), ts)), "fx_concrete", RUN)
+def e31(fx):
+    """Pixels of every family after each stage of the image run."""
+    return imagerun.family_masks(fx.concrete, 64, 64, 35.0, 7).groupBy("image_id", "damage_class", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e19_separate_families", "SELECT image_id, damage_class, count(*) n FROM fin GROUP BY 1,2", "fx_concrete", SPLIT)
 def e19(fx):
-    rows = ops.family_candidates(fx.rgb, 35.0, 7)
-    classes = F.array(*[F.struct(F.lit(c).alias("damage_class"), F.col(c).alias("on")) for c in ("cracks", "spalling_dark", "corrosion_rust", "efflorescence_white")])
-    masks = rows.select("image_id", "y", "x", F.inline(classes)).where("on").drop("on")
-    return ops.separate_families(masks, ["image_id"], 32, 32).groupBy("image_id", "damage_class").agg(F.count(F.lit(1)).alias("n"))
+    """Final masks of the image run."""
+    return imagerun.image_run(fx.concrete, 64, 64, 35.0, 7).groupBy("image_id", "damage_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e32_image_run_rating")
+def e32(fx):
+    """From pixels to the rating of every image: masks, records, damage index and element rating."""
+    records = imagerun.run_records(imagerun.image_run(fx.concrete, 64, 64, 35.0, 7), 64, 64)
+    rated = checkpoint(rating.rate_damages(records, F.lit(4096.0)))
+    images = fx.concrete.select("image_id").distinct()
+    index = rating.gde(images, rated).select("image_id", F.round("gde", 8).alias("gde"), "gde_level")
+    return rating.element_rating(images, rated).select("image_id", "n", F.round("affected_area_ratio", 9).alias("affected_area_ratio"), "element_rank", "ec", "nt").join(index, "image_id")
 
 
 @query("e20_crack_fragments", f"SELECT l.* FROM lab l SEMI JOIN (SELECT {K}, label FROM box WHERE area>=3 AND (greatest(bw,bh)/greatest(1, least(bw,bh))>=2 OR area>=16)) k USING ({K}, label)", "fx_masks", LAB + ",\n" + BOX)

@@ -82,6 +82,13 @@ SELECT image_id, y, x, least(255, greatest(0, CAST(floor(128 + v*400) AS BIGINT)
 SQL["fx_rgb"] = """
 SELECT image_id, y, x, least(255, greatest(0, CAST(floor(128 + v*400) AS BIGINT))) r, least(255, greatest(0, CAST(floor(115 + v*260) AS BIGINT) + (x*5+y) % 9)) g, least(255, greatest(0, CAST(floor(100 + v*120) AS BIGINT))) b FROM (
  SELECT CAST(floor(vec_id/16) AS BIGINT) image_id, CAST(floor((vec_id%16)/4) AS BIGINT)*8 + CAST(floor(i/8) AS BIGINT) y, (vec_id%4)*8 + i%8 x, CAST(v AS DOUBLE) v FROM {fx_emb}) p"""
+# Concrete of 64 x 64 pixels in tiles of 16: dark rough, rusty, white and dark rusty patches, and thin dark lines.
+SQL["fx_concrete"] = """
+SELECT image_id, y, x, least(255, greatest(0, CAST(floor(CASE k WHEN 0 THEN 45 + v*160 WHEN 1 THEN 170 + v*60 WHEN 2 THEN 240 + v*20 WHEN 3 THEN 95 + v*60 ELSE CASE WHEN y % 16 = 7 AND k = 4 THEN 55 ELSE 150 + v*40 END END) AS BIGINT))) r,
+ least(255, greatest(0, CAST(floor(CASE k WHEN 0 THEN 45 + v*160 WHEN 1 THEN 95 + v*40 WHEN 2 THEN 238 + v*20 WHEN 3 THEN 55 + v*40 ELSE CASE WHEN y % 16 = 7 AND k = 4 THEN 55 ELSE 150 + v*40 END END) AS BIGINT))) g,
+ least(255, greatest(0, CAST(floor(CASE k WHEN 0 THEN 45 + v*160 WHEN 1 THEN 60 + v*20 WHEN 2 THEN 230 + v*20 WHEN 3 THEN 40 + v*30 ELSE CASE WHEN y % 16 = 7 AND k = 4 THEN 55 ELSE 150 + v*40 END END) AS BIGINT))) b FROM (
+ SELECT image_id, (ty*8 + cy)*2 + CAST(floor(d/2) AS BIGINT) y, (tx*8 + cx)*2 + CAST(d % 2 AS BIGINT) x, k, v FROM (
+  SELECT CAST(floor(vec_id/16) AS BIGINT) image_id, CAST(floor((vec_id%16)/4) AS BIGINT) ty, vec_id%4 tx, CAST(floor(i/8) AS BIGINT) cy, i%8 cx, (vec_id*7 + CAST(floor(vec_id/16) AS BIGINT)*3) % 17 k, CAST(v AS DOUBLE) v, d FROM {fx_emb} e [[d 0 3]]) q) p"""
 SQL["fx_frames"] = """
 SELECT user_id session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) seq, ts, event_type label, CAST(floor(value) AS BIGINT) % 7 n, CAST(floor(value*100) AS BIGINT) % 900 + 20 latency_ms FROM {events}"""
 SQL["fx_masks"] = """
