@@ -3,7 +3,7 @@
 Every document goes to the tier of the smallest window that holds what full long windows leave of it. Tiers are packed
 from the longest window to the shortest; gaps of longer windows are filled from shorter tiers, whole documents first and
 then by a cut. Sequences of one step group have the same number of tokens in total. Tasks pack what they read, so that
-nothing is shuffled and only the last few tokens of a task need padding.
+nothing is shuffled and the last few tokens of a task go to short sequences of powers of two.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ WINDOWS = (1024, 512, 256, 128)
 STEP_TOKENS = 8192
 BUNDLE_TOKENS = 1 << 20
 END_ID = 0
+SPECIAL = "<|endoftext|>"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step long"
 
@@ -27,7 +28,8 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 def byte_bpe(vocabulary: str | None = None):
     """Encoder of the 50k byte-level BPE vocabulary, texts to id arrays.
 
-    ``vocabulary`` is the rank file; the public one by default. Strings of special tokens are ordinary text.
+    ``vocabulary`` is the rank file; the public one by default, whose ids equal those of the tokenizer file. Texts that hold
+    the name of its special token go through the tokenizer file, which gives it one id; with other ranks it is ordinary text.
     """
     import base64
 
@@ -37,7 +39,18 @@ def byte_bpe(vocabulary: str | None = None):
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     coder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(coder.encode_ordinary(text), dtype="<u4")
+    whole: list = []
+
+    def encode(text: str) -> np.ndarray:
+        if vocabulary is None and SPECIAL in text:
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(coder.encode_ordinary(text), dtype="<u4")
+
+    return encode
 
 
 class Packer:
@@ -82,15 +95,15 @@ class Packer:
         return out
 
     def pack(self, last: bool = False) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """Full sequences as (window, pieces), longest windows first; ``last`` also lets go of what fills none."""
+        """Full sequences as (window, pieces), longest windows first; ``last`` also lets go of what fills none, by powers of two."""
         out = [(self.windows[0], seq) for seq in self.full]
         self.full = []
         for tier, window in enumerate(self.windows):
             while self.held >= window and (self.tiers[tier] or last):
                 out.append((window, self._fill(window, tier)))
-        if last and self.held:
-            out.append((self.windows[0], [piece for pool in self.tiers for piece in pool]))
-            self.tiers, self.held = [[] for _ in self.windows], 0
+        while last and self.held:
+            window = 1 << (self.held.bit_length() - 1)
+            out.append((window, self._fill(window, len(self.windows) - 1)))
         return out
 
     def waiting(self) -> set[int]:
@@ -100,7 +113,7 @@ class Packer:
 def pack_documents(docs: DataFrame, windows: tuple[int, ...] = WINDOWS, step_tokens: int = STEP_TOKENS, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents, one row each, with their ids as little-endian 32-bit numbers.
 
-    ``window`` is the length that a sequence is padded to; it is full but for the last sequence of a task. ``step`` numbers
+    ``window`` is the length of a sequence, always full: what is left of a task fills no window and goes to powers of two. ``step`` numbers
     groups of sequences of ``step_tokens`` tokens (the last group of a bundle may be shorter). A null or empty text is the
     end id alone; null and repeated doc_ids are documents of their own; other columns are not read. No rows give no rows.
     """

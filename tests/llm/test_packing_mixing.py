@@ -22,9 +22,8 @@ def test_ids_equal_the_public_tokenizer():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     encode = packing.byte_bpe()
-    odd = ["<|endoftext|> x", "a b c \u0085 d", "don't WE'LL 's", "  \n\n\t x  ", "\U0001f468‍\U0001f469", "½ ² Ⅷ 一二三", "z" * 5000, "퟿̀"]
+    odd = ["<|endoftext|> x", "a b c \u0085 d", "don't WE'LL 's", "  \n\n\t x  ", "\U0001f468‍\U0001f469", "½ ² Ⅷ 一二三", "z" * 5000, "퟿̀", "a <|endoftext|> x<|endoftext|>"]
     for text in [r[1] or "" for r in odd_rows()] + odd:
         assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
@@ -42,8 +41,8 @@ def test_packing_round_trip(spark):
         seq = seq.sort_values("offset")
         assert (seq.offset.values == np.concatenate([[0], np.cumsum(seq.length.values)[:-1]])).all()
         lengths.append(int(seq.length.sum()))
-        assert lengths[-1] <= 1024 and seq.window.nunique() == 1
-    assert sum(n not in packing.WINDOWS for n in lengths) <= 2
+        assert lengths[-1] <= 1024 and (seq.window == lengths[-1]).all() and lengths[-1].bit_count() == 1
+    assert sum(n not in packing.WINDOWS for n in lengths) <= 2 * 7  # two tasks, what is left of each in powers of two
     assert (pieces.ids.map(len) == 4 * pieces.length).all()
     # Pieces of documents, by start, add up to every document once.
     got = Counter()
