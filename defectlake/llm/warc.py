@@ -28,7 +28,7 @@ END = b"\r\n\r\n"
 GZIP_MAGIC = b"\x1f\x8b\x08"
 
 DATE = "1970-01-01T00:00:00Z"
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, FILE_BYTES = 2000, 1 << 30  # a file holds no more of either
 GZIP_LEVEL = 4
 BROADCAST_GROUPS = 100_000
 PIECE_BYTES = 64
@@ -62,7 +62,7 @@ def gzip_member(data: bytes, level: int = GZIP_LEVEL) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, gzip: bool = True, date: str = DATE) -> None:
-    """Write one record for each row of ``pages(page_id, url, html)`` into files of at most 2,000 records below ``path``.
+    """Write one record for each row of ``pages(page_id, url, html)`` into files of at most 2,000 records and 1 GB below ``path``.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, that with the smallest page_id is a response and the others
     revisit it; rows that share that id, and groups without any id, are responses all. A null html is an empty payload, a
@@ -88,7 +88,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, gzip: bool =
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     lines = known.select("page_id", "url", "payload", "sha", "first").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record"))
-    lines.write.option("lineSep", "\x00" if gzip else "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # The largest record tells how many surely fit; compression only makes files smaller.
+    largest = keyed.agg(F.max(F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3)).first()[0] or 0
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 4096)))
+    lines.write.option("lineSep", "\x00" if gzip else "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _number(urn: str | None) -> int | None:

@@ -160,3 +160,13 @@ def test_gaps_reach_the_log(spark, tmp_path):
 
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = [(i, f"http://e/{i}", "".join(random.Random(i).choices("abcdefgh ", k=40_000))) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", gzip=False)
+    files = list((tmp_path / "w").glob("part-*"))
+    assert len(files) >= 3 and all(f.stat().st_size <= 200_000 for f in files)
+    assert {r["page_id"] for r in warc.intact(warc.read_archives(spark, f"{tmp_path}/w")).collect()} == set(range(12))
