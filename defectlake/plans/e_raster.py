@@ -238,7 +238,7 @@ def morph(source: str, *steps: tuple[str, int]) -> str:
 
 def dense(name: str) -> str:
     """A set of pixels as a dense raster."""
-    return f"(SELECT image_id, y, x, ({name}.y IS NOT NULL)::INT v FROM fam LEFT JOIN (SELECT image_id, y, x, true hit FROM {name}) {name} USING (image_id, y, x))".replace(f"({name}.y IS NOT NULL)", "coalesce(hit, false)")
+    return f"(SELECT image_id, y, x, ({name}.y IS NOT NULL)::INT v FROM grid LEFT JOIN (SELECT image_id, y, x, true hit FROM {name}) {name} USING (image_id, y, x))".replace(f"({name}.y IS NOT NULL)", "coalesce(hit, false)")
 
 
 def contrast_sql(lab: str, out: str, sign: str, delta: float, rough: bool) -> str:
@@ -249,11 +249,13 @@ def contrast_sql(lab: str, out: str, sign: str, delta: float, rough: bool) -> st
 
 
 def inner_sql(lab: str, out: str) -> str:
-    return f"{out} AS (SELECT image_id, y, x FROM {lab} l ANTI JOIN (SELECT image_id, label FROM {lab} GROUP BY 1,2 HAVING (min(x)<=1 OR max(x)>=62 OR min(y)<=1 OR max(y)>=62) AND count(*) < 0.01*64*64) g USING (image_id, label))"
+    return f"{out} AS (SELECT image_id, y, x FROM {lab} l ANTI JOIN (SELECT image_id, label FROM {lab} JOIN rc USING (image_id) GROUP BY 1,2 HAVING (min(x)<=1 OR max(x)>=any_value(xm)-1 OR min(y)<=1 OR max(y)>=any_value(ym)-1) AND count(*) < 0.01*(any_value(xm)+1)*(any_value(ym)+1)) g USING (image_id, label))"
 
 
 CLEAN5 = (("min", 2), ("max", 2), ("max", 2), ("min", 2))
 RUN = FAMILY.replace("fx_rgb", "fx_concrete") + f""",
+rc AS (SELECT image_id, max(y) ym, max(x) xm FROM fam GROUP BY 1),
+grid AS (SELECT image_id, y, x FROM rc CROSS JOIN (SELECT unnest(range(0,64)) y) a CROSS JOIN (SELECT unnest(range(0,64)) x) b),
 pxm AS (SELECT f.image_id, f.y, f.x, l.gray, l.lum, abs(l.lum - m.bm) rough, h.sat, h.val FROM fam f JOIN ls l USING (image_id, y, x) JOIN hsv h USING (image_id, y, x) JOIN (SELECT image_id, y, x, sum(s_) OVER c / sum(n_) OVER c bm FROM (SELECT image_id, y, x, sum(lum) OVER r s_, count(*) OVER r n_ FROM ls WINDOW r AS (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)) q WINDOW c AS (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)) m USING (image_id, y, x)),
 k0 AS (SELECT image_id, y, x FROM fam WHERE cracks), {labels_cte("k0", "image_id", name="lk")},
 k1 AS (SELECT image_id, y, x FROM lk SEMI JOIN (SELECT DISTINCT image_id, label FROM lk JOIN {morph(dense("k0"), ("min", 1))} e USING (image_id, y, x) WHERE v=1) s USING (image_id, label)),
@@ -270,7 +272,7 @@ w1 AS (SELECT image_id, y, x FROM {morph(dense("w0"), *CLEAN5)} a WHERE v=1), {l
 {contrast_sql("lw", "w2", "-1", 80, False)}, {labels_cte("w2", "image_id", name="lx")}, {inner_sql("lx", "w3")},
 b0 AS (SELECT image_id, y, x FROM (SELECT p.*, quantile_cont(gray, 0.4) OVER (PARTITION BY image_id) p40 FROM pxm p SEMI JOIN s5 USING (image_id, y, x)) q WHERE gray<p40 OR (sat<0.2 AND val<0.55)),
 b1 AS (SELECT image_id, y, x FROM {morph(dense("b0"), ("min", 1), ("max", 1), ("max", 1), ("min", 1))} a WHERE v=1)"""
-for _name in "ls fam pxm k0 k1 s0 s1 s2 s3 s4 s5 r0 r1 r2 w0 w1 w2 w3 b0 b1 lk l2 l4 lr lw lx".split():  # read several times
+for _name in "ls fam grid pxm k0 k1 s0 s1 s2 s3 s4 s5 r0 r1 r2 w0 w1 w2 w3 b0 b1 lk l2 l4 lr lw lx".split():  # read several times
     RUN = re.sub(rf"(?m)(^|, |\n){_name} AS \(", rf"\g<1>{_name} AS MATERIALIZED (", RUN)
 STAGES = {"cracks": ("k0", "k1", "k2"), "spalling_dark": ("s0", "s1", "s5"), "corrosion_rust": ("r0", "r1", "r2"), "efflorescence_white": ("w0", "w1", "w3"), "exposed_rebar": ("b0", "b1", "b1")}
 # Spalling regions that are mostly rust: their rust goes, the rest is opened, and rebar in them goes.

@@ -291,14 +291,14 @@ def g23(fx):
     return out.select("cloud_id", "n", "status", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r00", "r01", "r10", "dx", "dy", "dz", "rmse")])
 
 
-@query("g24_icp")
+@query("g24_icp", "SELECT count(*) n, -0.01::DOUBLE dx, 0.015::DOUBLE dy, -0.02::DOUBLE dz, 0.0::DOUBLE rmse FROM (SELECT DISTINCT x, y, z FROM fx_points_anon) q", "fx_points_anon")
 def g24(fx):
+    """The whole cloud, moved by a known shift, finds its place again."""
     cloud = fx.points_anon.groupBy("x", "y", "z").agg(F.min("code").cast("string").alias("point_id"))
     cloud = cloud.withColumn("point_id", F.concat_ws("/", "x", "y", "z"))
     moved = ops.rigid_transform(cloud, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [0.01, -0.015, 0.02])
     rotation, shift, history = ops.icp(moved, cloud, radius=0.25, max_iterations=10)
-    return cloud.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(round(v, 6)).alias(f"d{a}") for a, v in zip("xyz", shift)],
-                                                          F.lit(len(history)).alias("rounds"), F.lit(round(history[-1], 9)).alias("rmse"))
+    return cloud.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(round(v, 6)).alias(f"d{a}") for a, v in zip("xyz", shift)], F.lit(round(history[-1], 6)).alias("rmse"))
 
 
 @query("g25_knn_ratio_match", """
@@ -310,11 +310,24 @@ def g25(fx):
     return out.select("image_id", "a_id", "b_id", F.round("distance", 6).alias("distance"), F.round("second", 6).alias("second"))
 
 
-@query("g26_associate_matches")
+# Greedy choice in order of score, as a recursion over the candidates of a view.
+ASSOCIATED = PROJ + """,
+mm AS (SELECT image_id % 4 view_id, bbox_x/2.0::DOUBLE au, bbox_y/2.0::DOUBLE av, min(length_px) d FROM fx_records_anon GROUP BY 1,2,3),
+ss AS (SELECT view_id, u, v, arg_min(point_id, (depth, point_id)) point_id, min(depth) depth FROM fr WHERE in_frame GROUP BY 1,2,3),
+mc AS (SELECT *, CAST(floor(au/10) AS BIGINT)+dx gx, CAST(floor(av/10) AS BIGINT)+dy gy FROM mm CROSS JOIN (SELECT unnest(range(-1,2)) dx) a CROSS JOIN (SELECT unnest(range(-1,2)) dy) b),
+nn AS (SELECT m.view_id, m.au, m.av, any_value(m.d) d, min(dist) dist, arg_min(point_id, (dist, depth, point_id)) point_id FROM (SELECT m.*, p.point_id, p.depth, sqrt((m.au-p.u)*(m.au-p.u)+(m.av-p.v)*(m.av-p.v)) dist FROM mc m JOIN ss p ON p.view_id=m.view_id AND CAST(floor(p.u/10) AS BIGINT)=m.gx AND CAST(floor(p.v/10) AS BIGINT)=m.gy) m WHERE dist<10 GROUP BY 1,2,3),
+ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score, match_id) k FROM (SELECT view_id, au::VARCHAR || '/' || av::VARCHAR match_id, point_id, dist, d+dist*4.0 score, CAST(floor((au*0.9+3)/12) AS BIGINT)*100000+CAST(floor((av*1.1-2)/12) AS BIGINT) cell FROM nn) q),
+gf AS /* RECURSIVE */ (SELECT view_id, k, true ok, [point_id] points, [cell] cells FROM ca WHERE k=1 UNION ALL SELECT c.view_id, c.k, NOT list_contains(f.points, c.point_id) AND NOT list_contains(f.cells, c.cell),
+ CASE WHEN NOT list_contains(f.points, c.point_id) AND NOT list_contains(f.cells, c.cell) THEN list_append(f.points, c.point_id) ELSE f.points END, CASE WHEN NOT list_contains(f.points, c.point_id) AND NOT list_contains(f.cells, c.cell) THEN list_append(f.cells, c.cell) ELSE f.cells END
+ FROM gf f JOIN ca c ON c.view_id=f.view_id AND c.k=f.k+1 WHERE len(f.points)<600)"""
+
+
+@query("g26_associate_matches", "SELECT view_id, match_id, point_id, round(dist, 6) association_px, round(score, 6) score FROM ca JOIN (SELECT view_id, k FROM gf WHERE ok) g USING (view_id, k)", "fx_points fx_poses fx_records_anon", ASSOCIATED)
 def g26(fx):
     matches = fx.records_anon.groupBy((F.col("image_id") % 4).alias("view_id"), (F.col("bbox_x") / 2).alias("au"), (F.col("bbox_y") / 2).alias("av")).agg(F.min("length_px").alias("distance"))
     matches = matches.select("view_id", F.concat_ws("/", "au", "av").alias("match_id"), "au", "av", (F.col("au") * 0.9 + 3).alias("tu"), (F.col("av") * 1.1 - 2).alias("tv"), "distance")
-    return ops.associate_matches(matches, projected(fx))
+    out = ops.associate_matches(matches, projected(fx))
+    return out.select("view_id", "match_id", "point_id", F.round("association_px", 6).alias("association_px"), F.round("score", 6).alias("score"))
 
 
 @query("g27_propagation_gate", """
