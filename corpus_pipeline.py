@@ -52,7 +52,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     places. Only the columns of ``docs`` come back, whatever their names. No rows give no rows.
     """
     _lean(spark)
-    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
+    # The mix adds columns of its own; those of the documents keep their values under names that none of them has.
+    inner = [c if c.lower() in ("doc_id", "text", "source", "n_chars") else f"kept__{i}" for i, c in enumerate(docs.columns)]
+    return mixing.mix(docs.toDF(*inner)).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns)])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
