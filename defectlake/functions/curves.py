@@ -39,13 +39,14 @@ def flatten_bezier(nodes: Column, closed: Column, tolerance: float = TOLERANCE)
         here, there = F.get(nodes, i), F.get(nodes, (i + 1) % count)
         a, d = here["p"], there["p"]
         control = F.array(F.struct(a.alias("a"), F.coalesce(here["hout"], a).alias("b"), F.coalesce(there["hin"], d).alias("c"), d.alias("d")))
-        # The control polygon is computed once and then shared by all steps.
-        return F.flatten(F.transform(control, steps))
+        # The control polygon and its number of steps are computed once and then shared by all points.
+        sized = F.transform(control, lambda q: F.struct(*[q[k].alias(k) for k in "abcd"], steps(q).alias("n")))
+        places = lambda q: F.transform(F.sequence(F.lit(1), q["n"]), lambda k: k / q["n"])
+        return F.flatten(F.transform(sized, lambda q: F.transform(places(q), lambda t: at(q, t))))
 
     def steps(q: Column) -> Column:
         length = _gap(q["a"], q["b"]) + _gap(q["b"], q["c"]) + _gap(q["c"], q["d"])
-        n = F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), F.ceil(length / max(LEAST_STEP, tolerance * 4)))).cast("int")
-        return F.transform(F.sequence(F.lit(1), n), lambda k: at(q, k / n))
+        return F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), F.ceil(length / max(LEAST_STEP, tolerance * 4)))).cast("int")
 
     def at(q: Column, t: Column) -> Column:
         u = 1 - t
